@@ -55,9 +55,17 @@ def fold_accents(text: Column) -> Column:
     return F.translate(text, _ACCENTED, _BASE)
 
 
+BLANKS = " \t\n\r\f\v\u00a0\u3000\ufeff"
+
+
+def strip(text: Column) -> Column:
+    """Trim every kind of white space, not only spaces."""
+    return F.btrim(text, F.lit(BLANKS))
+
+
 def match_form(text: Column, unicode: bool = True) -> Column:
     """Form used for comparisons: NFKC, trimmed, lower case."""
-    return F.lower(F.trim(nfkc(text) if unicode else text))
+    return F.lower(strip(nfkc(text) if unicode else text))
 
 
 def statement_form(text: Column, unicode: bool = True) -> Column:

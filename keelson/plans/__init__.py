@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scans",)
+MODULES = ("scans", "scalars", "predicates")
 
 
 def load() -> None:

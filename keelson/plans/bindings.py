@@ -54,7 +54,7 @@ STOP_LIST = ", ".join(f"'{w}'" for w in tx.SEARCH_STOP_WORDS)
 # Spark: tx.index_terms / tx.query_index_terms (no Han script in the test tables).
 SQL_INDEX_TOKENS = "regexp_extract_all(strip_accents(lower({0})), '[\\p{{L}}\\p{{N}}]+')"
 SQL_SEARCH_TERMS = (
-    "list_distinct([w for w in regexp_extract_all(lower(trim({0})), '[\\p{{L}}\\p{{N}}_+.#-]+') "
+    "list_distinct([w for w in regexp_extract_all(lower(trim({0}, e' \\t\\n\\r')), '[\\p{{L}}\\p{{N}}_+.#-]+') "
     "if length(w) >= 2 and w not in (" + STOP_LIST + ")])"
 )
 
@@ -202,3 +202,39 @@ EDGES = """edges as (
 
 def cte(*parts: str) -> str:
     return "with " + ",\n".join(parts) + "\n"
+
+
+def memories(t: Tables) -> DataFrame:
+    """Records with lifecycle columns, from orders."""
+    k = F.col("o_orderkey")
+    marker = F.struct(F.lit("forget").alias("kind"), F.create_map(F.lit("by"), F.lit("user")).alias("attributes"))
+    plain = F.struct(F.lit("recall_trigger").alias("kind"), F.create_map(F.lit("value"), F.col("o_orderpriority")).alias("attributes"))
+    return t.orders.select(
+        k.alias("id"),
+        F.when(F.col("o_orderstatus") == "P", "superseded").otherwise("active").alias("status"),
+        F.when(k % 4 == 0, F.col("o_custkey") % 10).alias("session"),
+        F.when(k % 3 == 0, F.col("o_orderdate") + F.expr("interval 700 days")).alias("expires_at"),
+        F.col("o_orderdate").alias("valid_from"),
+        F.when(k % 5 == 0, F.col("o_orderdate") + F.expr("interval 1500 days")).alias("valid_until"),
+        F.when(k % 11 == 0, F.array(plain, marker)).otherwise(F.array(plain)).alias("markers"),
+        F.when(k % 13 == 0, "dormant").alias("storage_state"),
+        F.when(k % 2 == 0, "user").otherwise("assistant").alias("source_actor"),
+        F.create_map(F.lit("segment"), F.substring("o_orderpriority", 1, 1), F.lit("site"), (F.col("o_custkey") % 3).cast("string")).alias("scope"),
+        F.col("o_custkey").alias("node"), F.col("o_totalprice").alias("amount"), (k % 100 / 100.0).alias("importance"),
+        (k % 6).alias("access_count"), F.col("o_orderdate").alias("created_at"),
+    )
+
+
+MEMORIES = """memories as (
+  select o_orderkey as id, case when o_orderstatus = 'P' then 'superseded' else 'active' end as status,
+    case when o_orderkey % 4 = 0 then o_custkey % 10 end as session,
+    case when o_orderkey % 3 = 0 then o_orderdate + interval 700 day end as expires_at,
+    o_orderdate as valid_from,
+    case when o_orderkey % 5 = 0 then o_orderdate + interval 1500 day end as valid_until,
+    o_orderkey % 11 = 0 as forgotten,
+    case when o_orderkey % 13 = 0 then 'dormant' end as storage_state,
+    case when o_orderkey % 2 = 0 then 'user' else 'assistant' end as source_actor,
+    substr(o_orderpriority, 1, 1) as segment, (o_custkey % 3)::varchar as site,
+    o_custkey as node, o_totalprice as amount, o_orderkey % 100 / 100.0 as importance, o_orderkey % 6 as access_count,
+    o_orderdate as created_at
+  from orders)"""
