@@ -24,3 +24,102 @@ def hashed_dimensions(texts: DataFrame, key: str, column: str, dimensions: int =
         hashed.select(key, (F.col("h") % dimensions).alias("bucket"), signed.alias("v"))
         .groupBy(key, "bucket").agg(F.sum("v").alias("v")).where("v <> 0")
     )
+
+
+QUERY_LIMIT = 4096
+SHARD_ROWS = 200_000
+
+
+def _score_block(ids, matrix, query_ids, queries, k: int, minimum: float):
+    """Best ``k`` corpus rows per query of one block, as column arrays."""
+    import numpy as np
+
+    norms = np.linalg.norm(matrix, axis=1)
+    norms[norms == 0] = 1.0
+    scores = np.clip((queries @ matrix.T) / norms, -1.0, 1.0)
+    keep = min(k, scores.shape[1])
+    # Ties at the cut are kept so the final order by (score, id) is exact.
+    floor = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep]
+    rows, cols = np.nonzero((scores >= floor[:, None] - 1e-12) & (scores > minimum))
+    return query_ids[rows], ids[cols], scores[rows, cols]
+
+
+def _unit_rows(values):
+    import numpy as np
+
+    matrix = np.vstack(values).astype("float64")
+    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+    norms[norms == 0] = 1.0
+    return matrix / norms
+
+
+def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int = 20, minimum: float = 0.0, limit: int = QUERY_LIMIT) -> DataFrame:
+    """Exact cosine candidates: (query_id, id, cosine, rank), cosine above ``minimum``.
+
+    ``corpus``: id, embedding. ``queries``: query_id, embedding. Up to ``limit`` query vectors are
+    counted first and shipped to the tasks as one matrix; every task emits its own top-k only.
+    A larger query set is cut into blocks that meet bounded corpus shards in a co-group, so
+    neither side is ever whole in one task.
+    """
+    schema = "query_id bigint, id bigint, cosine double"
+    # The limit bounds what reaches the driver; one row more tells the two ways apart.
+    head = queries.select("query_id", "embedding").limit(limit + 1).toPandas()
+    if len(head) <= limit:
+        if head.empty:
+            return queries.sparkSession.createDataFrame([], schema + ", rank int")
+        shared = corpus.sparkSession.sparkContext.broadcast(
+            (head["query_id"].to_numpy(), _unit_rows(head["embedding"].to_list()))
+        )
+
+        def scan(batches):
+            import numpy as np
+            import pandas as pd
+
+            query_ids, matrix = shared.value
+            for batch in batches:
+                if len(batch) == 0:
+                    continue
+                block = np.vstack(batch["embedding"].to_list()).astype("float64")
+                q, i, s = _score_block(batch["id"].to_numpy(), block, query_ids, matrix, k, minimum)
+                yield pd.DataFrame({"query_id": q, "id": i, "cosine": s})
+
+        partial = corpus.select("id", "embedding").mapInPandas(scan, schema)
+    else:
+        partial = _grid_top_k(corpus, queries, k, minimum, limit, schema)
+    from keelson.operators.lexical import top_k
+
+    return top_k(partial.withColumn("cosine", F.round("cosine", 6)), "cosine", k)
+
+
+def _grid_top_k(corpus: DataFrame, queries: DataFrame, k: int, minimum: float, limit: int, schema: str) -> DataFrame:
+    blocks = max(1, -(-queries.count() // (limit // 2)))
+    shards = max(1, -(-corpus.count() // SHARD_ROWS))
+    each_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    each_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    left = corpus.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), each_block.alias("block"))
+    right = queries.select(
+        "query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), each_shard.alias("shard")
+    )
+
+    def cell(rows, asked):
+        import numpy as np
+        import pandas as pd
+
+        if rows.empty or asked.empty:
+            return pd.DataFrame({"query_id": [], "id": [], "cosine": []})
+        block = np.vstack(rows["embedding"].to_list()).astype("float64")
+        q, i, s = _score_block(
+            rows["id"].to_numpy(), block, asked["query_id"].to_numpy(), _unit_rows(asked["embedding"].to_list()), k, minimum
+        )
+        return pd.DataFrame({"query_id": q, "id": i, "cosine": s})
+
+    return left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(cell, schema)
+
+
+def pair_cosines(pairs: DataFrame, corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """Cosine of given (query_id, id) pairs only: the cross-score of candidates found elsewhere."""
+    joined = pairs.join(corpus.select("id", F.col("embedding").alias("_c")), "id").join(
+        queries.select("query_id", F.col("embedding").alias("_q")), "query_id"
+    )
+    value = vx.cosine(vx.as_double(F.col("_q")), vx.as_double(F.col("_c")))
+    return joined.withColumn("cosine", F.round(value, 6)).drop("_c", "_q")

@@ -49,3 +49,64 @@ def trigger_matches(queries: DataFrame, profile: DataFrame, most_words: int = 16
     )
     exploded = queries.select("query_id", F.explode(F.array_distinct(grams)).alias("phrase"))
     return exploded.join(phrases, "phrase").groupBy("query_id", "id").agg(F.max(F.length("phrase")).cast("bigint").alias("score"))
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """Distinct (query_id, term) rows of a query table."""
+    terms = tx.query_index_terms(tx.match_form(F.col("query")))
+    return queries.select("query_id", F.explode(terms).alias("term"))
+
+
+def postings(records: DataFrame) -> DataFrame:
+    """(id, dl, term, tf) rows.
+
+    Every token of a record leaves one row of one task, so the map-side aggregation is already
+    complete and the exchange carries one row per distinct (record, term).
+    """
+    tokens = records.select("id", tx.index_terms(F.col("text")).alias("tokens"))
+    exploded = tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    return exploded.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+
+
+def corpus_stats(records: DataFrame) -> DataFrame:
+    """One row: number of records and their mean length."""
+    size = F.size(tx.index_terms(F.col("text")))
+    return records.agg(F.count("*").alias("n"), F.avg(size).alias("avgdl"))
+
+
+def bm25_scores(queries: DataFrame, records: DataFrame) -> DataFrame:
+    """OR-query BM25 of every (query, record) sharing a term: (query_id, id, bm25).
+
+    The record side is cut to the query vocabulary before anything is shuffled. Query terms are
+    the small side; Catalyst broadcasts them by size and otherwise falls back to a shuffled join
+    whose hot terms AQE splits. Contributions combine map-side per (query, record).
+    """
+    asked = query_terms(queries)
+    vocabulary = asked.select("term").distinct()
+    hits = postings(records).join(vocabulary, "term", "left_semi")
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    stats = corpus_stats(records)
+    idf = F.greatest(F.lit(IDF_FLOOR), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    weighted = asked.join(df, "term").crossJoin(stats).select("query_id", "term", idf.alias("idf"), "avgdl")  # one stats row
+    saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return (
+        hits.join(weighted, "term")
+        .groupBy("query_id", "id")
+        .agg(F.round(F.sum(F.col("idf") * saturated), 6).alias("bm25"))
+    )
+
+
+def top_k(scored: DataFrame, score: str, k: int, key: str = "query_id", tie: str = "id", rank: str = "rank") -> DataFrame:
+    """Best ``k`` rows per key, score descending then id.
+
+    The rank filter lets Catalyst keep only ``k`` rows per key in every map task before the
+    exchange (window group limit), so one hot query cannot flood a reducer.
+    """
+    w = Window.partitionBy(key).orderBy(F.desc(score), F.asc(tie))
+    return scored.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
+
+
+def bm25_top_k(queries: DataFrame, records: DataFrame, k: int = 20, allowed: Column | None = None) -> DataFrame:
+    """Lexical candidates; ``allowed`` filters records before the limit is applied."""
+    visible = records if allowed is None else records.where(allowed)
+    return top_k(bm25_scores(queries, visible), "bm25", k)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scans", "scalars", "predicates")
+MODULES = ("scans", "scalars", "predicates", "retrieval")
 
 
 def load() -> None:

@@ -242,14 +242,14 @@ def f14(t):
 
 def prompts(t):
     lead = F.element_at(
-        F.array(*[F.lit(x) for x in ("Do you remember ", "What should I do: ", "上周我们决定过 ", "", "where is my ", "")]),
+        F.array(*[F.lit(x) for x in ("Do you remember ", "Please suggest something: ", "上周我们决定过 ", "", "where is my ", "")]),
         (F.col("turn") % 6 + 1).cast("int"),
     )
     return t.conversations.select(F.col("conv_id").alias("session"), "turn", F.concat(lead, "text").alias("prompt"))
 
 
 @query("f15_recall_need", r"""
-select conv_id as session, turn, case when length(text) + [16, 19, 8, 0, 12, 0][1 + turn % 6] > 4096 then 'none' when turn % 6 = 0 then 'retrieve' when turn % 6 = 1 then 'cue' when turn % 6 = 2 then 'retrieve'
+select conv_id as session, turn, case when length(text) + [16, 26, 8, 0, 12, 0][1 + turn % 6] > 4096 then 'none' when turn % 6 = 0 then 'retrieve' when turn % 6 = 1 then 'cue' when turn % 6 = 2 then 'retrieve'
   when turn % 6 = 4 then 'retrieve' else 'none' end as mode from conversations""")
 def f15(t):
     rows = prompts(t).withColumn("p", vb.recall_input(F.col("prompt")))
