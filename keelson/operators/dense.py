@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keelson.functions import text as tx, vectors as vx
+from keelson.session import explode_rows, spread
 
 
 def hashed_dimensions(texts: DataFrame, key: str, column: str, dimensions: int = 256) -> DataFrame:
@@ -14,10 +15,10 @@ def hashed_dimensions(texts: DataFrame, key: str, column: str, dimensions: int =
     carries at most ``dimensions`` rows per text.
     """
     low = F.lower(tx.strip(F.col(column)))
-    tokens = texts.select(key, F.explode(tx.matches(low, r"[\p{L}\p{N}_+.#-]+")).alias("w"))
+    tokens = explode_rows(spread(texts), tx.matches(low, r"[\p{L}\p{N}_+.#-]+"), "w", key)
     counted = tokens.groupBy(key, "w").agg(F.count("*").alias("n"))
     grams = F.when(F.col("w").rlike(r"\p{IsHan}"), tx.char_ngrams(F.col("w"), 2)).otherwise(tx.char_ngrams(F.col("w"), 3))
-    features = counted.select(key, "n", F.explode(F.concat(F.array("w"), grams)).alias("f"))
+    features = explode_rows(counted, F.concat(F.array("w"), grams), "f", key, "n")
     hashed = features.withColumn("h", vx.fnv32(F.col("f")))
     signed = F.when(F.col("h") % 2 == 0, F.col("n")).otherwise(-F.col("n"))
     return (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keelson.functions import text as tx
+from keelson.session import explode_rows, spread
 
 ANCHOR_WORDS = 5
 
@@ -19,20 +20,20 @@ def containment_pairs(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
     sharing an anchor.
     """
     n = needles.select("query_id", tx.words_only(F.col("needle")).alias("nw")).where("nw <> ''")
-    h = haystacks.select("id", tx.words_only(F.col("haystack")).alias("hw"))
+    h = spread(haystacks).select("id", tx.words_only(F.col("haystack")).alias("hw"))
     count = F.size(F.split("nw", " "))
     window = lambda words, i: F.xxhash64(F.array_join(F.slice(words, i, ANCHOR_WORDS), " "))
     long = n.where(count >= ANCHOR_WORDS + 2).select("query_id", "nw", window(F.split("nw", " "), F.lit(2)).alias("anchor"))
     words = h.select("id", "hw", F.split("hw", " ").alias("w")).where(F.size("w") >= ANCHOR_WORDS)
     starts = F.sequence(F.lit(1), F.size("w") - (ANCHOR_WORDS - 1))
-    anchors = words.select("id", F.explode(F.array_distinct(F.transform(starts, lambda i: window(F.col("w"), i)))).alias("anchor"))
+    hashes = F.array_distinct(F.transform(starts, lambda i: window(F.col("w"), i)))
+    anchors = explode_rows(words, hashes, "anchor", "id")
     # Text is joined back only for the few records that share an anchor.
     met = anchors.join(long, "anchor").select("query_id", "id", "nw")
     by_window = met.join(h, "id").where(F.col("hw").contains(F.col("nw"))).select("query_id", "id")
     short = n.where(count < ANCHOR_WORDS + 2).withColumn("g", F.substring("nw", 1, 3))
-    grams = h.select(
-        "id", F.explode(F.array_distinct(F.concat(*[tx.char_ngrams(F.col("hw"), i) for i in (1, 2, 3)]))).alias("g")
-    ).join(short.select("g").distinct(), "g", "left_semi")
+    distinct = F.array_distinct(F.concat(*[tx.char_ngrams(F.col("hw"), i) for i in (1, 2, 3)]))
+    grams = explode_rows(h, distinct, "g", "id").join(short.select("g").distinct(), "g", "left_semi")
     close = grams.join(short, "g").join(h, "id").where(F.col("hw").contains(F.col("nw"))).select("query_id", "id")
     return by_window.unionByName(close).distinct()
 

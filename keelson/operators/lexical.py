@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keelson.functions import text as tx
+from keelson.session import explode_rows, small_side, spread
 
 K1 = 1.2
 B = 0.75
@@ -23,7 +24,7 @@ def exact_anchor_hits(queries: DataFrame, texts: DataFrame) -> DataFrame:
     token = lambda c: tx.matches(c, r"[\p{L}\p{N}]+")
     keyed = wanted.withColumn("token", token(F.col("anchor"))[0])
     normal = texts.select("id", tx.match_form(F.col("statement")).alias("nt"))
-    candidates = normal.select("id", "nt", F.explode(F.array_distinct(token(F.col("nt")))).alias("token")).join(keyed, "token")
+    candidates = explode_rows(normal, F.array_distinct(token(F.col("nt"))), "token", "id", "nt").join(keyed, "token")
     word = r"[\p{L}\p{M}\p{N}_./\\:@+#-]"
     # Every other occurrence is padded so the edge test needs no per-row lookbehind pattern.
     escaped = F.regexp_replace("anchor", r"([.*+?^${}()|\[\]\\])", r"\\$1")
@@ -64,33 +65,37 @@ def postings(records: DataFrame) -> DataFrame:
     complete and the exchange carries one row per distinct (record, term).
     """
     tokens = records.select("id", tx.index_terms(F.col("text")).alias("tokens"))
-    exploded = tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    # The length is its own column before the explode, so exploded rows do not carry the array.
+    sized = tokens.withColumn("dl", F.size("tokens"))
+    exploded = explode_rows(sized, "tokens", "term", "id", "dl")
     return exploded.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(records: DataFrame) -> DataFrame:
     """One row: number of records and their mean length."""
-    size = F.size(tx.index_terms(F.col("text")))
+    plain = F.size(tx.matches(F.col("text"), r"[\p{L}\p{N}]+"))
+    size = F.when(F.col("text").rlike(r"\p{IsHan}"), F.size(tx.index_terms(F.col("text")))).otherwise(plain)
     return records.agg(F.count("*").alias("n"), F.avg(size).alias("avgdl"))
 
 
 def bm25_scores(queries: DataFrame, records: DataFrame) -> DataFrame:
     """OR-query BM25 of every (query, record) sharing a term: (query_id, id, bm25).
 
-    The record side is cut to the query vocabulary before anything is shuffled. Query terms are
-    the small side; Catalyst broadcasts them by size and otherwise falls back to a shuffled join
-    whose hot terms AQE splits. Contributions combine map-side per (query, record).
+    The record side is cut to the query vocabulary before anything is shuffled, and postings meet
+    the weighted query terms map-side while the query set is small (counted); a larger one falls
+    back to a shuffled join. Contributions combine map-side per (query, record).
     """
+    records = spread(records.select("id", "text"))
     asked = query_terms(queries)
-    vocabulary = asked.select("term").distinct()
-    hits = postings(records).join(vocabulary, "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    hits = postings(records).join(small_side(asked, asked.select("term").distinct()), "term", "left_semi")
+    # Reading ``tf`` keeps both uses of the postings identical, so their exchange is reused.
+    df = hits.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     stats = corpus_stats(records)
     idf = F.greatest(F.lit(IDF_FLOOR), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weighted = asked.join(df, "term").crossJoin(stats).select("query_id", "term", idf.alias("idf"), "avgdl")  # one stats row
     saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return (
-        hits.join(weighted, "term")
+        hits.join(small_side(asked, weighted), "term")
         .groupBy("query_id", "id")
         .agg(F.round(F.sum(F.col("idf") * saturated), 6).alias("bm25"))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def build_session(app: str = "keelson", cores: str | int = "*", shuffle: int = 8) -> SparkSession:
@@ -26,6 +26,40 @@ def build_session(app: str = "keelson", cores: str | int = "*", shuffle: int = 8
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rebalance an input that arrives in fewer splits than there are cores.
+
+    A large table already has many splits and passes through untouched; a small file with one
+    row group would otherwise run its CPU-heavy text work in a single task.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
+BROADCAST_ROWS = 500_000
+
+
+def small_side(checked: DataFrame, joined: DataFrame | None = None, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint for a join side, given only after counting that it is small.
+
+    ``checked`` is counted up to the limit; ``joined`` (default: the same frame) is what gets the
+    hint and must not have more rows than ``checked``. Beyond the limit the frame comes back
+    unhinted and the join shuffles, with AQE splitting hot keys.
+    """
+    target = checked if joined is None else joined
+    return F.broadcast(target) if checked.limit(rows + 1).count() <= rows else target
+
+
+def explode_rows(df: DataFrame, array, name: str, *keep: str) -> DataFrame:
+    """One row per element of a costly array expression.
+
+    A plain ``explode`` makes the optimizer infer ``size(array) > 0`` and push that filter to the
+    scan, which evaluates the expression twice and, for a rebalanced input, in too few tasks. The
+    outer form with a null filter behind it is evaluated once, where it stands.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def _checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a local one only where none is set (tests)."""
     context = spark.sparkContext
