@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scans", "scalars", "predicates", "retrieval")
+MODULES = ("scans", "scalars", "predicates", "retrieval", "fusion")
 
 
 def load() -> None:
