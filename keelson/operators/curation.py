@@ -180,3 +180,101 @@ def unavailable_related(rows: DataFrame, visible: DataFrame) -> DataFrame:
     return wanted.join(visible.select(F.col("id").alias("related_id")), "related_id", "left_anti").groupBy("id").agg(
         F.count("*").alias("missing")
     )
+
+
+def running_sum(rows: DataFrame, keys: list[str], order: list[str], value: str, bin_expr: Column, name: str) -> DataFrame:
+    """Inclusive running sum per key, computed inside bins and offset by the earlier bins' totals.
+
+    Bins must grow with the order columns. A key that holds a third of all rows is cut into its
+    bins; only one total per (key, bin) meets in the second window.
+    """
+    binned = rows.withColumn("_bin", bin_expr)
+    inside = Window.partitionBy(*keys, "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    totals = binned.groupBy(*keys, "_bin").agg(F.sum(value).alias("_total"))
+    across = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "_bin", F.coalesce(F.sum("_total").over(across), F.lit(0)).alias("_offset"))
+    return binned.withColumn("_local", F.sum(value).over(inside)).join(offsets, [*keys, "_bin"]).withColumn(
+        name, F.col("_local") + F.col("_offset")
+    ).drop("_bin", "_local", "_offset")
+
+
+def overlap_counts(intervals: DataFrame, key: str, bin_expr) -> DataFrame:
+    """For every interval the number of other intervals of its key that overlap it.
+
+    A sweep over boundary points: starts before my end minus ends up to my start, minus myself.
+    Pairs are never formed, so a crowded key costs a sort, not a product. ``bin_expr(time)`` maps
+    a boundary time to its bin.
+    """
+    # Order at equal times: ends close first (half-open), then start queries, end queries, then starts.
+    point = lambda t, rank, s, e, ask: intervals.select(key, "id", F.col(t).alias("t"), F.lit(rank).alias("o"), F.lit(s).alias("s"), F.lit(e).alias("e"), F.lit(ask).alias("ask"))
+    points = (
+        point("end", 0, 0, 1, "").unionByName(point("start", 1, 0, 0, "ends")).unionByName(point("end", 2, 0, 0, "starts")).unionByName(point("start", 3, 1, 0, ""))
+    )
+    counted = running_sum(points, [key], ["t", "o", "id"], "s", bin_expr(F.col("t")), "starts_before")
+    counted = running_sum(counted, [key], ["t", "o", "id"], "e", bin_expr(F.col("t")), "ends_before")
+    asked = counted.where("ask <> ''").groupBy("id").agg(
+        (F.max(F.when(F.col("ask") == "starts", F.col("starts_before"))) - F.max(F.when(F.col("ask") == "ends", F.col("ends_before"))) - 1).alias("overlaps")
+    )
+    return asked
+
+
+def polarity_keys(claims: DataFrame) -> DataFrame:
+    """Predicate keys with both polarities: counts and the number of contradicting pairs.
+
+    The pair count is the product of the two sides, so no pair is emitted.
+    """
+    return claims.groupBy("predicate_key").agg(
+        F.count_if(F.col("polarity") == "affirmative").alias("affirmative"), F.count_if(F.col("polarity") == "negative").alias("negative"),
+    ).where("affirmative > 0 and negative > 0").withColumn("pairs", F.col("affirmative") * F.col("negative"))
+
+
+def latest_opposite(claims: DataFrame, bin_expr: Column) -> DataFrame:
+    """Each claim with the latest earlier claim of the same key and the opposite polarity."""
+    binned = claims.withColumn("_bin", bin_expr)
+    me = F.struct("time", "id")
+    yes, no = F.when(F.col("polarity") == "affirmative", me), F.when(F.col("polarity") == "negative", me)
+    inside = Window.partitionBy("predicate_key", "_bin").orderBy("time", "id").rowsBetween(Window.unboundedPreceding, -1)
+    local = binned.withColumn("_y", F.max(yes).over(inside)).withColumn("_n", F.max(no).over(inside))
+    tails = binned.groupBy("predicate_key", "_bin").agg(F.max(yes).alias("ty"), F.max(no).alias("tn"))
+    across = Window.partitionBy("predicate_key").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tails.select("predicate_key", "_bin", F.max("ty").over(across).alias("cy"), F.max("tn").over(across).alias("cn"))
+    joined = local.join(carried, ["predicate_key", "_bin"])
+    other = F.when(F.col("polarity") == "affirmative", F.coalesce("_n", "cn")).otherwise(F.coalesce("_y", "cy"))
+    return joined.select("predicate_key", "id", "polarity", other["id"].alias("contradicts"), other["time"].alias("contradicts_time"))
+
+
+def cyclic_links(links: DataFrame, rounds: int = 40) -> DataFrame:
+    """Ids that never reach a root when predecessors are followed (pointer doubling).
+
+    ``links``: id, predecessor (null at a root). Every round doubles the distance looked ahead and
+    writes a checkpoint; it ends when no pointer moves or after ``rounds`` doublings.
+    """
+    from keelson.session import cut_lineage
+
+    state = cut_lineage(links.select("id", F.col("predecessor").alias("next")))
+    rows = state.count()
+    reach = 1
+    for _ in range(rounds):
+        if reach > rows:
+            break
+        jump = state.select(F.col("id").alias("next"), F.col("next").alias("after"))
+        moved = state.join(jump, "next", "left").select("id", F.when(F.col("next").isNotNull(), F.col("after")).alias("next"))
+        state = cut_lineage(moved)
+        reach *= 2
+        if state.where("next is not null").isEmpty():
+            break
+    return state.where("next is not null").select("id")
+
+
+def train_test_leaks(rows: DataFrame) -> DataFrame:
+    """Units, normalised queries and digests that occur in more than one role.
+
+    ``rows``: role, source_unit, normal_query, corpus_id, corpus_digest.
+    """
+    crossing = lambda rule, key: rows.groupBy(key.alias("key")).agg(F.count_distinct("role").alias("roles"), F.count("*").alias("rows")).where("roles > 1").select(
+        F.lit(rule).alias("rule"), F.col("key").cast("string").alias("key"), "rows"
+    )
+    mismatch = rows.groupBy(F.col("corpus_id").alias("key")).agg(F.count_distinct("corpus_digest").alias("d"), F.count("*").alias("rows")).where("d > 1").select(
+        F.lit("digest_mismatch").alias("rule"), F.col("key").cast("string").alias("key"), "rows"
+    )
+    return crossing("source_unit", F.col("source_unit")).unionByName(crossing("query", F.md5("normal_query"))).unionByName(mismatch)

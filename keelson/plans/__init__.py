@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scans", "scalars", "predicates", "retrieval", "fusion")
+MODULES = ("scans", "scalars", "predicates", "retrieval", "fusion", "joins")
 
 
 def load() -> None:
