@@ -91,3 +91,323 @@ def retrieval_metrics(scores: DataFrame, by: str | None = None, ks: tuple[int, .
     if by is None:
         return scores.agg(*aggregates)
     return scores.rollup(by).agg(*aggregates).withColumn(by, F.coalesce(by, F.lit("overall")))
+
+
+c = F.col
+EXACT_TERMS = 1000
+
+
+def coverage_with_exclusions(positions: DataFrame, by: list[str]) -> DataFrame:
+    """Any/all/recall percentages; a question with a dataset gap (-2) is excluded, -1 is a miss."""
+    per = positions.groupBy(*by, "question_id").agg(
+        F.count("*").alias("labels"), F.count_if(c("position") >= 0).alias("found"), F.bool_or(c("position") == -2).alias("gap")
+    ).where("not gap")
+    pct = lambda a, b: F.round(100 * a / b, 1)
+    return per.groupBy(*by).agg(
+        F.count("*").alias("n"), pct(F.count_if(c("found") > 0), F.count("*")).alias("any_pct"),
+        pct(F.count_if((c("found") == c("labels")) & (c("labels") > 0)), F.count("*")).alias("all_pct"), pct(F.sum("found"), F.sum("labels")).alias("recall_pct"),
+    )
+
+
+def split_labels(labels: Column) -> Column:
+    """Composite evidence labels cut at semicolons and commas, trimmed, empties dropped."""
+    parts = F.flatten(F.transform(labels, lambda x: F.split(x, r"[;,]\s*")))
+    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+
+
+def eligibility(questions: DataFrame, known: DataFrame) -> DataFrame:
+    """Eligible when a question has labels and every one resolves: (question_id, labels, missing, eligible)."""
+    exploded = questions.select("question_id", F.explode_outer(split_labels(c("labels"))).alias("label"))
+    resolved = exploded.join(known.select("label", F.lit(1).alias("ok")), "label", "left")
+    return resolved.groupBy("question_id").agg(
+        F.count("label").alias("labels"), F.count_distinct(F.when(c("ok").isNull(), c("label"))).alias("missing")
+    ).withColumn("eligible", (c("labels") > 0) & (c("missing") == 0))
+
+
+def set_digest(ids: DataFrame, column: str, width: int = 4) -> DataFrame:
+    """Order-free digest of an id set of any size: hashes of buckets, then a hash of those.
+
+    Each bucket's sorted ids are hashed where they live; only 16^width bucket digests meet.
+    """
+    bucket = F.substring(F.sha2(c(column).cast("string"), 256), 1, width)
+    parts = ids.groupBy(bucket.alias("b")).agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_set(c(column).cast("string")))), 256).alias("d"), F.count_distinct(column).alias("n"))
+    return parts.agg(F.sha2(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("b", "d"))), lambda x: x["d"])), 256).alias("digest"), F.sum("n").alias("ids"))
+
+
+def paired_outcomes(results: DataFrame, baseline: str) -> DataFrame:
+    """Both-pass / only / both-fail counts of every mode against the baseline on shared pairs.
+
+    ``results``: question_id, repeat, mode, passed (one row per pair and mode).
+    """
+    base = results.where(c("mode") == baseline).select("question_id", "repeat", c("passed").alias("base"))
+    pairs = results.where(c("mode") != baseline).join(base, ["question_id", "repeat"])
+    return pairs.groupBy("mode").agg(
+        F.count("*").alias("pairs"), F.count_if(c("passed") & c("base")).alias("both_pass"), F.count_if(c("passed") & ~c("base")).alias("candidate_only"),
+        F.count_if(~c("passed") & c("base")).alias("baseline_only"), F.count_if(~c("passed") & ~c("base")).alias("both_fail"),
+    ).withColumn("net_wins", c("candidate_only") - c("baseline_only"))
+
+
+def sign_test(pairs: DataFrame, wins: str = "candidate_only", losses: str = "baseline_only") -> DataFrame:
+    """Exact two-sided binomial p per row; the tail is a sum of log-gamma terms over exploded counts."""
+    n = c(wins) + c(losses)
+    k = F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(c(wins), c(losses))))
+    keyed = pairs.withColumn("_row", F.monotonically_increasing_id())
+    terms = keyed.where(n > 0).select("_row", n.alias("n"), k.alias("k"))
+    log_choose = _log_factorial(c("n")) - _log_factorial(c("k")) - _log_factorial(c("n") - c("k"))
+    tail = terms.groupBy("_row").agg(F.sum(F.exp(log_choose - c("n") * F.log(F.lit(2.0)))).alias("t"))
+    return keyed.join(tail, "_row", "left").withColumn("p_value", F.round(F.least(F.lit(1.0), 2 * c("t")), 9)).drop("_row", "t")
+
+
+def _log_factorial(n: Column) -> Column:
+    """ln n!: exact sum for small n, Stirling's series beyond."""
+    small = F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.greatest(n, F.lit(1).cast("bigint"))), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))
+    x = n.cast("double") + 1
+    series = (x - 0.5) * F.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x * x * x)
+    return F.when(n <= EXACT_TERMS, small).otherwise(series)
+
+
+def wilson(passed: Column, total: Column, z: float = 1.96) -> tuple[Column, Column]:
+    p = passed / total
+    z2 = z * z
+    centre = (p + z2 / (2 * total)) / (1 + z2 / total)
+    half = z * F.sqrt(p * (1 - p) / total + z2 / (4 * total * total)) / (1 + z2 / total)
+    return F.greatest(F.lit(0.0), centre - half), F.least(F.lit(1.0), centre + half)
+
+
+def accuracy_by(results: DataFrame, by: str) -> DataFrame:
+    agg = results.groupBy(by).agg(F.count_if("passed").alias("passed"), F.count("*").alias("total"))
+    low, high = wilson(c("passed"), c("total"))
+    return agg.select(by, "passed", "total", F.round(c("passed") / c("total"), 6).alias("accuracy"), F.round(low, 6).alias("lower"), F.round(high, 6).alias("upper"))
+
+
+def ranked_list_scores(ranking: DataFrame, relevant: DataFrame) -> DataFrame:
+    """recallAny / recallAll / recall / nDCG per query from a bounded ranking (query_id, id, rank)."""
+    wanted = relevant.groupBy("query_id").agg(F.count_distinct("id").alias("wanted"))
+    hits = ranking.join(relevant.distinct(), ["query_id", "id"], "left_semi")
+    got = hits.groupBy("query_id").agg(F.count_distinct("id").alias("got"), F.sum(1 / F.log2(c("rank") + 1.0)).alias("dcg"))
+    ideal = F.aggregate(F.sequence(F.lit(1).cast("bigint"), c("wanted")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + F.lit(1.0)))
+    joined = wanted.join(got, "query_id", "left").fillna({"got": 0, "dcg": 0.0})
+    return joined.select(
+        "query_id", F.when(c("got") > 0, 1).otherwise(0).alias("recall_any"), F.when(c("got") == c("wanted"), 1).otherwise(0).alias("recall_all"),
+        F.round(c("got") / c("wanted"), 6).alias("recall"), F.round(c("dcg") / ideal, 6).alias("ndcg"),
+    )
+
+
+def matched_products(rows: DataFrame, baseline: str) -> DataFrame:
+    """Matched-arm metrics of every candidate mode with its blocker counts, all modes in one pass.
+
+    ``rows``: case_id, repeat, mode, success, evidence_kind, evidence_all, tokens, tool_rounds,
+    latency_ms, changed. Metrics are null while any blocker remains.
+    """
+    keys = ["case_id", "repeat"]
+    once = rows.groupBy(*keys, "mode").agg(F.count("*").alias("copies"), F.first(F.struct("success", "evidence_kind", "evidence_all", "tokens", "tool_rounds", "latency_ms", "changed")).alias("r"))
+    base = once.where(c("mode") == baseline).select(*keys, c("copies").alias("b_copies"), c("r").alias("b"))
+    modes = rows.where(c("mode") != baseline).select("mode").distinct()
+    expected = base.crossJoin(modes)  # one row per candidate arm
+    cand = once.where(c("mode") != baseline).select(*keys, "mode", c("copies").alias("c_copies"), c("r").alias("x"))
+    pairs = expected.join(cand, [*keys, "mode"], "full_outer")
+    cost_ok = lambda s: (c(f"{s}.tokens") >= 0) & (c(f"{s}.tool_rounds") >= 0) & (c(f"{s}.latency_ms") >= 0)
+    problem = (
+        F.when(c("b").isNull() | c("x").isNull(), "missing_arm_pair")
+        .when(c("b.success").isNull() | c("x.success").isNull(), "missing_binary_task_success")
+        .when(c("b.evidence_all").isNull() | c("x.evidence_all").isNull(), "missing_evidence_sufficiency")
+        .when(c("b.evidence_kind") != c("x.evidence_kind"), "mismatched_evidence_kind")
+        .when(~F.coalesce(cost_ok("b") & cost_ok("x"), F.lit(False)), "missing_cost_telemetry")
+    )
+    staged = pairs.withColumn("problem", problem)
+    clean = lambda col: F.when(c("problem").isNull(), col)
+    agg = staged.groupBy("mode").agg(
+        F.count(F.when(c("problem").isNull(), 1)).alias("cases"), F.count("problem").alias("pair_blockers"),
+        F.sum(F.coalesce(c("b_copies") - 1, F.lit(0)) + F.coalesce(c("c_copies") - 1, F.lit(0))).alias("duplicate_rows"),
+        F.bool_or(F.coalesce(c("x.changed") > 0, F.lit(False))).alias("acts"), F.bool_or(F.coalesce(c("b.changed") > 0, F.lit(False))).alias("base_acts"),
+        *[F.avg(clean(c(f"{s}.{m}").cast("double"))).alias(f"{p}_{m}") for s, p in (("b", "base"), ("x", "cand")) for m in ("success", "evidence_all", "tool_rounds", "tokens", "latency_ms")],
+    )
+    blocked = (c("pair_blockers") > 0) | (c("duplicate_rows") > 0) | ~c("acts") | c("base_acts") | (c("cases") == 0)
+    metrics = [x for x in agg.columns if x.startswith(("base_", "cand_")) and x != "base_acts"]
+    return agg.withColumn("blocked", blocked).withColumns({m: F.when(~blocked, F.round(m, 6)) for m in metrics}).drop("acts", "base_acts")
+
+
+def product_gate(metrics: DataFrame, tolerance: float = 0.01, factor: float = 1.25, cases: int = 8) -> DataFrame:
+    """Promotion checks over matched metrics; a blocked arm fails closed."""
+    checks = {
+        "enough_cases": c("cases") >= cases, "success_kept": c("cand_success") + tolerance >= c("base_success"),
+        "evidence_kept": c("cand_evidence_all") + tolerance >= c("base_evidence_all"),
+        "tool_rounds_bounded": c("cand_tool_rounds") <= F.greatest(c("base_tool_rounds") * factor, c("base_tool_rounds") + 1),
+        "tokens_bounded": c("cand_tokens") <= F.greatest(c("base_tokens") * factor, c("base_tokens") + 256),
+        "latency_bounded": c("cand_latency_ms") <= F.greatest(F.lit(250.0), c("base_latency_ms") * factor),
+    }
+    filled = {k: F.coalesce(v, F.lit(False)) for k, v in checks.items()}
+    out = metrics.withColumns(filled)
+    passed = ~c("blocked")
+    for k in checks:
+        passed = passed & c(k)
+    return out.withColumn("passed", passed)
+
+
+def threshold_curve(scored: DataFrame, thresholds: list[float]) -> DataFrame:
+    """Precision/recall per threshold from one pass: every row counts into the thresholds it clears.
+
+    ``scored``: score, positive, alias, exact_negative. The grid is a literal, so nothing is
+    replicated; the counts per threshold are conditional sums.
+    """
+    t = [F.lit(x) for x in thresholds]
+    sums = []
+    for i, x in enumerate(thresholds):
+        hit = c("score") >= x
+        sums += [F.count_if(hit).alias(f"n{i}"), F.count_if(hit & c("positive")).alias(f"tp{i}"), F.count_if(hit & c("alias")).alias(f"al{i}"),
+                 F.count_if(~hit & c("exact_negative")).alias(f"rn{i}")]
+    row = scored.agg(F.count_if("positive").alias("p"), F.count_if("alias").alias("a"), F.count_if("exact_negative").alias("e"), *sums)
+    points = F.array(*[F.struct(t[i].alias("threshold"), c(f"n{i}").alias("selected"), c(f"tp{i}").alias("tp"), c(f"al{i}").alias("al"), c(f"rn{i}").alias("rn")) for i in range(len(t))])
+    ratio = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6)
+    return row.select("p", "a", "e", F.explode(points).alias("x")).select(
+        "x.threshold", "x.selected", c("x.tp").alias("true_positives"), ratio(c("x.tp"), c("p")).alias("recall"), ratio(c("x.tp"), c("x.selected")).alias("precision"),
+        ratio(c("x.al"), c("a")).alias("alias_recall"), ratio(c("x.rn"), c("e")).alias("negative_rejection"),
+    )
+
+
+def rank_auc(scored: DataFrame, by: list[str], bin_width: float = 0.01) -> DataFrame:
+    """ROC AUC with half credit for ties, from value counts and a binned running sum of negatives."""
+    from keelson.operators.curation import running_sum
+
+    counts = scored.groupBy(*by, "score").agg(F.count_if("positive").alias("pos"), F.count_if(~c("positive")).alias("neg"))
+    run = running_sum(counts, by, ["score"], "neg", F.floor(c("score") / bin_width), "_upto")
+    won = c("pos") * (c("_upto") - c("neg") + c("neg") / 2)
+    return run.groupBy(*by).agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"), F.sum(won).alias("_w")).withColumn(
+        "auc", F.round(F.try_divide("_w", c("positives") * c("negatives")), 9)
+    ).drop("_w")
+
+
+def average_ranks(rows: DataFrame, by: list[str], value: str, name: str, bin_width: float) -> DataFrame:
+    """Tie-averaged ranks per group through value counts (no window over a whole group)."""
+    from keelson.operators.curation import running_sum
+
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("_n"))
+    run = running_sum(counts, by, [value], "_n", F.floor(c(value) / bin_width), "_upto")
+    return rows.join(run.select(*by, value, (c("_upto") - (c("_n") - 1) / 2).alias(name)), [*by, value])
+
+
+def spearman(rows: DataFrame, by: list[str], left: str, right: str, widths: tuple[float, float]) -> DataFrame:
+    ranked = average_ranks(average_ranks(rows, by, left, "_a", widths[0]), by, right, "_b", widths[1])
+    return ranked.groupBy(*by).agg(F.corr("_a", "_b").alias("rho"), F.count("*").alias("n"))
+
+
+def kendall_tau_b(reference: DataFrame, candidate: DataFrame) -> DataFrame:
+    """Normalised tau-b per question; events missing from one list share a tie rank.
+
+    ``reference`` / ``candidate``: question_id, item, rank. Lists are a question's few events.
+    """
+    both = reference.select("question_id", "item", c("rank").alias("r")).join(candidate.select("question_id", "item", c("rank").alias("k")), ["question_id", "item"], "full_outer")
+    a = both.select("question_id", c("item").alias("i"), F.coalesce("r", F.lit(1 << 30)).alias("r1"), F.coalesce("k", F.lit(1 << 30)).alias("k1"))
+    b = both.select("question_id", c("item").alias("j"), F.coalesce("r", F.lit(1 << 30)).alias("r2"), F.coalesce("k", F.lit(1 << 30)).alias("k2"))
+    d = a.join(b, "question_id").where("i < j").select("question_id", F.signum(c("r1") - c("r2")).alias("x"), F.signum(c("k1") - c("k2")).alias("y"))
+    n = d.groupBy("question_id").agg(
+        F.count_if((c("x") == c("y")) & (c("x") != 0)).alias("same"), F.count_if((c("x") == -c("y")) & (c("x") != 0)).alias("opposite"),
+        F.count_if((c("x") == 0) & (c("y") != 0)).alias("ref_tie"), F.count_if((c("x") != 0) & (c("y") == 0)).alias("cand_tie"),
+    )
+    scale = F.sqrt((c("same") + c("opposite") + c("ref_tie")).cast("double") * (c("same") + c("opposite") + c("cand_tie")))
+    return n.select("question_id", F.round(F.when(scale == 0, 0.0).otherwise(((c("same") - c("opposite")) / scale + 1) / 2), 6).alias("tau"))
+
+
+def sign_flip(deltas: DataFrame) -> DataFrame:
+    """Exact sign-flip permutation p over at most 20 group deltas; masks run in parallel.
+
+    The deltas travel as one short literal array per row of the mask range.
+    """
+    listed = deltas.agg(F.sort_array(F.collect_list("delta")).alias("d"))
+    last = F.pow(F.lit(2.0), F.size("d")).cast("bigint") - 1
+    masks = listed.select("d", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("mask"))
+    signed = F.transform("d", lambda x, i: F.when(F.floor(c("mask") / F.pow(F.lit(2.0), i)) % 2 == 1, x).otherwise(-x))
+    total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda s, x: s + x)
+    staged = masks.select(F.abs(total(signed)).alias("s"), F.abs(total(c("d"))).alias("o"), F.size("d").alias("g"))
+    return staged.agg(F.round(F.count_if(c("s") >= c("o") - 1e-12) / F.count("*"), 9).alias("p_two_sided"), F.max("g").cast("bigint").alias("groups"))
+
+
+def calibrate_threshold(rows: DataFrame, previous: float, step: float = 0.05, bin_width: float = 0.01) -> DataFrame:
+    """Best balanced-accuracy threshold on the training split, clamped to one step from the previous.
+
+    ``rows``: score (0..1), useful (boolean), split. Candidates are midpoints of distinct scores; a
+    running count over the distinct scores evaluates all of them in one sorted pass.
+    """
+    from keelson.operators.curation import running_sum
+
+    counts = rows.where("split = 'train'").groupBy("score").agg(F.count_if("useful").alias("p"), F.count_if(~c("useful")).alias("n"))
+    keyed = counts.withColumn("g", F.lit(1))
+    run = running_sum(running_sum(keyed, ["g"], ["score"], "p", F.floor(c("score") / bin_width), "tp"), ["g"], ["score"], "n", F.floor(c("score") / bin_width), "fp")
+    bins = run.withColumn("_bin", F.floor(c("score") / bin_width))
+    inside = Window.partitionBy("_bin").orderBy("score")
+    heads = bins.groupBy("_bin").agg(F.min("score").alias("h"))
+    after = heads.select("_bin", F.lead("h").over(Window.orderBy("_bin")).alias("next_bin"))  # one row per bin, at most 1/bin_width
+    staged = bins.withColumn("_next", F.lead("score").over(inside)).join(after, "_bin")
+    middle = (c("score") + F.coalesce("_next", "next_bin", F.lit(1.0))) / 2
+    totals = counts.agg(F.sum("p").alias("P"), F.sum("n").alias("N"))
+    candidates = staged.select(middle.alias("t"), "tp", "fp")
+    fixed = counts.agg(F.count("*")).select(F.explode(F.array(
+        F.struct(F.lit(0.0).alias("t"), F.lit(0).cast("bigint").alias("tp"), F.lit(0).cast("bigint").alias("fp")))).alias("z")).select("z.*")
+    scored = candidates.unionByName(fixed).crossJoin(totals).withColumn("balanced", F.round((c("tp") / c("P") + 1 - c("fp") / c("N")) / 2, 12))
+    best = scored.agg(F.max_by("t", F.struct("balanced", -F.abs(c("t") - previous))).alias("unconstrained"), F.max("balanced").alias("balanced"))
+    clamp = F.greatest(F.lit(previous - step), F.least(F.lit(previous + step), c("unconstrained")))
+    return best.select("unconstrained", F.round("balanced", 9).alias("balanced"), F.round(clamp, 9).alias("threshold"))
+
+
+def choose_blend(scored: DataFrame, by: str, a: str, b: str, gold: str, widths: tuple[float, float]) -> DataFrame:
+    """Blend weight 0…1 (step 0.1) with the best mean rank correlation over groups."""
+    grid = scored.withColumn("w", F.explode(F.sequence(F.lit(0), F.lit(10)))).withColumn("blend", F.round((1 - c("w") / 10) * c(a) + c("w") / 10 * c(b), 9))
+    each = spearman(grid, ["w", by], "blend", gold, widths)
+    macro = each.groupBy("w").agg(F.avg("rho").alias("macro"))
+    return macro.agg(F.max_by(c("w") / 10, F.struct(F.round("macro", 9), -c("w"))).alias("weight"), F.round(F.max("macro"), 6).alias("macro"))
+
+
+def citation_counts(pairs: DataFrame, run: int = 5) -> DataFrame:
+    """Retrieved and cited evidence per answer; ``pairs``: conv_id, turn, source_turn, ans, tk.
+
+    Runs of tokens are tested inside the row against the one answer text they belong to.
+    """
+    n = F.size("tk")
+    starts = F.sequence(F.lit(1), F.greatest(n - (run - 1), F.lit(1)))
+    quoted = F.exists(starts, lambda i: c("ans").contains(F.array_join(F.slice("tk", i, run), " ")))
+    cited = F.when(n < run, c("ans").contains(F.array_join("tk", " "))).otherwise(quoted)
+    return pairs.select("conv_id", "turn", cited.alias("cited")).groupBy("conv_id", "turn").agg(F.count("*").alias("retrieved"), F.count_if("cited").alias("cited"))
+
+
+# Reward of each outcome.
+REWARDS = {"verified": 0.6, "correctAbstain": 0.3, "insufficient": -0.5, "rejected": -0.2, "falsePositive": -1.0}
+
+
+def outcome_rewards(rows: DataFrame, tokens: Column, latency_ms: Column, token_price: float, second_price: float, weight: float) -> DataFrame:
+    """Labels to outcome (in priority order) to reward; action conflicts are counted, not averaged."""
+    outcome = (
+        F.when(c("misleading"), "falsePositive").when(c("not_needed"), "rejected").when(c("sufficient") == F.lit(False), "insufficient")
+        .when(c("sufficient"), "verified").when(c("noisy"), "rejected")
+    )
+    reward = F.element_at(F.create_map(*[F.lit(x) for kv in REWARDS.items() for x in kv]), c("outcome"))
+    injected = c("action").isin("resurface", "retrieve")
+    bad = (c("outcome").isin("verified", "rejected", "falsePositive") & ~injected) | ((c("outcome") == "correctAbstain") & injected)
+    cost = weight * (tokens / 1000 * token_price + latency_ms / 1000 * second_price)
+    staged = rows.withColumn("outcome", outcome).where("outcome is not null").withColumn("bad", bad).withColumn("reward", reward).withColumn("cost", cost)
+    return staged.groupBy("action").agg(
+        F.count("*").alias("rows"), F.count_if("bad").alias("violations"), F.round(F.avg(F.when(~c("bad"), c("reward"))), 6).alias("mean_reward"),
+        F.round(F.avg(F.when(~c("bad"), c("cost"))), 6).alias("mean_cost"),
+    )
+
+
+def split_summary(rows: DataFrame, group: str, split: str, smallest: int = 5) -> DataFrame:
+    """Rows and independent groups per split, groups that span splits, and small-split warnings."""
+    per = rows.groupBy(group, split).agg(F.count("*").alias("n"))
+    spanning = per.groupBy(group).agg(F.count("*").alias("s")).where("s > 1").agg(F.count("*").alias("spanning"))
+    out = per.groupBy(split).agg(F.count("*").alias("groups"), F.sum("n").alias("rows"))
+    return out.crossJoin(spanning).withColumn("too_few", c("groups") < smallest)  # one summary row
+
+
+def chronological_split(groups: DataFrame, fraction: float) -> DataFrame:
+    """Newest ceil(fraction·n) whole groups to validation.
+
+    ``groups``: grp, first, rows. The boundary is the k-th newest group, taken with a bounded
+    top-k order and joined back as one row.
+    """
+    n = groups.count()
+    k = 0 if n < 2 else max(1, -int(-(n * fraction) // 1))
+    if k == 0:
+        return groups.select("grp", "rows", F.lit("train").alias("split"))
+    edge = groups.orderBy(F.desc("first"), F.desc("grp")).limit(k).agg(F.min(F.struct("first", "grp")).alias("edge"))
+    late = F.struct("first", "grp") >= c("edge")
+    return groups.crossJoin(edge).select("grp", "rows", F.when(late, "validation").otherwise("train").alias("split"))  # one boundary row
