@@ -124,3 +124,27 @@ def pair_cosines(pairs: DataFrame, corpus: DataFrame, queries: DataFrame) -> Dat
     )
     value = vx.cosine(vx.as_double(F.col("_q")), vx.as_double(F.col("_c")))
     return joined.withColumn("cosine", F.round(value, 6)).drop("_c", "_q")
+
+
+def mention_scores(pages: DataFrame, radius: int = 240) -> DataFrame:
+    """Cosine of every mention's context with the page's first mention: (page, mention, score).
+
+    ``pages``: page, body, name. Contexts are cut around each occurrence with the mention masked,
+    embedded by feature hashing, and met in an equi-join on (page, dimension).
+    """
+    c = F.col
+    parts = pages.withColumn("parts", F.split("body", F.regexp_replace("name", r"(\W)", r"\\$1"))).where(F.size("parts") >= 3)
+    cut = lambda i: F.concat(
+        F.substr(F.get("parts", i - 1), F.greatest(F.lit(1), F.length(F.get("parts", i - 1)) - radius + 1), F.lit(radius)), F.lit(" [MENTION] "),
+        F.substr(F.get("parts", i), F.lit(1), F.lit(radius)),
+    )
+    contexts = parts.select("page", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("parts") - 1), cut)).alias("mention", "text"))
+    keyed = contexts.withColumn("key", F.concat_ws("/", "page", "mention"))
+    dims = hashed_dimensions(keyed.select("key", "text"), "key", "text").withColumn("page", F.split("key", "/")[0].cast("bigint")).withColumn("mention", F.split("key", "/")[1].cast("int"))
+    size = dims.groupBy("page", "mention").agg(F.sqrt(F.sum(c("v") * c("v"))).alias("size"))
+    anchor = dims.where("mention = 0").select("page", "bucket", c("v").alias("av"))
+    dots = dims.where("mention > 0").join(anchor, ["page", "bucket"]).groupBy("page", "mention").agg(F.sum(c("v") * c("av")).alias("dot"))
+    base = size.where("mention = 0").select("page", c("size").alias("asize"))
+    return size.where("mention > 0").join(base, "page").join(dots, ["page", "mention"], "left").select(
+        "page", "mention", F.round(F.coalesce("dot", F.lit(0)) / (c("size") * c("asize")), 6).alias("score")
+    )

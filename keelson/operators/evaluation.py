@@ -112,7 +112,7 @@ def coverage_with_exclusions(positions: DataFrame, by: list[str]) -> DataFrame:
 def split_labels(labels: Column) -> Column:
     """Composite evidence labels cut at semicolons and commas, trimmed, empties dropped."""
     parts = F.flatten(F.transform(labels, lambda x: F.split(x, r"[;,]\s*")))
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def eligibility(questions: DataFrame, known: DataFrame) -> DataFrame:

@@ -115,3 +115,14 @@ def bm25_top_k(queries: DataFrame, records: DataFrame, k: int = 20, allowed: Col
     """Lexical candidates; ``allowed`` filters records before the limit is applied."""
     visible = records if allowed is None else records.where(allowed)
     return top_k(bm25_scores(queries, visible), "bm25", k)
+
+
+def feedback_queries(queries: DataFrame, hits: DataFrame, records: DataFrame, terms: int, shortest: int) -> DataFrame:
+    """Second query per query: the most frequent long words of its first hits that it lacks."""
+    page = hits.select("query_id", "id").join(records, "id")
+    words = page.select("query_id", F.explode(tx.index_terms(F.col("text"))).alias("w")).where(F.length("w") >= shortest)
+    own = query_terms(queries).withColumnRenamed("term", "w")
+    counts = words.join(own, ["query_id", "w"], "left_anti").groupBy("query_id", "w").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("n"), "w")
+    kept = counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= terms)
+    return kept.groupBy("query_id").agg(F.array_join(F.collect_list("w"), " ").alias("query"))

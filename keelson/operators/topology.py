@@ -87,3 +87,196 @@ def first_sentences(rows: DataFrame, limit: int) -> DataFrame:
     running = w.rowsBetween(Window.unboundedPreceding, 0)
     used = head.withColumn("used", F.sum(F.length("s") + 1).over(running) - 1)
     return used.where((c("r") == 1) | (c("used") <= limit)).select("group", "id", "s", "used")
+
+
+# Propagation defaults and the channel of every relation type.
+DECAY, THRESHOLD, MOST_HOPS = 0.7, 0.02, 4
+REGULATORY = ("contradicts", "supersedes", "exception_to", "same_as", "distinct_from")
+BOTH_WAYS_REGULATORY = ("contradicts", "same_as", "distinct_from")
+FORWARD = ("causes", "depends_on", "is_a", "part_of")
+BACKWARD = ("derived_from", "refines")
+
+
+def activation_defaults(edges: DataFrame) -> DataFrame:
+    """Add direction, fan and rule of each relation type."""
+    kind = c("type")
+    direction = (
+        F.when(kind.isin(*BOTH_WAYS_REGULATORY), "both").when(kind.isin(*REGULATORY), "source->target").when(kind.isin(*FORWARD), "source->target")
+        .when(kind.isin(*BACKWARD), "target->source").otherwise("both")
+    )
+    fan = ~kind.isin("same_as", "distinct_from", *BACKWARD)
+    return edges.withColumn("direction", direction).withColumn("fan", fan).withColumn("rule", F.when(kind.isin(*REGULATORY), "regulatory").otherwise("conductive"))
+
+
+def directed_steps(edges: DataFrame) -> DataFrame:
+    ahead = edges.where("direction <> 'target->source'").withColumns({"from": c("src"), "to": c("dst")})
+    back = edges.where("direction <> 'source->target'").withColumns({"from": c("dst"), "to": c("src")})
+    return ahead.unionByName(back)
+
+
+def spread_activation(seeds: DataFrame, edges: DataFrame, hops: int = 1, decay: float = DECAY, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Best-path spreading activation of many queries: (node activations, edge activations).
+
+    ``seeds``: query_id, node, activation. Each hop joins active nodes with their steps, dilutes by
+    the fan-out, and keeps the best value per (query, node) with ``max_by``; the state is
+    checkpointed per hop.
+    """
+    clamp = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    steps = directed_steps(activation_defaults(edges))
+    fan = steps.where("fan").groupBy("from").agg(F.count("*").alias("out"))
+    steps = cut_lineage(steps.join(fan, "from", "left").select("edge_id", "from", "to", "type", "strength", "rule", "fan", F.coalesce("out", F.lit(1)).alias("out")))
+    nodes = seeds.select(Q, "node", clamp(c("activation")).alias("activation"), F.array().cast("array<string>").alias("path"))
+    found = None
+    for hop in range(1, min(hops, MOST_HOPS) + 1):
+        source = nodes.where("activation > 0").select(Q, c("node").alias("from"), c("activation").alias("s"), "path")
+        target = nodes.select(Q, c("node").alias("to"), c("activation").alias("t"))
+        fired = source.join(steps, "from").join(target, [Q, "to"], "left").withColumn("t", F.coalesce("t", F.lit(0.0)))
+        dilution = F.when(c("fan"), 1 + F.log(F.greatest(F.lit(1), c("out")))).otherwise(1.0)
+        base = clamp(c("s") * c("strength") * (decay ** hop) / dilution)
+        shaped = F.when(c("type") == "contradicts", base * F.abs(c("s") - c("t"))).when(c("type").isin("supersedes", "exception_to"), base * (1 - c("t"))).otherwise(base)
+        fired = fired.withColumn("a", F.round(clamp(shaped), 12)).where(c("a") >= threshold).withColumn("hop", F.lit(hop))
+        rows = fired.select(Q, "edge_id", "from", "to", "a", "rule", "hop")
+        found = rows if found is None else found.unionByName(rows)
+        gained = fired.where((c("rule") != "regulatory") & (c("a") > c("t")))
+        best = gained.groupBy(Q, c("to").alias("node")).agg(
+            F.max("a").alias("new"), F.min_by(F.array_append("path", c("edge_id")), F.struct(-c("a"), c("edge_id"))).alias("new_path")
+        )
+        merged = nodes.join(best, [Q, "node"], "full_outer").select(
+            Q, "node", F.coalesce("new", "activation").alias("activation"), F.coalesce("new_path", "path").alias("path")
+        )
+        nodes = cut_lineage(merged)
+    edge_best = found.groupBy(Q, "edge_id").agg(F.max("a").alias("activation"), F.min_by(F.struct("from", "to", "rule", "hop"), F.struct(-c("a"), "hop", "from")).alias("s"))
+    return nodes, edge_best.select(Q, "edge_id", "activation", "s.*")
+
+
+def strength_updates(outcomes: DataFrame, start: float, rate: float = 0.05) -> DataFrame:
+    """Clamped prediction-error updates per edge in time order.
+
+    ``outcomes``: edge, time, tie, bucket, outcome, predicted, coactivation. One update is
+    x -> clamp(x + d) and such functions compose into (shift, low, high), so every bucket folds its
+    own short list and only one triple per bucket is folded per edge.
+    """
+    unit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    delta = rate * (unit(c("outcome")) - unit(c("predicted"))) * unit(c("coactivation"))
+    identity = F.struct(F.lit(0.0).alias("d"), F.lit(float("-inf")).alias("l"), F.lit(float("inf")).alias("h"))
+
+    def then(f: Column, g: Column) -> Column:
+        inside = lambda x: F.greatest(g["l"], F.least(g["h"], x))
+        return F.struct((f["d"] + g["d"]).alias("d"), inside(f["l"] + g["d"]).alias("l"), inside(f["h"] + g["d"]).alias("h"))
+
+    step = F.struct("time", "tie", delta.alias("d"))
+    lists = outcomes.groupBy("edge", "bucket").agg(F.sort_array(F.collect_list(step)).alias("x"))
+    fold = F.aggregate("x", identity, lambda s, r: then(s, F.struct(r["d"].alias("d"), F.lit(0.0).alias("l"), F.lit(1.0).alias("h"))))
+    parts = lists.select("edge", "bucket", F.size("x").alias("n"), fold.alias("f"))
+    ordered = parts.groupBy("edge").agg(F.sort_array(F.collect_list(F.struct("bucket", "f"))).alias("p"), F.sum("n").alias("updates"))
+    whole = F.aggregate("p", identity, lambda s, r: then(s, r["f"]))
+    final = lambda f: F.greatest(f["l"], F.least(f["h"], start + f["d"]))
+    return ordered.withColumn("_f", whole).select("edge", "updates", final(c("_f")).alias("strength"))
+
+
+def association_edges(nodes: DataFrame, connected: DataFrame, limit: int) -> DataFrame:
+    """Unordered pairs of a result's nodes that no stored edge connects, in result order.
+
+    ``nodes``: query_id, node, position (a page's few nodes). ``connected``: a, b with a <= b.
+    """
+    left, right = nodes.select(Q, c("node").alias("x"), c("position").alias("i")), nodes.select(Q, c("node").alias("y"), c("position").alias("j"))
+    pairs = left.join(right, Q).where("i < j").select(Q, "i", "j", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    fresh = pairs.join(connected, ["a", "b"], "left_anti")
+    w = Window.partitionBy(Q).orderBy("i", "j")
+    return fresh.withColumn("rank", F.row_number().over(w)).where(c("rank") <= limit).select(Q, "a", "b", "rank")
+
+
+def hop_expansions(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+    """Every relation reached per hop once: (query_id, edge_id, source, target, hop)."""
+    visited = seeds.select(Q, "node")
+    frontier, used, out = visited, None, None
+    for hop in range(1, hops + 1):
+        src = frontier.join(edges, c("node") == c("src")).select(Q, "edge_id", c("src").alias("source"), c("dst").alias("target"), F.lit(0).alias("o"))
+        dst = frontier.join(edges, c("node") == c("dst")).select(Q, "edge_id", c("dst").alias("source"), c("src").alias("target"), F.lit(1).alias("o"))
+        step = src.unionByName(dst).groupBy(Q, "edge_id").agg(F.min_by(F.struct("source", "target"), "o").alias("s")).select(Q, "edge_id", "s.source", "s.target")
+        if used is not None:
+            step = step.join(used, [Q, "edge_id"], "left_anti")
+        step = step.withColumn("hop", F.lit(hop))
+        out = step if out is None else out.unionByName(step)
+        used = out.select(Q, "edge_id")
+        frontier = step.select(Q, c("target").alias("node")).distinct().join(visited, [Q, "node"], "left_anti")
+        visited = visited.unionByName(frontier)
+    return out
+
+
+def connected_components(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+    """Smallest reachable label per vertex: (node, component). ``pairs``: a, b of one type.
+
+    Every round takes the minimum label of the neighbours (combined map-side, so hubs are cheap)
+    and then jumps pointers, which halves the remaining distance; a checkpoint cuts the lineage.
+    """
+    links = cut_lineage(pairs.select("a", "b").unionByName(pairs.select(c("b").alias("a"), c("a").alias("b"))).where("a <> b").distinct())
+    labels = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", c("node")))
+    for _ in range(rounds):
+        near = links.join(labels.select(c("node").alias("b"), "component"), "b").groupBy(c("a").alias("node")).agg(F.min("component").alias("near"))
+        hooked = labels.join(near, "node", "left").select("node", F.least("component", F.coalesce("near", "component")).alias("component"), c("component").alias("old"))
+        jump = hooked.select(c("node").alias("component"), c("component").alias("root"))
+        moved = cut_lineage(hooked.join(jump, "component", "left").select("node", F.least("component", F.coalesce("root", "component")).alias("component"), "old"))
+        labels = moved.select("node", "component")
+        if moved.where("component <> old").isEmpty():
+            break
+    return labels
+
+
+FOREST_ROWS = 4096
+
+
+def similarity_forest(vectors: DataFrame, block: str, threshold: float) -> DataFrame:
+    """Spanning edges of the cosine >= threshold graph inside each block: (a, b).
+
+    A block is cut into shards of bounded size and every shard pair is one grouped task. A task
+    links its rows with a local union-find and emits only a spanning forest, so a block of copies
+    yields as many edges as it has rows, never all pairs, and connectivity is exact.
+    """
+    sizes = vectors.groupBy(block).agg(F.ceil(F.count("*") / FOREST_ROWS).cast("int").alias("shards"))
+    placed = vectors.join(sizes, block).select(block, "id", "embedding", "shards", F.pmod(F.xxhash64("id"), c("shards")).cast("int").alias("s"))
+    cell = F.explode(F.sequence(F.lit(0), c("shards") - 1))
+    cells = placed.select(block, "id", "embedding", "s", cell.alias("t")).select(block, "id", "embedding", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"))
+
+    def link(frame):
+        import numpy as np
+        import pandas as pd
+
+        ids = frame["id"].to_numpy()
+        m = np.vstack(frame["embedding"].to_list()).astype("float64")
+        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        parent = np.arange(len(ids))
+
+        def root(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out = []
+        for start in range(0, len(ids), 512):
+            rows, cols = np.nonzero(m[start : start + 512] @ m.T >= threshold)
+            for r, k in zip(rows + start, cols):
+                if r < k:
+                    x, y = root(r), root(k)
+                    if x != y:
+                        parent[max(x, y)] = min(x, y)
+                        out.append((ids[r], ids[k]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return cells.groupBy(block, "i", "j").applyInPandas(link, "a bigint, b bigint")
+
+
+def group_centroids(vectors: DataFrame, group: str) -> DataFrame:
+    """Element-wise mean vector per group; partial sums combine map-side per (group, position)."""
+    parts = vectors.select(group, F.posexplode("embedding").alias("p", "x")).groupBy(group, "p").agg(F.avg(c("x").cast("double")).alias("x"))
+    return parts.groupBy(group).agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("centroid"))
+
+
+def weighted_probe(anchors: DataFrame, weight: str) -> DataFrame:
+    """Normalised weighted mean of each query's few anchor vectors: (query_id, embedding)."""
+    parts = anchors.select(Q, c(weight).alias("w"), F.posexplode("embedding").alias("p", "x")).groupBy(Q, "p").agg((F.sum(c("w") * c("x")) / F.sum("w")).alias("x"))
+    vector = F.transform(F.sort_array(F.collect_list(F.struct("p", "x"))), lambda s: s["x"])
+    mean = parts.groupBy(Q).agg(vector.alias("v"))
+    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    return mean.select(Q, F.transform("v", lambda x: x / F.greatest(size, F.lit(1e-12))).alias("embedding"))
