@@ -264,12 +264,12 @@ def staged_recall(items: DataFrame, available: int = 12_000) -> DataFrame:
 
 def recency_decay(score: Column, event_time: Column, now: Column, half_life_days: float) -> Column:
     """Half the score per half-life; an undated row keeps its score."""
-    age = F.greatest(F.lit(0.0), F.date_diff(now, event_time).cast("double"))
-    return score * F.coalesce(F.pow(F.lit(0.5), age / half_life_days), F.lit(1.0))
+    age = F.greatest(F.lit(0), F.coalesce(F.date_diff(now, event_time), F.lit(0))).cast("double")
+    return score * F.pow(F.lit(0.5), age / half_life_days)
 
 
 def hotness(access_count: Column, importance: Column, idle_days: Column) -> Column:
-    recency = 1 / (1 + F.coalesce(F.greatest(F.lit(0), idle_days), F.lit(365)) / 30)
+    recency = 1 / (1 + F.greatest(F.lit(0), F.coalesce(idle_days, F.lit(365))) / 30)
     return F.log2(2 + access_count) * (0.5 + importance) * (0.5 + recency)
 
 

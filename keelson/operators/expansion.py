@@ -26,6 +26,18 @@ def previous_turn(turns: DataFrame, key: str = "session", order: str = "ordinal"
     return joined.withColumn("previous", previous).drop("_block", "_prev", "_first", "_carry")
 
 
+def carry_forward(rows: DataFrame, key: str, order: str, value: str, name: str) -> DataFrame:
+    """Latest earlier non-null ``value`` per key, with the same block scheme as ``previous_turn``."""
+    blocked = rows.withColumn("_block", F.floor(F.col(order) / TURN_BLOCK))
+    inside = Window.partitionBy(key, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    local = blocked.withColumn("_prev", F.last(value, ignorenulls=True).over(inside))
+    last = blocked.groupBy(key, "_block").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_last"))
+    across = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(key, "_block", F.last("_last", ignorenulls=True).over(across).alias("_carry"))
+    joined = local.join(carried, [key, "_block"])
+    return joined.withColumn(name, F.coalesce("_prev", "_carry")).drop("_block", "_prev", "_carry")
+
+
 def embedding_text(statement: Column, day: Column, previous: Column, limit: int = 240) -> Column:
     """Day and statement, then the previous turn cut to ``limit`` characters."""
     flat = F.trim(F.regexp_replace(F.coalesce(previous, F.lit("")), r"\s+", " "))

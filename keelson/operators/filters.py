@@ -119,7 +119,7 @@ def normalize_claims(claims: Column) -> Column:
         kept,
         lambda x: F.struct(
             F.trim(x["text"]).alias("text"), polarity(x).alias("polarity"), key(x).alias("predicateKey"),
-            F.greatest(F.lit(0.0), F.least(F.lit(1.0), x["confidence"])).alias("confidence"),
+            F.when(x["confidence"].isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x["confidence"]))).alias("confidence"),
             x["extractMethod"].alias("extractMethod"),
         ),
     )

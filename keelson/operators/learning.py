@@ -64,7 +64,7 @@ def relevance_features(candidates: DataFrame, now: Column) -> DataFrame:
     union = F.size("_qt") + F.size("_st") - F.size("_hit")
     qc = chars(c("_q"))
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
-    age = F.coalesce(F.greatest(F.lit(0), F.date_diff(now, c("event_time"))), F.lit(30))
+    age = F.greatest(F.lit(0), F.coalesce(F.date_diff(now, c("event_time")), F.lit(30)))
     features = {
         "raw_log": F.log1p("_raw"), "f_vector": c("vector"), "f_route": c("route"), "bounded": fuse.hybrid_score(c("lexical"), c("vector"), c("route")),
         "rel_z": F.when(c("_sd") > 0, (c("_raw") - c("_mean")) / c("_sd")).otherwise(0.0), "rel_ratio": F.when(c("_top") > 0, c("_raw") / c("_top")).otherwise(0.0),
@@ -138,7 +138,7 @@ def context_features(rows: DataFrame) -> DataFrame:
     for key in CONTEXT_KEYS:
         v = c(key).cast("double")
         if key in CONTEXT_COUNTS:
-            values.append(F.coalesce(F.least(v, F.lit(32.0)) / 32, F.lit(0.0)))
+            values.append(F.when(v.isNull(), 0.0).otherwise(F.least(v, F.lit(32.0)) / 32))
             bad.append(F.when(v < 0, F.lit(key)))
         else:
             low = -1.0 if key == "previousReward" else 0.0

@@ -34,25 +34,28 @@ def exclusive(a: Column, b: Column) -> Column:
     return both(either(a, b), negate(both(a, b)))
 
 
-def traverse(nodes: DataFrame, queries: DataFrame, steps: int, gate_bias: float = 0.0, keep: float = 0.5) -> DataFrame:
-    """Greedy walk of every query over its own candidate nodes: (query_id, step, id, score).
+def traverse(nodes: DataFrame, queries: DataFrame, steps: int, decay: float = 0.5, retention: float = 0.5, bias: float = 0.0) -> DataFrame:
+    """Greedy gated walk of every query over its own candidate nodes: (query_id, step, id, score).
 
-    Each step scores all unvisited nodes of a query against its current vector, takes the best
-    (``max_by``), and mixes that node into the vector through a gate. Queries advance together; a
-    step is one join and one aggregation, and the step count bounds the plan.
+    A node v enters the query vector through the gate sigmoid(v·q + bias); the next vector is
+    retention·(decay·q + gate·v) + (1-retention)·anchor, and v scores by its dot product with it.
+    Each step takes the best unvisited node per query (``max_by``). Queries advance together: one
+    join and one aggregation per step, and the step count bounds the plan.
     """
-    state = queries.select(Q, vx.as_double(c("q")).alias("cur"), vx.as_double(c("q")).alias("anchor"), F.array().cast("array<bigint>").alias("seen"))
+    q = vx.as_double(c("q"))
+    state = queries.select(Q, q.alias("cur"), q.alias("anchor"), F.array().cast("array<bigint>").alias("seen"))
     found = None
     for step in range(1, steps + 1):
-        open_nodes = nodes.join(state, Q).where(~F.array_contains("seen", c("id")))
         v = vx.as_double(c("embedding"))
-        gate = sigmoid(vx.dot(c("anchor"), v) + gate_bias)
-        scored = open_nodes.select(Q, "id", v.alias("v"), "cur", "anchor", "seen", gate.alias("gate"), F.round(gate * vx.dot(c("cur"), v), 9).alias("score"))
-        best = scored.groupBy(Q).agg(F.max_by(F.struct("id", "v", "cur", "anchor", "seen", "gate", "score"), F.struct("score", -c("id"))).alias("b")).select(Q, "b.*")
+        open_nodes = nodes.join(state, Q).where(~F.array_contains("seen", c("id"))).select(Q, "id", v.alias("v"), "cur", "anchor", "seen")
+        gated = open_nodes.withColumn("gate", sigmoid(vx.dot(c("v"), c("cur")) + bias))
+        absorbed = F.zip_with("cur", "v", lambda a, x: retention * (decay * a + c("gate") * x))
+        moved = gated.withColumn("next", F.zip_with(absorbed, "anchor", lambda a, o: a + (1 - retention) * o))
+        scored = moved.withColumn("score", F.round(vx.dot(c("next"), c("v")), 9))
+        best = scored.groupBy(Q).agg(F.max_by(F.struct("id", "next", "anchor", "seen", "score"), F.struct("score", -c("id"))).alias("b")).select(Q, "b.*")
         row = best.select(Q, F.lit(step).alias("step"), "id", "score")
         found = row if found is None else found.unionByName(row)
-        mixed = F.zip_with("cur", "v", lambda a, x: a * keep + x * (1 - keep) * c("gate"))
-        state = best.select(Q, vx.unit(mixed).alias("cur"), "anchor", F.array_append("seen", c("id")).alias("seen"))
+        state = best.select(Q, c("next").alias("cur"), "anchor", F.array_append("seen", c("id")).alias("seen"))
     return found
 
 

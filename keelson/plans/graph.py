@@ -265,7 +265,7 @@ def g15(t):
 def f17(t):
     rows = labelled(t)
     model = ml.train_scorer(rows, "label", MODEL_COLUMNS)
-    kept = ml.learned_gate(ml.score_rows(model, rows), 0.5)
+    kept = ml.learned_gate(ml.score_rows(model, rows), 0.1)
     return ml.learned_rerank(kept).where("model_rank <= 10").select("query_id", "id", big("model_rank"))
 
 
