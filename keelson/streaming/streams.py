@@ -156,9 +156,12 @@ def _keyed(stream: DataFrame, key: str, output: str, step: Callable, timeout_ms:
     return stream.groupBy(key).applyInPandasWithState(run, output, "document string", "append", mode)
 
 
-def working_set(stream: DataFrame, most_items: int = 16, ttl_s: float = 86_400.0) -> DataFrame:
+def working_set(stream: DataFrame, most_items: int = 16, ttl_s: float = 86_400.0, idle_ms: int | None = None) -> DataFrame:
     """Session working set: re-observed items keep their best activation, expired ones leave, and the
-    weakest is evicted beyond the cap. ``stream``: session, event_id, time, item, activation."""
+    weakest is evicted beyond the cap. ``stream``: session, event_id, time, item, activation.
+
+    ``idle_ms`` drops the state of idle sessions by processing time in a continuously running query;
+    leave it unset for run-to-completion triggers, which a pending timer would keep alive."""
 
     def step(memory, row):
         items = {k: v for k, v in memory.items() if v[1] + ttl_s > row.time.timestamp()}
@@ -173,7 +176,7 @@ def working_set(stream: DataFrame, most_items: int = 16, ttl_s: float = 86_400.0
             del items[evicted]
         return items, (int(row.event_id), bool(added), evicted, len(items))
 
-    return _keyed(stream, "session", "session bigint, event_id bigint, added boolean, evicted string, size int", step, timeout_ms=3_600_000)
+    return _keyed(stream, "session", "session bigint, event_id bigint, added boolean, evicted string, size int", step, timeout_ms=idle_ms)
 
 
 def disclosure_fold(stream: DataFrame, turns: int = 10, most: int = 256) -> DataFrame:
