@@ -182,20 +182,21 @@ def unavailable_related(rows: DataFrame, visible: DataFrame) -> DataFrame:
     )
 
 
-def running_sum(rows: DataFrame, keys: list[str], order: list[str], value: str, bin_expr: Column, name: str) -> DataFrame:
-    """Inclusive running sum per key, computed inside bins and offset by the earlier bins' totals.
+def running_sum(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, str], bin_expr: Column) -> DataFrame:
+    """Inclusive running sums per key, computed inside bins and offset by the earlier bins' totals.
 
-    Bins must grow with the order columns. A key that holds a third of all rows is cut into its
-    bins; only one total per (key, bin) meets in the second window.
+    ``values`` maps a column to the name of its running sum. Bins must grow with the order columns.
+    A key that holds a third of all rows is cut into its bins; only one row of totals per
+    (key, bin) meets in the second window.
     """
     binned = rows.withColumn("_bin", bin_expr)
     inside = Window.partitionBy(*keys, "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    totals = binned.groupBy(*keys, "_bin").agg(F.sum(value).alias("_total"))
+    totals = binned.groupBy(*keys, "_bin").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     across = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_bin", F.coalesce(F.sum("_total").over(across), F.lit(0)).alias("_offset"))
-    return binned.withColumn("_local", F.sum(value).over(inside)).join(offsets, [*keys, "_bin"]).withColumn(
-        name, F.col("_local") + F.col("_offset")
-    ).drop("_bin", "_local", "_offset")
+    offsets = totals.select(*keys, "_bin", *[F.coalesce(F.sum(f"_t_{v}").over(across), F.lit(0)).alias(f"_o_{v}") for v in values])
+    joined = binned.withColumns({f"_l_{v}": F.sum(v).over(inside) for v in values}).join(offsets, [*keys, "_bin"])
+    summed = joined.withColumns({name: F.col(f"_l_{v}") + F.col(f"_o_{v}") for v, name in values.items()})
+    return summed.drop("_bin", *[x + v for v in values for x in ("_l_", "_o_")])
 
 
 def overlap_counts(intervals: DataFrame, key: str, bin_expr) -> DataFrame:
@@ -210,8 +211,7 @@ def overlap_counts(intervals: DataFrame, key: str, bin_expr) -> DataFrame:
     points = (
         point("end", 0, 0, 1, "").unionByName(point("start", 1, 0, 0, "ends")).unionByName(point("end", 2, 0, 0, "starts")).unionByName(point("start", 3, 1, 0, ""))
     )
-    counted = running_sum(points, [key], ["t", "o", "id"], "s", bin_expr(F.col("t")), "starts_before")
-    counted = running_sum(counted, [key], ["t", "o", "id"], "e", bin_expr(F.col("t")), "ends_before")
+    counted = running_sum(points, [key], ["t", "o", "id"], {"s": "starts_before", "e": "ends_before"}, bin_expr(F.col("t")))
     asked = counted.where("ask <> ''").groupBy("id").agg(
         (F.max(F.when(F.col("ask") == "starts", F.col("starts_before"))) - F.max(F.when(F.col("ask") == "ends", F.col("ends_before"))) - 1).alias("overlaps")
     )

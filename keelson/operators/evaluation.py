@@ -270,7 +270,7 @@ def rank_auc(scored: DataFrame, by: list[str], bin_width: float = 0.01) -> DataF
     from keelson.operators.curation import running_sum
 
     counts = scored.groupBy(*by, "score").agg(F.count_if("positive").alias("pos"), F.count_if(~c("positive")).alias("neg"))
-    run = running_sum(counts, by, ["score"], "neg", F.floor(c("score") / bin_width), "_upto")
+    run = running_sum(counts, by, ["score"], {"neg": "_upto"}, F.floor(c("score") / bin_width))
     won = c("pos") * (c("_upto") - c("neg") + c("neg") / 2)
     return run.groupBy(*by).agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"), F.sum(won).alias("_w")).withColumn(
         "auc", F.round(F.try_divide("_w", c("positives") * c("negatives")), 9)
@@ -282,7 +282,7 @@ def average_ranks(rows: DataFrame, by: list[str], value: str, name: str, bin_wid
     from keelson.operators.curation import running_sum
 
     counts = rows.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    run = running_sum(counts, by, [value], "_n", F.floor(c(value) / bin_width), "_upto")
+    run = running_sum(counts, by, [value], {"_n": "_upto"}, F.floor(c(value) / bin_width))
     return rows.join(run.select(*by, value, (c("_upto") - (c("_n") - 1) / 2).alias(name)), [*by, value])
 
 
@@ -332,7 +332,7 @@ def calibrate_threshold(rows: DataFrame, previous: float, step: float = 0.05, bi
 
     counts = rows.where("split = 'train'").groupBy("score").agg(F.count_if("useful").alias("p"), F.count_if(~c("useful")).alias("n"))
     keyed = counts.withColumn("g", F.lit(1))
-    run = running_sum(running_sum(keyed, ["g"], ["score"], "p", F.floor(c("score") / bin_width), "tp"), ["g"], ["score"], "n", F.floor(c("score") / bin_width), "fp")
+    run = running_sum(keyed, ["g"], ["score"], {"p": "tp", "n": "fp"}, F.floor(c("score") / bin_width))
     bins = run.withColumn("_bin", F.floor(c("score") / bin_width))
     inside = Window.partitionBy("_bin").orderBy("score")
     heads = bins.groupBy("_bin").agg(F.min("score").alias("h"))

@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from keelson.functions import text as tx
 from keelson.registry import Tables
+from keelson.session import spread
 
 NOW = "2024-02-01 00:00:00"
 
 
 def records(t: Tables) -> DataFrame:
-    d = t.documents
+    d = spread(t.documents)
     chars = F.col("n_chars")
     return d.select(
         F.col("doc_id").alias("id"),

@@ -9,6 +9,7 @@ from keelson.operators import curation, filters as fl, projection
 from keelson.plans import bindings as b
 from keelson.plans.scalars import BL, sql_statement
 from keelson.registry import query
+from keelson.session import spread
 from keelson.sources import sinks
 
 NOW = "timestamp_ntz'2000-01-01 00:00:00'"
@@ -71,7 +72,7 @@ def policy_rows(t):
         .when(k == 3, " this is temporary wording").when(k == 4, " still pending review").when(k == 5, " the next step")
         .when(k == 6, " for this session only").otherwise("")
     )
-    return t.documents.select(
+    return spread(t.documents).select(
         F.col("doc_id").alias("id"), F.concat("text", tail).alias("statement"), F.lit(None).cast("string").alias("evidence"),
         F.when(F.col("lang") == "de", "event").otherwise("fact").alias("memory_type"), (F.col("doc_id") % 32 == 19).alias("bypass"),
         F.when(F.col("doc_id") % 32 == 20, "2030-01-01").alias("expires_at"),
@@ -191,7 +192,7 @@ def f11(t):
     k = F.col("doc_id")
     tail = F.when(k % 4 == 0, F.concat(F.lit(" v"), k % 5 % 3, F.lit(".2.7"))).otherwise("")
     plain = F.when((k % 4 != 0) | (k % 3 != k % 5 % 3), F.concat(F.lit(" see v"), k % 3, F.lit(".2, and"))).otherwise("")
-    texts = t.documents.select(k.alias("id"), F.concat("text", plain, tail).alias("statement"))
+    texts = spread(t.documents).select(k.alias("id"), F.concat("text", plain, tail).alias("statement"))
     anchors = t.region.where("r_regionkey < 3").select(F.col("r_regionkey").alias("query_id"), F.concat(F.lit("v"), "r_regionkey", F.lit(".2")).alias("query"))
     return lexical.exact_anchor_hits(anchors, texts).select("id", F.col("anchor"))
 
@@ -209,7 +210,7 @@ def f12(t):
         F.when(k % 4 == 0, F.concat(F.lit(" src/core/file"), k, F.lit(".ts"))).when(k % 4 == 1, F.concat(F.lit(" ERR_"), k, F.lit(" raised")))
         .when(k % 4 == 2, " parseHttpUrl now").otherwise("")
     )
-    rows = t.documents.select(k.alias("id"), tx.surface_anchors(F.concat("text", tail)).alias("a")).where(F.size("a") > 0)
+    rows = spread(t.documents).select(k.alias("id"), tx.surface_anchors(F.concat("text", tail)).alias("a")).where(F.size("a") > 0)
     return rows.select("id", F.size("a").cast("bigint").alias("anchors"), F.md5(F.array_join(F.array_sort("a"), " ")).alias("anchor_key"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from keelson.functions import decompose, text as tx, time as tm, vectors as vx, windows as wx
 from keelson.plans import bindings as b
 from keelson.registry import query
+from keelson.session import spread
 
 BL = r"e' \t\n\r'"
 SQL_STATEMENT = rf"trim(regexp_replace(regexp_replace(lower(trim({{0}}, {BL})), '[\p{{{{P}}}}\p{{{{S}}}}]', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -20,7 +21,7 @@ def sql_statement(column: str) -> str:
 select doc_id as id, md5({sql_statement('text')}) as statement_key,
   md5(regexp_replace(lower(text), '[\\p{{P}}\\p{{S}}\\s]+', '', 'g')) as identity_key from documents""")
 def x1(t):
-    return t.documents.select(
+    return spread(t.documents).select(
         F.col("doc_id").alias("id"), F.md5(tx.statement_form(F.col("text"))).alias("statement_key"),
         F.md5(tx.identity_form(F.col("text"))).alias("identity_key"),
     )
@@ -38,7 +39,7 @@ from documents""")
 def x2(t):
     normal = tx.match_form(F.col("text"))
     terms = tx.search_terms(F.col("normal"))
-    return t.documents.withColumn("normal", normal).select(
+    return spread(t.documents).withColumn("normal", normal).select(
         F.col("doc_id").alias("id"), F.size(terms).cast("bigint").alias("search_terms"),
         F.md5(F.array_join(F.array_sort(terms), " ")).alias("search_key"),
         F.size(tx.index_terms(F.col("text"))).cast("bigint").alias("index_tokens"),
@@ -246,7 +247,8 @@ select doc_id as id, 0::bigint as pos, md5(text) as digest from c where size <=
 union all select doc_id, pos, md5(substr(text, a + 1, b - a)) from covered join d using (doc_id) where pos >= 0 and b > a
 union all select doc_id, pos, md5(substr(text, a + 1, 2000)) from sampled join d using (doc_id)""")
 def x12(t):
-    cut = t.documents.select(F.col("doc_id").alias("id"), F.posexplode(wx.query_windows(F.col("text"))).alias("pos", "w"))
+    windows = spread(t.documents).select(F.col("doc_id").alias("id"), wx.query_windows(F.col("text")).alias("ws"))
+    cut = windows.select("id", F.posexplode_outer("ws").alias("pos", "w"))
     return cut.select("id", F.col("pos").cast("bigint").alias("pos"), F.md5("w").alias("digest"))
 
 

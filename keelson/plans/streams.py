@@ -152,7 +152,7 @@ def t12(t):
     return vw.lease_intervals(log, 1800)
 
 
-@query("t13_serial_slots", b.cte("""e as (select user_id as channel, event_id as entry, epoch(ts)::bigint as created, ceil(value * 400)::bigint as service from events),
+@query("t13_serial_slots", b.cte("""e as (select user_id as channel, event_id as entry, floor(epoch(ts))::bigint as created, ceil(value * 400)::bigint as service from events),
 w as (select *, coalesce(sum(service) over (partition by channel order by created, entry rows between unbounded preceding and 1 preceding), 0) as before from e)""") + """
 select channel, entry, (max(created - before) over (partition by channel order by created, entry rows unbounded preceding) + before)::bigint as start, (max(created - before) over (partition by channel order by created, entry rows unbounded preceding) + before - created)::bigint as wait from w""")
 def t13(t):

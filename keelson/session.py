@@ -32,6 +32,8 @@ def spread(df: DataFrame) -> DataFrame:
     A large table already has many splits and passes through untouched; a small file with one
     row group would otherwise run its CPU-heavy text work in a single task.
     """
+    if df.isStreaming:
+        return df
     wanted = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
