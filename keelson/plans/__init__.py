@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scans", "scalars", "predicates", "retrieval", "fusion", "joins", "aggregates", "graph", "streams")
+MODULES = ("scans", "scalars", "predicates", "retrieval", "fusion", "joins", "aggregates", "graph", "streams", "extensions")
 
 
 def load() -> None:
