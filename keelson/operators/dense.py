@@ -97,9 +97,10 @@ def _grid_top_k(corpus: DataFrame, queries: DataFrame, k: int, minimum: float, l
     shards = max(1, -(-corpus.count() // SHARD_ROWS))
     each_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     each_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    left = corpus.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), each_block.alias("block"))
+    # New names keep the two sides apart even when both come from one table.
+    left = corpus.select("id", F.col("embedding").alias("row_vector"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), each_block.alias("block"))
     right = queries.select(
-        "query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), each_shard.alias("shard")
+        "query_id", F.col("embedding").alias("query_vector"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), each_shard.alias("shard")
     )
 
     def cell(rows, asked):
@@ -108,9 +109,9 @@ def _grid_top_k(corpus: DataFrame, queries: DataFrame, k: int, minimum: float, l
 
         if rows.empty or asked.empty:
             return pd.DataFrame({"query_id": [], "id": [], "cosine": []})
-        block = np.vstack(rows["embedding"].to_list()).astype("float64")
+        block = np.vstack(rows["row_vector"].to_list()).astype("float64")
         q, i, s = _score_block(
-            rows["id"].to_numpy(), block, asked["query_id"].to_numpy(), _unit_rows(asked["embedding"].to_list()), k, minimum
+            rows["id"].to_numpy(), block, asked["query_id"].to_numpy(), _unit_rows(asked["query_vector"].to_list()), k, minimum
         )
         return pd.DataFrame({"query_id": q, "id": i, "cosine": s})
 
