@@ -191,14 +191,14 @@ def s9_conflicts(t):
 
 
 @query("s11_policy_dataset", b.cte(b.TRACES) + """
-select sha256(session::varchar) as session_hash, kind, count(*) as events, round(avg(value), 4) as mean_value,
+select sha256(session::varchar) as session_hash, kind, count(*) as events, round(avg(value), 8) as mean_value,
   max(case when value > 100 then 1 else 0 end) as label,
   case when ('0x' || substr(sha256(session::varchar), 1, 8))::ubigint % 10 < 6 then 'train'
        when ('0x' || substr(sha256(session::varchar), 1, 8))::ubigint % 10 < 8 then 'validation' else 'test' end as split
 from traces group by session, kind""")
 def s11(t):
     observed = b.traces(t).groupBy("session", "kind").agg(
-        F.count("*").alias("events"), F.round(F.avg("value"), 4).alias("mean_value"),
+        F.count("*").alias("events"), F.round(F.avg("value"), 8).alias("mean_value"),
         F.max(F.when(F.col("value") > 100, 1).otherwise(0)).alias("label"),
     )
     return observed.select(
