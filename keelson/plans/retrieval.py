@@ -31,9 +31,9 @@ def candidates(t, k: int = 20):
     return lexical.bm25_top_k(b.queries(t).select("query_id", "query"), corpus(t), k)
 
 
-@query("j5_bm25_topk", b.cte(b.RECORDS, b.QUERIES, BM25, bm_top(20)) + "select query_id, id, rank, round(bm25, 4) as bm25 from top")
+@query("j5_bm25_topk", b.cte(b.RECORDS, b.QUERIES, BM25, bm_top(20)) + "select query_id, id, rank, bm25 from top")
 def j5(t):
-    return candidates(t).select("query_id", "id", F.col("rank").cast("bigint").alias("rank"), F.round("bm25", 4).alias("bm25"))
+    return candidates(t).select("query_id", "id", F.col("rank").cast("bigint").alias("rank"), "bm25")
 
 
 @query("j5_bm25_filtered", b.cte(b.RECORDS.replace("from documents)", "from documents where lang = 'en' and source <> 'src3')"), b.QUERIES, BM25, bm_top(10))
