@@ -25,17 +25,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512, size: str = "16m") -> None:
-    """Arrow batches of few rows and bytes, so that long texts do not pile up in a worker.
-
-    Only settings that nobody has set are changed."""
-    for key, default, value in (
-        ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", str(rows)),
-        ("spark.sql.execution.arrow.maxBytesPerBatch", "", size),
-    ):
-        now = spark.conf.get(key, default)
-        if now in (default, "-1", str(2**31 - 1), "2147483647b", str(2**63 - 1)):
-            spark.conf.set(key, value)
+def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Arrow batches of few rows, so that long texts do not pile up in a worker (Spark bounds their
+    bytes); a setting that somebody has changed is left alone."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
 
 
 def free_name(df: DataFrame, *wanted: str) -> list[str]:
@@ -59,11 +54,12 @@ def map_columns(
     keep = [x for x in keep if x.lower() not in names]
     fed = df.select(*[F.col(f"`{x}`") for x in keep], *[x.alias(f"__in{i}") for i, x in enumerate(inputs)])
     schema = StructType([*fed.schema.fields[: len(keep)], *added])
+    kept, given, names = len(keep), [f"__in{i}" for i in range(len(inputs))], schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                made = compute(batch.select([f"__in{i}" for i in range(len(inputs))]))
-                yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], *made], names=schema.names)
+                made = compute(batch.select(given))
+                yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(kept)], *made], names=names)
 
     return fed.mapInArrow(run, schema)

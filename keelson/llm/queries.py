@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("wordpiece", "bpe", "url_rules", "contamination", "quality")
+MODULES = ("toxicity", "wordpiece", "bpe", "url_rules", "contamination", "quality")
 
 
 def load() -> None:
