@@ -34,10 +34,10 @@ class Ftrl:
     """Parameters of the model and its training; ``shards`` does not depend on the cluster."""
 
     bits: int = 20
-    alpha: float = 0.3
+    alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 1.0
-    l2: float = 1.0
+    l1: float = 4.0
+    l2: float = 0.0
     shards: int = 4
     rounds: int = 4
 
