@@ -14,6 +14,7 @@ import base64
 import hashlib
 import heapq
 import uuid
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +26,8 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stri
 from keelson.llm.common import bounded_batches, map_columns
 from keelson.registry import query
 
-CACHE_WORDS = 400_000  # encoded pre-tokens a worker keeps; beyond it the cache starts anew
+REPLAY_WORDS = 20_000  # distinct pre-tokens replayed together: what fits a processor's cache
+CACHE_WORDS = 300_000  # encoded pre-tokens in a generation of a worker's cache
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -34,72 +36,78 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
-    """Ids of every word: merges replayed over all words together.
+def merge_table(ranks: dict[bytes, int]) -> dict[int, int]:
+    """left rank << 32 | right rank to the rank of the joined token, for every split of a token in two."""
+    return {
+        ranks[token[:i]] << 32 | ranks[token[i:]]: rank
+        for token, rank in ranks.items() for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks
+    }
+
+
+def replay(words: list[bytes], single: list[int], merges: dict[int, int]) -> list[list[int]]:
+    """Ids of every word: merges replayed over all words together. ``single``: ranks of the bytes.
 
     Symbols of all words stand in one array; ``after`` and ``before`` link the live ones of a word.
     ``waiting`` maps a rank to the left places of pairs that merge to it. The lowest waiting rank goes
     first, its places from left to right; a merge that makes a pair of lower rank in its word puts
     off the word's later places until that pair has gone, as a word on its own would do."""
-    symbols: list[bytes | None] = []
+    symbols: list[int] = []
     word_of: list[int] = []
     first: list[int] = []
     for number, word in enumerate(words):
         first.append(len(symbols))
-        symbols += [word[i : i + 1] for i in range(len(word))]
+        symbols += [single[x] for x in word]
         word_of += [number] * len(word)
     size = len(symbols)
     after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-    for number, start in enumerate(first):
-        if words[number]:
+    for start, word in zip(first, words, strict=True):
+        if word:
             before[start] = -1
-            after[start + len(words[number]) - 1] = -1
+            after[start + len(word) - 1] = -1
     waiting: dict[int, list[int]] = {}
+    heap: list[int] = []
+    joined = merges.get
     for at in range(size):
-        if (right := after[at]) >= 0 and (rank := ranks.get(symbols[at] + symbols[right])) is not None:
-            waiting.setdefault(rank, []).append(at)
-    heap = list(waiting)
-    heapq.heapify(heap)
-
-    def wait(at: int, right: int) -> int | None:
-        rank = ranks.get(symbols[at] + symbols[right])
-        if rank is not None:
+        if (right := after[at]) >= 0 and (rank := joined(symbols[at] << 32 | symbols[right])) is not None:
             if rank in waiting:
                 waiting[rank].append(at)
             else:
                 waiting[rank] = [at]
-                heapq.heappush(heap, rank)
-        return rank
-
+    heap = list(waiting)
+    heapq.heapify(heap)
     while heap:
         rank = heapq.heappop(heap)
-        places = waiting.pop(rank, None)
-        if places is None:
-            continue
+        places = waiting.pop(rank)
+        places.sort()
         put_off: set[int] = set()
         later: list[int] = []
-        for at in sorted(places):
-            left = symbols[at]
-            if left is None or (right := after[at]) < 0:
+        for at in places:
+            # a symbol that was merged into its left neighbour is -1, and joins with nothing
+            if (right := after[at]) < 0 or joined(symbols[at] << 32 | symbols[right]) != rank:
                 continue
-            joined = left + symbols[right]
-            if ranks.get(joined) != rank:
-                continue  # a neighbour has been merged since
             if put_off and word_of[at] in put_off:
                 later.append(at)
                 continue
-            symbols[at], symbols[right] = joined, None
+            symbols[at], symbols[right] = rank, -1
             after[at] = beyond = after[right]
-            lower = False
             if beyond >= 0:
                 before[beyond] = at
-                found = wait(at, beyond)
-                lower = found is not None and found < rank
-            if (previous := before[at]) >= 0:
-                found = wait(previous, at)
-                lower |= found is not None and found < rank
-            if lower:
-                put_off.add(word_of[at])
+                if (made := joined(rank << 32 | symbols[beyond])) is not None:
+                    if made in waiting:
+                        waiting[made].append(at)
+                    else:
+                        waiting[made] = [at]
+                        heapq.heappush(heap, made)
+                    if made < rank:
+                        put_off.add(word_of[at])
+            if (previous := before[at]) >= 0 and (made := joined(symbols[previous] << 32 | rank)) is not None:
+                if made in waiting:
+                    waiting[made].append(previous)
+                else:
+                    waiting[made] = [previous]
+                    heapq.heappush(heap, made)
+                if made < rank:
+                    put_off.add(word_of[at])
         if later:
             if rank in waiting:
                 waiting[rank] += later
@@ -107,10 +115,10 @@ def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
                 waiting[rank] = later
                 heapq.heappush(heap, rank)
     out = []
-    for number, word in enumerate(words):
-        ids, at = [], first[number] if word else -1
+    for start, word in zip(first, words, strict=True):
+        ids, at = [], start if word else -1
         while at >= 0:
-            ids.append(ranks[symbols[at]])
+            ids.append(symbols[at])
             at = after[at]
         out.append(ids)
     return out
@@ -124,25 +132,32 @@ def _splitter(pattern: str):
 
 
 @lru_cache(1)
-def _known(run: str) -> dict[str, bytes]:
-    """Encoded pre-tokens that this worker keeps for one call of the operator."""
-    return {}
+def _known(run: str) -> list[dict[str, bytes]]:
+    """Encoded pre-tokens that this worker keeps for one call of the operator: a young and an old generation."""
+    return [{}, {}]
 
 
 def _encode(texts: list[str | None], shared: Broadcast, pattern: str, run: str) -> list[bytes]:
     """Ids of every text as little-endian 32-bit integers."""
-    known = _known(run)
+    generations = _known(run)
     split = _splitter(pattern)
     pieces = [split(x) if x else [] for x in texts]
-    fresh = list(set().union(*pieces).difference(known))
-    if len(known) + len(fresh) > CACHE_WORDS:
-        known.clear()
-        fresh = list(set().union(*pieces))
-    for start in range(0, len(fresh), 100_000):
-        part = fresh[start : start + 100_000]
-        for word, ids in zip(part, replay([x.encode() for x in part], shared.value), strict=True):
-            known[word] = np.array(ids, "<u4").tobytes()
-    find = known.__getitem__
+    distinct = set().union(*pieces)
+    if len(generations[0]) + len(distinct) > CACHE_WORDS:
+        generations[:] = [{}, generations[0]]
+    young, old = generations
+    fresh = []
+    for word in distinct.difference(young):
+        ids = old.get(word)
+        if ids is None:
+            fresh.append(word)
+        else:
+            young[word] = ids
+    for start in range(0, len(fresh), REPLAY_WORDS):
+        part = fresh[start : start + REPLAY_WORDS]
+        for word, ids in zip(part, replay([x.encode() for x in part], *shared.value), strict=True):
+            young[word] = array("i", ids).tobytes()
+    find = young.__getitem__
     return [b"".join(map(find, words)) for words in pieces]
 
 
@@ -150,7 +165,7 @@ def bpe_encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, text
     """Adds ``ids`` (array of int) to every row."""
     spark = documents.sparkSession
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(ranks)  # a vocabulary of bounded size
+    shared = spark.sparkContext.broadcast(([ranks[bytes([b])] for b in range(256)], merge_table(ranks)))  # of a vocabulary of bounded size
     run = uuid.uuid4().hex
 
     def compute(batch: pa.RecordBatch) -> list:
