@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("toxicity", "wordpiece", "bpe", "url_rules", "contamination", "quality", "line_chunks", "near_copies")
+MODULES = ("toxicity", "wordpiece", "bpe", "interpolation", "url_rules", "contamination", "quality", "line_chunks", "near_copies")
 
 
 def load() -> None:
