@@ -199,8 +199,8 @@ def _rows(column: pa.Array) -> list[np.ndarray]:
     return [values[offsets[i] : offsets[i + 1]] if full[i] else values[:0] for i in range(len(column))]
 
 
-def bpe_digest(decoded: DataFrame) -> DataFrame:
-    """Adds n_tokens, ids_sha256 and decoded_sha256 in place of ids and decoded."""
+def bpe_digest(decoded: DataFrame, keep_ids: bool = False) -> DataFrame:
+    """Adds n_tokens, ids_sha256 and decoded_sha256 in place of decoded, and of ids unless they are kept."""
 
     def compute(batch: pa.RecordBatch) -> list:
         rows = _rows(batch.column(0))
@@ -209,7 +209,7 @@ def bpe_digest(decoded: DataFrame) -> DataFrame:
             pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in rows]),
         ]
 
-    keep = [x for x in decoded.columns if x != "ids"]
+    keep = [x for x in decoded.columns if keep_ids or x != "ids"]
     added = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType())]
     digested = map_columns(decoded, [F.col("ids")], added, compute, keep)
     return digested.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
