@@ -128,14 +128,19 @@ def first_terms(prompt: Column, vocabulary: tuple[Term, ...] = VOCABULARY) -> Co
     return F.array_compact(F.array(*[F.when(prompt.rlike(pattern(t)), F.lit(t.phrase)) for t in vocabulary]))
 
 
+# Prompts that are about text itself, and prompts that refuse memory.
+LITERAL_TASK = r"(?i)(?:翻译|字符串|打印|translate|literal string|print)"
+MEMORY_REFUSED = r"(?i)(?:不要|不用|不需要|别).{0,8}(?:记忆|回忆|检索)|\b(?:without|no|don't use|do not use)\s+memory\b"
+# Quoted code and quoted words, which are not the user's own question.
+CODE_BLOCK = r"```[\s\S]*?(?:```|$)"
+QUOTED = "`[^`\\n]*(?:`|$)|“[^”]*”|「[^」]*」|\"[^\"\\n]*\"|'[^'\\n]*'"
+
+
 def recall_input(prompt: Column) -> Column:
-    """Prompt text the gate looks at; empty when recall is out of place."""
+    """Prompt text the gate looks at; empty when recall is out of place or the prompt holds a secret."""
+    from keelson.operators.curation import SECRET_PATTERNS, any_match
+
     base = tx.nfkc(prompt)
-    blocked = (
-        (F.length(base) > 4096)
-        | base.rlike(r"(?i)(?:翻译|字符串|打印|translate|literal string|print)")
-        | base.rlike(r"(?i)(?:不要|不用|不需要|别).{0,8}(?:记忆|回忆|检索)|\b(?:without|no|don't use|do not use)\s+memory\b")
-    )
-    bare = F.regexp_replace(base, r"```[\s\S]*?(?:```|$)", " ")
-    bare = F.regexp_replace(bare, "`[^`\\n]*(?:`|$)|“[^”]*”|「[^」]*」|\"[^\"\\n]*\"|'[^'\\n]*'", " ")
+    blocked = (F.length(base) > 4096) | any_match(base, SECRET_PATTERNS) | base.rlike(LITERAL_TASK) | base.rlike(MEMORY_REFUSED)
+    bare = F.regexp_replace(F.regexp_replace(base, CODE_BLOCK, " "), QUOTED, " ")
     return F.when(blocked, "").otherwise(F.lower(F.trim(F.regexp_replace(bare, r"\s+", " "))))

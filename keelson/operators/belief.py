@@ -67,17 +67,28 @@ def proposals(judgements: DataFrame) -> DataFrame:
     return gains.join(evidence, "key")
 
 
-def contradictions_to_retract(supported: DataFrame, prior: float, policy: dict = POLICY, most: int = 100) -> DataFrame:
+def contradictions_to_retract(supported: DataFrame, prior: float, policy: dict = POLICY) -> DataFrame:
     """Smallest number of contradictions that retracts a claim with ``supported`` votes.
 
-    ``supported`` has one row per distinct vote count (a small set), so the search grid is
-    explode(sequence) over that set rather than over the claims.
+    More contradictions never raise the mean or its lower bound, so the number is found by halving
+    an interval whose upper end retracts for certain: 62 steps for any vote count.
     """
     base = 1 + 2 * prior + c("supported")
     before = posterior_columns(base, F.lit(1 + 2 * (1 - prior)))
     eligible = (c("supported") >= policy["votes"]) & (before["mean"] >= policy["mean"]) & (before["lower"] >= policy["lower"])
-    grid = supported.withColumn("eligible", eligible).withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(most))))
-    after = posterior_columns(base, 1 + 2 * (1 - prior) + c("x"))
-    falls = (after["mean"] < policy["keep_mean"]) | (after["lower"] < policy["keep_lower"])
-    found = grid.groupBy("supported", "eligible").agg(F.min(F.when(falls, c("x"))).alias("x"))
-    return found.select("supported", "eligible", F.when(~c("eligible"), 0).otherwise(c("x")).alias("contradictions"))
+
+    def falls(x: Column) -> Column:
+        after = posterior_columns(base, 1 + 2 * (1 - prior) + x)
+        return (after["mean"] < policy["keep_mean"]) | (after["lower"] < policy["keep_lower"])
+
+    def halve(interval: Column, _: Column) -> Column:
+        middle = F.floor((interval["low"] + interval["high"]) / 2).cast("bigint")
+        down = falls(middle)
+        return F.when(interval["low"] >= interval["high"], interval).otherwise(
+            F.struct(F.when(down, interval["low"]).otherwise(middle + 1).alias("low"), F.when(down, middle).otherwise(interval["high"]).alias("high"))
+        )
+
+    ceiling = F.ceil(base / policy["keep_mean"] + 1).cast("bigint")  # below the mean that is kept
+    start = F.struct(F.lit(1).cast("bigint").alias("low"), ceiling.alias("high"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(62)), start, halve)["low"]
+    return supported.distinct().select("supported", eligible.alias("eligible"), F.when(~eligible, F.lit(0)).otherwise(found).alias("contradictions"))

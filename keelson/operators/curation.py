@@ -57,7 +57,8 @@ def write_reason(statement: Column, evidence: Column, memory_type: Column, bypas
     coordination wording is exempt for events and under bypass; an expiry also lifts the latter.
     """
     everything = F.concat_ws("\n", statement, evidence)
-    soft = ~bypass & (memory_type != "event")
+    # an unknown type is a plain one, an unknown bypass is none
+    soft = ~F.coalesce(bypass, F.lit(False)) & (F.coalesce(memory_type, F.lit("")) != "event")
     return (
         F.when(any_match(everything, SECRET_PATTERNS), "secret")
         .when(any_match(statement, DO_NOT_RETAIN_PATTERNS), "non_persistent_instruction")
@@ -165,13 +166,15 @@ def validate_chain(links: DataFrame) -> DataFrame:
 def merge_provisional(local: DataFrame, shared: DataFrame, keys: list[str]) -> DataFrame:
     """Provisional rows without their cached copies, merged with authoritative rows.
 
-    Per state key the newest version wins and the authoritative side wins an exact tie.
+    Per state key the newest version wins and the authoritative side wins an exact tie. Rows without
+    a state key do not compete: each is kept.
     """
     fresh = local.join(shared.select(F.col("id").alias("cached_from")), "cached_from", "left_anti").drop("cached_from")
     both = fresh.withColumn("authoritative", F.lit(0)).unionByName(shared.withColumn("authoritative", F.lit(1)))
-    best = both.groupBy(*keys).agg(F.max(F.struct("valid_from", "authoritative", "id")).alias("w"))
+    keyed = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    best = both.where(keyed).groupBy(*keys).agg(F.max(F.struct("valid_from", "authoritative", "id")).alias("w"))
     winner = best.select(*keys, F.col("w.id").alias("id"), F.col("w.authoritative").alias("authoritative"))
-    return both.join(winner, [*keys, "id", "authoritative"], "left_semi")
+    return both.where(keyed).join(winner, [*keys, "id", "authoritative"], "left_semi").unionByName(both.where(~keyed))
 
 
 def unavailable_related(rows: DataFrame, visible: DataFrame) -> DataFrame:

@@ -148,14 +148,22 @@ def paired_outcomes(results: DataFrame, baseline: str) -> DataFrame:
 
 
 def sign_test(pairs: DataFrame, wins: str = "candidate_only", losses: str = "baseline_only") -> DataFrame:
-    """Exact two-sided binomial p per row; the tail is a sum of log-gamma terms over exploded counts."""
-    n = c(wins) + c(losses)
-    k = F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(c(wins), c(losses))))
-    keyed = pairs.withColumn("_row", F.monotonically_increasing_id())
-    terms = keyed.where(n > 0).select("_row", n.alias("n"), k.alias("k"))
-    log_choose = _log_factorial(c("n")) - _log_factorial(c("k")) - _log_factorial(c("n") - c("k"))
-    tail = terms.groupBy("_row").agg(F.sum(F.exp(log_choose - c("n") * F.log(F.lit(2.0)))).alias("t"))
-    return keyed.join(tail, "_row", "left").withColumn("p_value", F.round(F.least(F.lit(1.0), 2 * c("t")), 9)).drop("_row", "t")
+    """Exact two-sided binomial p per row.
+
+    The lower tail is summed inside the row from its largest term down, each term the one before it
+    times k / (n - k + 1), so no row is exploded and no row number is needed."""
+    n, most = c(wins) + c(losses), F.least(c(wins), c(losses))
+    top = _log_factorial(n) - _log_factorial(most) - _log_factorial(n - most) - n * F.log(F.lit(2.0))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+
+    def add(a: Column, i: Column) -> Column:
+        k = most - i + 1  # from the term of k wins to that of k - 1
+        term = a["term"] * k / (n - k + 1)
+        return F.struct(term.alias("term"), (a["total"] + term).alias("total"))
+
+    places = F.when(most > 0, F.sequence(F.lit(1).cast("bigint"), most)).otherwise(F.array().cast("array<bigint>"))
+    tail = F.exp(top) * F.aggregate(places, start, add)["total"]
+    return pairs.withColumn("p_value", F.when(n > 0, F.round(F.least(F.lit(1.0), 2 * tail), 9)).otherwise(F.lit(1.0)))
 
 
 def _log_factorial(n: Column) -> Column:

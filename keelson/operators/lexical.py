@@ -32,23 +32,34 @@ def exact_anchor_hits(queries: DataFrame, texts: DataFrame) -> DataFrame:
     return candidates.where(F.regexp_like("nt", pattern)).select("query_id", "id", "anchor")
 
 
-def trigger_matches(queries: DataFrame, profile: DataFrame, most_words: int = 16) -> DataFrame:
-    """Longest trigger of every record found in every query, on word edges.
+def trigger_matches(queries: DataFrame, profile: DataFrame) -> DataFrame:
+    """Longest trigger of every record found in every query, on word edges; Han triggers anywhere.
 
-    Both sides meet on the trigger text: queries contribute their word n-grams, so no query is
-    ever compared with every trigger.
+    Both sides meet on the trigger text: queries contribute their word n-grams, and for Han triggers
+    their runs of characters, of just the lengths that triggers have, so no query is ever compared
+    with every trigger.
     """
     phrases = profile.select("id", F.explode("triggers").alias("raw")).select("id", tx.statement_form(F.col("raw")).alias("phrase"))
     phrases = phrases.where("length(phrase) >= 2").distinct()
+    han = F.col("phrase").rlike(r"\p{IsHan}")
+    lengths = phrases.agg(
+        F.collect_set(F.when(~han, F.size(F.split("phrase", " ")))).alias("word_sizes"), F.collect_set(F.when(han, F.length("phrase"))).alias("han_sizes"),
+    )  # one row: the few lengths that occur
     words = F.split("nq", " ")
-    sizes = F.sequence(F.lit(1), F.least(F.size(words), F.lit(most_words)))
+    fit = lambda sizes, n: F.filter(sizes, lambda x: x <= n)
     grams = F.flatten(
         F.transform(
-            sizes,
+            fit(F.col("word_sizes"), F.size(words)),
             lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " ")),
         )
     )
-    exploded = queries.select("query_id", F.explode(F.array_distinct(grams)).alias("phrase"))
+    runs = F.flatten(
+        F.transform(
+            fit(F.col("han_sizes"), F.length("nq")),
+            lambda n: F.transform(F.sequence(F.lit(1), F.length("nq") - n + 1), lambda i: F.substring(F.col("nq"), i, n)),
+        )
+    )
+    exploded = queries.crossJoin(F.broadcast(lengths)).select("query_id", F.explode(F.array_distinct(F.concat(grams, runs))).alias("phrase"))
     return exploded.join(phrases, "phrase").groupBy("query_id", "id").agg(F.max(F.length("phrase")).cast("bigint").alias("score"))
 
 

@@ -219,8 +219,8 @@ def connected_components(pairs: DataFrame, rounds: int = 50) -> DataFrame:
         moved = cut_lineage(hooked.join(jump, "component", "left").select("node", F.least("component", F.coalesce("root", "component")).alias("component"), "old"))
         labels = moved.select("node", "component")
         if moved.where("component <> old").isEmpty():
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components are not settled after {rounds} rounds; raise the bound")
 
 
 FOREST_ROWS = 4096

@@ -399,11 +399,11 @@ def w11(t):
 
 @query("w12_tier_walk", b.cte(SL, """
 o as (select query_id, u.t as open, count(case when direct then 1 end) as n, coalesce(max(case when direct then score end), 0) as top1, avg(case when direct then score end) as mean, stddev_pop(case when direct then score end) as sd,
-  count(case when direct and reason <> 'hybrid_match' then 1 end) as healthy from (select * from sl where position <= 6) sl, (values (0), (1), (2), (3)) u(t) where tier <= u.t group by 1, 2),
+  count(case when direct and reason <> 'hybrid_match' then 1 end) as healthy from sl, (values (0), (1), (2), (3)) u(t) where tier <= u.t group by 1, 2),
 d as (select *, (n > 0 and healthy = 0) or top1 < 0.2 or top1 + 0.5 * case when n < 2 or mean <= 1e-9 then 0 else least(1, sd / mean) end < 0.55 as trig from o)""") + """
 select q.query_id, coalesce(min(case when not trig then open end), 3)::bigint as opened_tier from (select distinct query_id from sl) q left join d using (query_id) group by 1""")
 def w12(t):
-    out = bg.tier_walk(shortlist(t).where("position <= 6").withColumn("strength", c("score")), 3)
+    out = bg.tier_walk(shortlist(t).withColumn("strength", c("score")), 3)
     return out.select("query_id", c("opened_tier").cast("bigint").alias("opened_tier"))
 
 

@@ -409,12 +409,12 @@ def j30(t):
 
 
 @query("j31_unavailable_related", b.cte(b.MEMORIES, """
-v as (select id from memories where status = 'active' and not forgotten), x as (select id, u.r from memories, unnest([id + 1, id + 7]) as u(r) where id % 5 = 0)""") + """
+v as (select id from memories where status = 'active' and not forgotten), x as (select id, u.r from memories, unnest([id + 1, id + 7]) as u(r))""") + """
 select id, count(distinct r) as missing from x where r not in (select id from v) group by 1""")
 def j31(t):
     m = b.memories(t)
     visible = m.where((c("status") == "active") & ~fl.has_marker("forget"))
-    return cu.unavailable_related(m.where("id % 5 = 0").select("id", F.array(c("id") + 1, c("id") + 7).alias("related_ids")), visible)
+    return cu.unavailable_related(m.select("id", F.array(c("id") + 1, c("id") + 7).alias("related_ids")), visible)
 
 
 @query("j32_pending_blend", b.cte(SL) + """

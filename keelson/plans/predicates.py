@@ -250,7 +250,7 @@ def prompts(t):
 
 
 @query("f15_recall_need", r"""
-select conv_id as session, turn, case when length(text) + [16, 26, 8, 0, 12, 0][1 + turn % 6] > 4096 then 'none' when turn % 6 = 0 then 'retrieve' when turn % 6 = 1 then 'cue' when turn % 6 = 2 then 'retrieve'
+select conv_id as session, turn, case when length(text) + [16, 26, 8, 0, 12, 0][1 + turn % 6] > 4096 then 'none' when regexp_matches(text, '(?i)-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----|\b(?:api[_ -]?key|access[_ -]?token|auth(?:orization)?[_ -]?token|password|passwd|secret)\b\s*[:=]\s*\S+|\bBearer\s+[A-Za-z0-9._~+/=-]{12,}|\b(?:sk|pk)-(?:live|test|prod)-[A-Za-z0-9_-]{8,}\b|\bsk-[A-Za-z0-9_-]{12,}\b') then 'none' when turn % 6 = 0 then 'retrieve' when turn % 6 = 1 then 'cue' when turn % 6 = 2 then 'retrieve'
   when turn % 6 = 4 then 'retrieve' else 'none' end as mode from conversations""")
 def f15(t):
     rows = prompts(t).withColumn("p", vb.recall_input(F.col("prompt")))

@@ -323,14 +323,14 @@ def x14(t):
 
 @query("x15_part_flattening", r"""
 with p as (select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, url, html from pages)
-select page_id as id, md5(title || chr(10) || left(html, 200)) as text_key, 1::bigint as images, sha256(url) as image_hash from p""")
+select page_id as id, md5(title || chr(10) || html) as text_key, 1::bigint as images, sha256(url) as image_hash from p""")
 def x15(t):
     from keelson.operators import projection
 
     title = F.regexp_extract("html", r"<title>([^<]*)</title>", 1)
     part = lambda kind, text, url: F.struct(F.lit(kind).alias("type"), text.alias("text"), url.alias("url"))
     none = F.lit(None).cast("string")
-    parts = F.to_json(F.array(part("text", title, none), part("image_url", none, F.col("url")), part("text", F.expr("left(html, 200)"), none)))
+    parts = F.to_json(F.array(part("text", title, none), part("image_url", none, F.col("url")), part("text", F.col("html"), none)))
     flat = projection.flatten_parts(t.pages.select(F.col("page_id").alias("id"), parts.alias("content")), "content")
     return flat.select(
         "id", F.md5("text_view").alias("text_key"), F.size("image_hashes").cast("bigint").alias("images"), F.col("image_hashes")[0].alias("image_hash")

@@ -113,12 +113,12 @@ def t9(t):
     return out.select("session", c("start").cast("timestamp_ntz").alias("start"), "events")
 
 
-@query("t10_index_backfill", "select doc_id as id from documents where doc_id not in (select vec_id from embeddings) order by doc_id desc limit 300")
+@query("t10_index_backfill", "select doc_id as id from documents where doc_id not in (select vec_id from embeddings)")
 def t10(t):
     root = st.stream_root(t.spark)
     docs = live(t, "documents").select(c("doc_id").alias("id"), c("doc_id").alias("created_at"), "text")
     stored = lambda: t.embeddings.select(c("vec_id").alias("id"))
-    st.backfill(docs, stored, lambda rows: rows.select("id", F.length("text").alias("size")), root, 300)
+    st.backfill(docs, stored, lambda rows: rows.select("id", F.length("text").alias("size")), root, 5000)
     return t.spark.read.parquet(f"{root}/vectors").select("id")
 
 
@@ -170,9 +170,9 @@ def t14(t):
     return vw.unseen(entries, acks, t.nation.select(c("n_nationkey").alias("agent")))
 
 
-@query("t14_notice_coalescing", b.cte(b.TRACES) + "select session as recipient, kind as topic, arg_max(event_id, [epoch_us(ts), event_id]) as entry, count(*) as merged from traces where k % 2 = 0 group by 1, 2")
+@query("t14_notice_coalescing", b.cte(b.TRACES) + "select session as recipient, kind as topic, arg_max(event_id, [epoch_us(ts), event_id]) as entry, count(*) as merged from traces group by 1, 2")
 def t14_notices(t):
-    n = b.traces(t).where("k % 2 = 0").select(c("session").alias("recipient"), c("kind").alias("topic"), c("event_id").alias("entry"), c("ts").alias("created_at"))
+    n = b.traces(t).select(c("session").alias("recipient"), c("kind").alias("topic"), c("event_id").alias("entry"), c("ts").alias("created_at"))
     return vw.coalesced_notices(n)
 
 
@@ -203,10 +203,10 @@ def t16(t):
 
 @query("t17_run_facts", b.cte(b.TRACES, """
 f as (select session as run, kind, k % 10 as task, k % 2 as attempt, min({'t': ts, 'e': event_id}) as m from traces group by 1, 2, 3, 4), s as (select *, row_number() over (partition by run order by m.t, m.e) as sequence from f)""") + """
-select run, kind, task, attempt, m.e as fact, sequence from s where sequence <= 20""")
+select run, kind, task, attempt, m.e as fact, sequence from s""")
 def t17(t):
     facts = b.traces(t).select(c("session").alias("run"), "kind", (c("k") % 10).alias("task"), (c("k") % 2).alias("attempt"), c("ts").alias("recorded_at"), c("event_id").alias("fact"))
-    return vw.append_once(facts).where("sequence <= 20").select("run", "kind", "task", "attempt", "fact", big("sequence"))
+    return vw.append_once(facts).select("run", "kind", "task", "attempt", "fact", big("sequence"))
 
 
 @query("t18_ready_tasks", """

@@ -62,8 +62,14 @@ def explode_rows(df: DataFrame, array, name: str, *keep: str) -> DataFrame:
     return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
 
 
+def require_shared_folder(spark: SparkSession, configured: str | None) -> None:
+    """A cluster must name a folder that all its machines share; local mode may do without."""
+    if not configured and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
 def _checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is set (tests)."""
+    """The shared folder the cluster names; a local one only where none is set, in local mode (tests)."""
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
         "spark.checkpoint.dir", None
@@ -71,6 +77,7 @@ def _checkpoint_dir(spark: SparkSession) -> str:
     current = context.getCheckpointDir()
     if current:
         return current
+    require_shared_folder(spark, configured)
     target = configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     context.setCheckpointDir(target)
     return target

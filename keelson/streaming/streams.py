@@ -13,15 +13,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from keelson.operators import belief, curation, telemetry
+from keelson.session import require_shared_folder
 from keelson.sources import sinks
 
 c = F.col
 
 
 def stream_root(spark: SparkSession) -> str:
-    """Folder for stream checkpoints and outputs: the cluster's shared one, else a local test folder."""
+    """Folder for stream checkpoints and outputs: the cluster's shared one, or in local mode a test folder."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     base = configured or "/tmp"
+    require_shared_folder(spark, configured)
     if configured:
         return os.path.join(base, f"keelson-{spark.sparkContext.applicationId}-{next(_serial)}")
     return tempfile.mkdtemp(prefix="spark-", dir=base)
@@ -118,15 +120,27 @@ def expiries(entries: DataFrame, pins: DataFrame, delay: str) -> DataFrame:
 
 
 def backfill(stream: DataFrame, stored: Callable[[], DataFrame], embed: Callable[[DataFrame], DataFrame], root: str, most: int) -> None:
-    """Bounded newest-first micro-batches of rows without a vector.
+    """Newest-first steps of at most ``most`` rows without a vector, until none is pending.
 
-    A failing batch leaves its rows pending: they are picked again because they are still absent
-    from the stored vectors. ``stored`` re-reads the vector table for every batch.
+    Every step takes the newest rows that neither ``stored`` (re-read each time) nor an earlier step
+    holds. A step that fails stops the stream before its offset is kept, and the batch comes again.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        pending = curation.pending_index(batch, stored()).orderBy(F.desc("created_at"), "id").limit(most)
-        embed(pending).write.mode("overwrite").parquet(f"{root}/vectors/batch={number}")
+        folder, step = f"{root}/vectors/batch={number}", 0
+        while True:
+            pending = curation.pending_index(batch, stored())
+            if step:
+                done = batch.sparkSession.read.schema(batch.select("id").schema).parquet(*[f"{folder}/step={i}" for i in range(step)])
+                pending = curation.pending_index(pending, done)
+            rows = pending.orderBy(F.desc("created_at"), "id").limit(most).persist()
+            try:
+                if rows.isEmpty() and step:
+                    return
+                embed(rows).write.mode("overwrite").parquet(f"{folder}/step={step}")
+            finally:
+                rows.unpersist()
+            step += 1
 
     run_batches(stream, handle, root)
 
@@ -134,7 +148,9 @@ def backfill(stream: DataFrame, stored: Callable[[], DataFrame], embed: Callable
 def _keyed(stream: DataFrame, key: str, output: str, step: Callable, timeout_ms: int | None = None) -> DataFrame:
     """Keyed state machine: ``step(state dict, row) -> (state dict, output tuple | None)`` per row in
     (time, id) order of the batch. State is one JSON document per key, bounded by the caps of the
-    step. Rows of a key arrive in Arrow chunks; only the chunk at hand is in memory."""
+    step. A key's rows of one micro-batch arrive in Arrow chunks and are put in order together, so
+    memory holds a key's share of a batch (bounded by the source's rate). A row that comes in a later
+    batch than younger rows is applied when it comes."""
 
     def run(group, frames, state: GroupState):
         if state.hasTimedOut:
@@ -142,11 +158,10 @@ def _keyed(stream: DataFrame, key: str, output: str, step: Callable, timeout_ms:
             return
         memory = json.loads(state.get[0]) if state.exists else {}
         rows = []
-        for frame in frames:
-            for row in frame.sort_values(["time", "event_id"]).itertuples(index=False):
-                memory, emitted = step(memory, row)
-                if emitted is not None:
-                    rows.append((group[0], *emitted))
+        for row in pd.concat(list(frames)).sort_values(["time", "event_id"]).itertuples(index=False):
+            memory, emitted = step(memory, row)
+            if emitted is not None:
+                rows.append((group[0], *emitted))
         state.update((json.dumps(memory),))
         if timeout_ms:
             state.setTimeoutDuration(timeout_ms)
