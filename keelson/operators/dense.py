@@ -27,22 +27,29 @@ def hashed_dimensions(texts: DataFrame, key: str, column: str, dimensions: int =
     )
 
 
-QUERY_LIMIT = 4096
-SHARD_ROWS = 200_000
+BLOCK_QUERIES = 2_048
+SHARD_ROWS = 50_000
+CELLS = 4_000_000  # scores held at a time: 32 MB
 
 
 def _score_block(ids, matrix, query_ids, queries, k: int, minimum: float):
-    """Best ``k`` corpus rows per query of one block, as column arrays."""
+    """Best ``k`` corpus rows per query of one block, as column arrays, in slices of bounded area.
+
+    Scores are rounded before the cut and ties at the cut are kept, so that the final order by
+    (score, id) depends neither on slices nor on shards."""
     import numpy as np
 
     norms = np.linalg.norm(matrix, axis=1)
     norms[norms == 0] = 1.0
-    scores = np.clip((queries @ matrix.T) / norms, -1.0, 1.0)
-    keep = min(k, scores.shape[1])
-    # Ties at the cut are kept so the final order by (score, id) is exact.
-    floor = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep]
-    rows, cols = np.nonzero((scores >= floor[:, None] - 1e-12) & (scores > minimum))
-    return query_ids[rows], ids[cols], scores[rows, cols]
+    wide, out = max(1, CELLS // max(1, len(queries))), []
+    for low in range(0, len(ids), wide):
+        part = slice(low, low + wide)
+        scores = np.round(np.clip((queries @ matrix[part].T) / norms[part], -1.0, 1.0), 6)
+        keep = min(k, scores.shape[1])
+        floor = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep]
+        rows, cols = np.nonzero((scores >= floor[:, None]) & (scores > minimum))
+        out.append((query_ids[rows], ids[part][cols], scores[rows, cols]))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _unit_rows(values):
@@ -54,47 +61,16 @@ def _unit_rows(values):
     return matrix / norms
 
 
-def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int = 20, minimum: float = 0.0, limit: int = QUERY_LIMIT) -> DataFrame:
+def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int = 20, minimum: float = 0.0, limit: int = BLOCK_QUERIES) -> DataFrame:
     """Exact cosine candidates: (query_id, id, cosine, rank), cosine above ``minimum``.
 
-    ``corpus``: id, embedding. ``queries``: query_id, embedding. Up to ``limit`` query vectors are
-    counted first and shipped to the tasks as one matrix; every task emits its own top-k only.
-    A larger query set is cut into blocks that meet bounded corpus shards in a co-group, so
-    neither side is ever whole in one task.
+    ``corpus``: id, embedding. ``queries``: query_id, embedding. Blocks of at most about ``limit``
+    queries meet bounded corpus shards in a co-group, whatever the sizes, so neither side is ever
+    whole in one task or in the driver; each cell returns its own top-k.
     """
     schema = "query_id bigint, id bigint, cosine double"
-    # The limit bounds what reaches the driver; one row more tells the two ways apart.
-    head = queries.select("query_id", "embedding").limit(limit + 1).toPandas()
-    if len(head) <= limit:
-        if head.empty:
-            return queries.sparkSession.createDataFrame([], schema + ", rank int")
-        shared = corpus.sparkSession.sparkContext.broadcast(
-            (head["query_id"].to_numpy(), _unit_rows(head["embedding"].to_list()))
-        )
-
-        def scan(batches):
-            import numpy as np
-            import pandas as pd
-
-            query_ids, matrix = shared.value
-            for batch in batches:
-                if len(batch) == 0:
-                    continue
-                block = np.vstack(batch["embedding"].to_list()).astype("float64")
-                q, i, s = _score_block(batch["id"].to_numpy(), block, query_ids, matrix, k, minimum)
-                yield pd.DataFrame({"query_id": q, "id": i, "cosine": s})
-
-        partial = corpus.select("id", "embedding").mapInPandas(scan, schema)
-    else:
-        partial = _grid_top_k(corpus, queries, k, minimum, limit, schema)
-    from keelson.operators.lexical import top_k
-
-    return top_k(partial.withColumn("cosine", F.round("cosine", 6)), "cosine", k)
-
-
-def _grid_top_k(corpus: DataFrame, queries: DataFrame, k: int, minimum: float, limit: int, schema: str) -> DataFrame:
-    blocks = max(1, -(-queries.count() // (limit // 2)))
-    shards = max(1, -(-corpus.count() // SHARD_ROWS))
+    blocks = max(1, -(-queries.count() // limit))
+    shards = max(1, -(-corpus.count() // SHARD_ROWS), min(8, corpus.sparkSession.sparkContext.defaultParallelism))
     each_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     each_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
     # New names keep the two sides apart even when both come from one table.
@@ -115,7 +91,10 @@ def _grid_top_k(corpus: DataFrame, queries: DataFrame, k: int, minimum: float, l
         )
         return pd.DataFrame({"query_id": q, "id": i, "cosine": s})
 
-    return left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(cell, schema)
+    from keelson.operators.lexical import top_k
+
+    partial = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(cell, schema)
+    return top_k(partial, "cosine", k)
 
 
 def pair_cosines(pairs: DataFrame, corpus: DataFrame, queries: DataFrame) -> DataFrame:

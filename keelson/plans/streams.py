@@ -82,13 +82,14 @@ def t6(t):
 
 
 @query("t7_task_window", r"""
-with f as (select conv_id as session, turn as ordinal, trim(regexp_replace(case when turn % 3 = 2 then 'please continue' when turn % 3 = 1 then left(text, 30) else text end, '\s+', ' ', 'g')) as flat from conversations),
+with f as (select conv_id as session, turn as ordinal, trim(regexp_replace(case when turn % 3 = 2 then 'please continue' else text end, '\s+', ' ', 'g')) as flat from conversations),
 a as (select *, case when length(flat) >= 40 or regexp_matches(flat, '(?i)(?:[A-Za-z][\w.-]{2,}[-_/][\w./-]+|\b(?:fix|implement|debug|test|build|refactor|install|configure)\b)') then left(flat, 480) end as anchor from f),
-p as (select *, last_value(anchor ignore nulls) over (partition by session order by ordinal rows between unbounded preceding and 1 preceding) as prior from a)
+n as (select *, last_value(anchor ignore nulls) over (partition by session order by ordinal rows between unbounded preceding and 1 preceding) as latest from a),
+p as (select *, last_value(case when anchor is distinct from latest and anchor is not null then concat_ws(chr(10), latest, anchor) end ignore nulls) over (partition by session order by ordinal rows between unbounded preceding and 1 preceding) as prior from n)
 select session, ordinal, length(flat) <= 100 and prior is not null and regexp_matches(flat, '(?i)\b(?:continue|again|retry|reload|try|proceed|go on|fix it|test it)\b') as continued,
   md5(case when length(flat) <= 100 and prior is not null and regexp_matches(flat, '(?i)\b(?:continue|again|retry|reload|try|proceed|go on|fix it|test it)\b') then prior end) as context, anchor is not null as substantive from p""")
 def t7(t):
-    prompt = F.when(c("turn") % 3 == 2, "please continue").when(c("turn") % 3 == 1, F.substring("text", 1, 30)).otherwise(c("text"))
+    prompt = F.when(c("turn") % 3 == 2, "please continue").otherwise(c("text"))
     turns = t.conversations.select(c("conv_id").alias("session"), c("turn").alias("ordinal"), prompt.alias("prompt"))
     return vw.task_window(turns).select("session", "ordinal", "continued", F.md5("context").alias("context"), "substantive")
 

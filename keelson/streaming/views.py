@@ -9,17 +9,25 @@ from keelson.operators import expansion
 c = F.col
 
 
+# What makes a prompt a task, and what makes it a continuation.
+TASK_WORDS = r"(?i)(?:[A-Za-z][\w.-]{2,}[-_/][\w./-]+|\b(?:fix|implement|debug|test|build|refactor|install|configure)\b|(?:修复|实现|测试|构建|重构|安装|配置|设计))"
+CONTINUATION_WORDS = r"(?i)(?:\b(?:continue|again|retry|reload|try|proceed|go on|fix it|test it)\b|(?:继续|再试|重试|试试|开始吧|接着|改吧|修一下|好了|可以了|然后呢))"
+CONTINUATION_ALONE = r"^(?:这次呢|试一下)[。！？?!，,]*$"
+
+
 def task_window(turns: DataFrame) -> DataFrame:
-    """Continuation prompts with the latest substantive prompt of their session.
+    """Continuation prompts with the two latest substantive prompts of their session, older first.
 
-    ``turns``: session, ordinal, prompt.
+    ``turns``: session, ordinal, prompt. A prompt that repeats the latest anchor is no new one.
     """
-    named = r"(?i)(?:[A-Za-z][\w.-]{2,}[-_/][\w./-]+|\b(?:fix|implement|debug|test|build|refactor|install|configure)\b|(?:修复|实现|测试|构建|重构|安装|配置|设计))"
-    again = r"(?i)(?:\b(?:continue|again|retry|reload|try|proceed|go on|fix it|test it)\b|(?:继续|再试|重试|试试|开始吧|接着|改吧|修一下|好了|可以了|然后呢))"
     flat = F.trim(F.regexp_replace("prompt", r"\s+", " "))
-    staged = turns.withColumn("flat", flat).withColumn("anchor", F.when((F.length("flat") >= 40) | c("flat").rlike(named), F.substring("flat", 1, 480)))
-    carried = expansion.carry_forward(staged, "session", "ordinal", "anchor", "prior")
-    continued = (F.length("flat") <= 100) & c("flat").rlike(again) & c("prior").isNotNull()
+    staged = turns.withColumn("flat", flat).withColumn("anchor", F.when((F.length("flat") >= 40) | c("flat").rlike(TASK_WORDS), F.substring("flat", 1, 480)))
+    before = expansion.carry_forward(staged, "session", "ordinal", "anchor", "latest")
+    fresh = c("anchor").isNotNull() & ~c("anchor").eqNullSafe(c("latest"))
+    paired = before.withColumn("pair", F.when(fresh, F.concat_ws("\n", "latest", "anchor")))
+    carried = expansion.carry_forward(paired, "session", "ordinal", "pair", "prior")
+    again = c("flat").rlike(CONTINUATION_ALONE) | c("flat").rlike(CONTINUATION_WORDS)
+    continued = (F.length("flat") <= 100) & again & c("prior").isNotNull()
     return carried.select("session", "ordinal", continued.alias("continued"), F.when(continued, c("prior")).alias("context"), c("anchor").isNotNull().alias("substantive"))
 
 

@@ -102,3 +102,25 @@ def test_cluster_needs_a_shared_folder():
     with pytest.raises(RuntimeError):
         session.require_shared_folder(Session, None)
     session.require_shared_folder(Session, "hdfs:///shared")
+
+
+def test_ties_at_six_decimals_go_to_the_smaller_id(spark):
+    from keelson.operators import dense
+
+    def vector(x):
+        return [x, (1 - x * x) ** 0.5]
+
+    corpus = spark.createDataFrame([(5, vector(0.80000001)), (1, vector(0.79999999)), (7, vector(0.2)), (8, [0.0, 0.0])], "id bigint, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id bigint, embedding array<double>")
+    got = dense.vector_top_k(corpus, asked, 1).collect()
+    assert [(r["id"], r["cosine"]) for r in got] == [(1, 0.8)]
+    assert dense.vector_top_k(corpus, asked.where("false"), 1).count() == 0
+
+
+def test_task_window_carries_two_anchors(spark):
+    from keelson.streaming import views
+
+    prompts = ["fix parser.py please", "build the docs", "build the docs", "continue", "试一下！", "hello"]
+    turns = spark.createDataFrame([(1, i, p) for i, p in enumerate(prompts)], "session bigint, ordinal bigint, prompt string")
+    got = {r["ordinal"]: r["context"] for r in views.task_window(turns).collect()}
+    assert got == {0: None, 1: None, 2: None, 3: "fix parser.py please\nbuild the docs", 4: "fix parser.py please\nbuild the docs", 5: None}
