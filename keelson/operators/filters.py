@@ -180,3 +180,74 @@ def retain_slow(phases: DataFrame, trace: str, limit_ms: float = 1000.0) -> Data
     """All phases of the traces whose recall phase took longer than the limit."""
     slow = phases.where((c("phase") == "recall") & (c("elapsed_ms") > limit_ms)).select(trace).distinct()
     return phases.join(slow, trace, "left_semi")
+
+
+def entity_filter(
+    kind: str | None = None, ids: list | None = None, nodes: list | None = None, exact_text: str | None = None, contains: str | None = None,
+    state_key: str | None = None, scope: str | None = None, exclude_scope: str | None = None, session: str | None = None, session_scoped: bool = False,
+    connected_to: str | None = None, event_from=None, event_to=None,
+) -> Column:
+    """Conjunction of the given conditions of an entity scan, for pushdown to the source.
+
+    Columns: kind, id, node, name, statement, state_key, scope, session, source, target, event_time;
+    only those of the given conditions are read. Session-scoped kinds show rows of no session and of
+    the asking one. A null never satisfies a condition. An empty id or node list matches nothing."""
+    out = F.lit(True)
+    if kind is not None:
+        out &= c("kind") == kind
+    if ids is not None:
+        out &= c("id").isin(*ids) if ids else F.lit(False)
+    if nodes is not None:
+        out &= c("node").isin(*nodes) if nodes else F.lit(False)
+    if exact_text is not None:
+        out &= c("name") == tx.statement_form(F.lit(exact_text))
+    if contains is not None:
+        out &= c("statement").contains(contains)
+    if state_key is not None:
+        out &= c("state_key") == state_key
+    if scope is not None:
+        out &= c("scope") == scope
+    if exclude_scope is not None:
+        out &= c("scope") != exclude_scope
+    if session_scoped:
+        out &= (c("session") == "") | (c("session") == (session or ""))
+    if connected_to is not None:
+        out &= (c("source") == connected_to) | (c("target") == connected_to)
+    if event_from is not None:
+        out &= c("event_time") >= event_from
+    if event_to is not None:
+        out &= c("event_time") <= event_to
+    return out
+
+
+def keyset_page(rows: DataFrame, order: list[str], after: tuple | None, limit: int) -> DataFrame:
+    """The next page of rows behind the values ``after`` of the order columns (unique together).
+
+    The comparison is lexicographic and reaches the scan; a page is at most 512 rows."""
+    if not 1 <= limit <= 512:
+        raise ValueError("a page has 1 to 512 rows")
+    if after is not None:
+        behind, equal = F.lit(False), F.lit(True)
+        for name, value in zip(order, after, strict=True):
+            behind |= equal & (c(name) > value)
+            equal &= c(name) == value
+        rows = rows.where(behind)
+    return rows.orderBy(*order).limit(limit)
+
+
+def passes_advanced(types: Column, node_names: Column, state_keys: Column, event_from: Column, event_to: Column, exclude_terms: Column) -> Column:
+    """Whether a candidate (memory_type, node, state_key, event_time, statement) passes a query's filters.
+
+    A null filter is no filter. A row without an event time fails any time bound; a row without type
+    or state key counts as the empty one; names and excluded terms are compared in lower case."""
+    either = lambda given, test: given.isNull() | test
+    node = F.lower(F.coalesce("node", F.lit("")))
+    text = F.lower(F.concat_ws(" ", F.coalesce("statement", F.lit("")), F.coalesce("node", F.lit(""))))
+    return (
+        either(types, F.array_contains(types, F.coalesce("memory_type", F.lit(""))))
+        & either(node_names, F.exists(node_names, lambda x: node.contains(F.lower(x))))
+        & either(state_keys, F.array_contains(state_keys, F.coalesce("state_key", F.lit(""))))
+        & either(event_from, F.coalesce(c("event_time") >= event_from, F.lit(False)))
+        & either(event_to, F.coalesce(c("event_time") <= event_to, F.lit(False)))
+        & either(exclude_terms, ~F.exists(exclude_terms, lambda x: text.contains(F.lower(x))))
+    )

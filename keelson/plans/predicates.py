@@ -183,6 +183,31 @@ def f9(t):
     return kept.select("query_id", "id", F.row_number().over(w).cast("bigint").alias("position"))
 
 
+F9Q = """fq as (select item_id as query_id, case when item_id % 2 = 0 then ['fact', 'event'] end as types, case when item_id % 3 = 0 then ['SRC1', 'src7'] end as names,
+  case when item_id % 2 = 1 then ['k1', 'k3'] end as states, case when item_id % 4 <> 1 then timestamp '2024-01-01' + to_days((item_id % 20)::int) end as lo, case when item_id % 5 <> 2 then timestamp '2024-02-20' - to_days((item_id % 10)::int) end as hi,
+  case when item_id % 3 = 1 then ['thea', 'un'] end as excluded from benchmark)"""
+
+
+@query("f9_states_and_times", b.cte(b.RECORDS, F9Q, """
+r as (select *, 'k' || (id % 7) as state_key, case when id % 13 <> 0 then timestamp '2024-01-01' + to_days((id % 60)::int) end as event_time from records)""") + """
+select query_id, id from fq join r on r.node = 'src' || (query_id % 20)
+where (types is null or list_contains(types, memory_type)) and (names is null or contains(lower(node), lower(names[1])) or contains(lower(node), lower(names[2]))) and (states is null or list_contains(states, state_key))
+  and (lo is null or coalesce(event_time >= lo, false)) and (hi is null or coalesce(event_time <= hi, false)) and (excluded is null or len([x for x in excluded if contains(lower(statement || ' ' || node), x)]) = 0)""")
+def f9_states(t):
+    """Type, node, state and excluded-term lists and an event-time range per query, on candidates of its node."""
+    q, i = F.col("item_id"), F.col("id")
+    words = lambda *x: F.array(*[F.lit(w) for w in x])
+    day = lambda text, n: F.expr(f"timestamp_ntz'{text} 00:00:00'") + F.make_dt_interval(n.cast("int"))
+    asked = t.benchmark.select(
+        q.alias("query_id"), F.concat(F.lit("src"), q % 20).alias("page"), F.when(q % 2 == 0, words("fact", "event")).alias("types"), F.when(q % 3 == 0, words("SRC1", "src7")).alias("names"),
+        F.when(q % 2 == 1, words("k1", "k3")).alias("states"), F.when(q % 4 != 1, day("2024-01-01", q % 20)).alias("lo"), F.when(q % 5 != 2, day("2024-02-20", -(q % 10))).alias("hi"),
+        F.when(q % 3 == 1, words("thea", "un")).alias("excluded"),
+    )
+    r = b.records(t).withColumns({"state_key": F.concat(F.lit("k"), i % 7), "event_time": F.when(i % 13 != 0, day("2024-01-01", i % 60))})
+    passes = fl.passes_advanced(*[F.col(x) for x in ("types", "names", "states", "lo", "hi", "excluded")])
+    return r.join(asked, r["node"] == asked["page"]).where(passes).select("query_id", "id")
+
+
 @query("f11_exact_anchor", """
 select doc_id as id, 'v' || doc_id % 3 || '.2' as anchor from documents where doc_id % 4 <> 0 or doc_id % 3 <> doc_id % 5 % 3""")
 def f11(t):

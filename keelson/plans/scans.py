@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from keelson.operators import curation
+from keelson.operators import curation, filters
 from keelson.plans import bindings as b
 from keelson.registry import query
 from keelson.sources import loaders, sinks
@@ -21,6 +21,42 @@ def s1(t):
     )
 
 
+ENTITIES = """ents as (select o_orderkey as id, case o_orderstatus when 'F' then 'history' when 'O' then 'memory' else 'link' end as kind, 'c' || (o_custkey % 50) as node, 'k' || (o_orderkey % 9) as state_key,
+  case when o_orderkey % 11 = 0 then null else 's' || (o_orderkey % 4) end as scope, case when o_orderkey % 3 = 0 then '' else 'u' || (o_custkey % 6) end as session, 'c' || (o_custkey % 50) as source, 'p' || (o_orderkey % 20) as target, o_orderdate as event_time from orders)"""
+
+
+def entities(t):
+    k, cust = F.col("o_orderkey"), F.col("o_custkey")
+    return t.orders.select(
+        k.alias("id"), F.when(F.col("o_orderstatus") == "F", "history").when(F.col("o_orderstatus") == "O", "memory").otherwise("link").alias("kind"),
+        F.concat(F.lit("c"), cust % 50).alias("node"), F.concat(F.lit("k"), k % 9).alias("state_key"), F.when(k % 11 != 0, F.concat(F.lit("s"), k % 4)).alias("scope"),
+        F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("u"), cust % 6)).alias("session"), F.concat(F.lit("c"), cust % 50).alias("source"), F.concat(F.lit("p"), k % 20).alias("target"), F.col("o_orderdate").alias("event_time"),
+    )
+
+
+@query("s1_entity_filters", b.cte(ENTITIES) + """
+select 'scope' as scan, id from ents where kind = 'history' and scope = 's1' and (session = '' or session = 'u2') and state_key = 'k4'
+union all select 'window', id from ents where kind = 'memory' and scope <> 's1' and event_time >= timestamp '1995-01-01' and event_time <= timestamp '1996-06-30' and node in ('c3', 'c4')
+union all select 'edges', id from ents where source = 'c7' or target = 'c7' or source = 'p7' or target = 'p7'""")
+def s1_filters(t):
+    e = entities(t)
+    stamp = lambda x: F.expr(f"timestamp_ntz'{x} 00:00:00'")
+    scans = {
+        "scope": filters.entity_filter(kind="history", scope="s1", session="u2", session_scoped=True, state_key="k4"),
+        "window": filters.entity_filter(kind="memory", exclude_scope="s1", event_from=stamp("1995-01-01"), event_to=stamp("1996-06-30"), nodes=["c3", "c4"]),
+        "edges": filters.entity_filter(connected_to="c7") | filters.entity_filter(connected_to="p7"),
+    }
+    parts = [e.where(condition).select(F.lit(name).alias("scan"), "id") for name, condition in scans.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("s1_keyset_page", b.cte(ENTITIES) + """
+select id, node, event_time from ents where (event_time, id) > (timestamp '1995-03-01', 100) order by event_time, id limit 200""")
+def s1_page(t):
+    rows = entities(t).select("id", "node", "event_time")
+    return filters.keyset_page(rows, ["event_time", "id"], (F.expr("timestamp_ntz'1995-03-01 00:00:00'"), F.lit(100)), 200)
+
+
 @query("s2_multi_query_scan", b.cte(b.RECORDS) + """
 select item_id as slot, id, tier from benchmark
 join records on node = 'src' || (item_id % 20) and tier >= item_id % 4""")

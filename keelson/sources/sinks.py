@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def request_hash(*columns: str) -> Column:
@@ -37,6 +37,36 @@ def write_upsert(merged: DataFrame, path: str, partition: str | None = None) ->
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 
 
+def apply_upsert(spark: SparkSession, root: str, batch: DataFrame) -> DataFrame:
+    """One idempotent upsert on a stored table: writes the next version and its receipts, returns conflicts.
+
+    Versions are folders ``v0``, ``v1``, ...; a version's receipts are all operations applied so far. A
+    version counts once its receipts are complete, so a run that fails midway is simply run again."""
+    version = current_version(spark, root)
+    table, receipts = read_version(spark, root, version)
+    merged, conflicts = plan_upsert(table, batch, receipts)
+    done = batch.select("operation_id", "request_hash").distinct().join(receipts, "operation_id", "left_anti")
+    write_upsert(merged, f"{root}/v{version + 1}/table")
+    receipts.unionByName(done).write.mode("overwrite").parquet(f"{root}/v{version + 1}/receipts")
+    return conflicts
+
+
+def current_version(spark: SparkSession, root: str) -> int:
+    """The highest version with complete receipts; -1 where nothing was written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, "v*/receipts/_SUCCESS")) or []
+    return max([int(x.getPath().getParent().getParent().getName()[1:]) for x in done], default=-1)
+
+
+def read_version(spark: SparkSession, root: str, version: int, payload: str = "bigint") -> tuple[DataFrame, DataFrame]:
+    """(table, receipts) of a version; empty ones before the first."""
+    shapes = f"key bigint, payload {payload}, revision bigint", "operation_id bigint, request_hash string"
+    if version < 0:
+        return tuple(spark.createDataFrame([], x) for x in shapes)
+    return tuple(spark.read.schema(x).parquet(f"{root}/v{version}/{name}") for x, name in zip(shapes, ("table", "receipts"), strict=True))
+
+
 def split_writes(classified: DataFrame) -> dict[str, DataFrame]:
     """Accepted rows, rejected rows with their reason, and one audit row for every input."""
     return {

@@ -124,3 +124,25 @@ def test_task_window_carries_two_anchors(spark):
     turns = spark.createDataFrame([(1, i, p) for i, p in enumerate(prompts)], "session bigint, ordinal bigint, prompt string")
     got = {r["ordinal"]: r["context"] for r in views.task_window(turns).collect()}
     assert got == {0: None, 1: None, 2: None, 3: "fix parser.py please\nbuild the docs", 4: "fix parser.py please\nbuild the docs", 5: None}
+
+
+def test_a_second_upsert_is_a_replay(spark, tmp_path):
+    from keelson.sources import sinks
+
+    root = str(tmp_path / "store")
+    schema = "key bigint, operation_id bigint, request_hash string, slot bigint, payload bigint"
+    first = spark.createDataFrame([(1, 10, "a", 1, 5), (1, 10, "a", 2, 6), (2, 11, "b", 3, 7)], schema)
+    state = lambda: sorted(tuple(r) for r in sinks.read_version(spark, root, sinks.current_version(spark, root))[0].collect())
+    assert sinks.apply_upsert(spark, root, first).count() == 0 and state() == [(1, 6, 1), (2, 7, 1)]
+    assert sinks.apply_upsert(spark, root, first).count() == 0 and state() == [(1, 6, 1), (2, 7, 1)]
+    second = spark.createDataFrame([(1, 11, "other", 1, 9), (2, 12, "c", 2, 8)], schema)
+    assert [r["key"] for r in sinks.apply_upsert(spark, root, second).collect()] == [1] and state() == [(1, 6, 1), (2, 8, 2)]
+
+
+def test_entity_filter_and_pages(spark):
+    from keelson.operators import filters
+
+    with pytest.raises(ValueError):
+        filters.keyset_page(spark.range(3), ["id"], None, 513)
+    assert spark.range(3).where(filters.entity_filter(ids=[])).count() == 0
+    assert [r["id"] for r in filters.keyset_page(spark.range(9), ["id"], (4,), 2).collect()] == [5, 6]
