@@ -202,6 +202,16 @@ def running_sum(rows: DataFrame, keys: list[str], order: list[str], values: dict
     return summed.drop("_bin", *[x + v for v in values for x in ("_l_", "_o_")])
 
 
+def running_max(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str, bin_expr: Column) -> DataFrame:
+    """Inclusive running maximum per key, inside bins and against the earlier bins' maxima, like ``running_sum``."""
+    binned = rows.withColumn("_bin", bin_expr)
+    inside = Window.partitionBy(*keys, "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    across = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    tops = binned.groupBy(*keys, "_bin").agg(F.max(value).alias("_m")).select(*keys, "_bin", F.max("_m").over(across).alias("_before"))
+    joined = binned.withColumn("_here", F.max(value).over(inside)).join(tops, [*keys, "_bin"])
+    return joined.withColumn(name, F.greatest("_here", "_before")).drop("_bin", "_here", "_before")
+
+
 def overlap_counts(intervals: DataFrame, key: str, bin_expr) -> DataFrame:
     """For every interval the number of other intervals of its key that overlap it.
 

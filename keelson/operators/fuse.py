@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keelson.functions import text as tx, vectors as vx
 from keelson.operators import filters as fl
+from keelson.operators.curation import running_sum
 
 c = F.col
 Q = "query_id"
@@ -313,10 +314,11 @@ def fair_order(rows: DataFrame, scope: str, time: str, tie: str) -> DataFrame:
     """Round-robin over scopes: everybody's oldest row before anybody's second row.
 
     ``turn`` (row number inside the scope) and ``scope_start`` define the order; the sort over
-    them is a distributed range sort, not one global window.
+    them is a distributed range sort, not one global window, and a scope of any size is numbered
+    day by day.
     """
-    w = Window.partitionBy(scope).orderBy(time, tie)
-    return rows.withColumn("turn", F.row_number().over(w)).withColumn("scope_start", F.min(F.struct(time, tie)).over(Window.partitionBy(scope)))
+    numbered = running_sum(rows.withColumn("_one", F.lit(1)), [scope], [time, tie], {"_one": "turn"}, F.to_date(time)).drop("_one")
+    return numbered.join(rows.groupBy(scope).agg(F.min(F.struct(time, tie)).alias("scope_start")), scope)
 
 
 def clause_fusion(lists: DataFrame, limit: int) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from keelson.operators.curation import running_sum
+
 c = F.col
 
 # The latency histogram.
@@ -70,9 +72,10 @@ def indexed_percentiles(values: DataFrame, group: str, value: str, q: float) ->
     (value, count), and each index is found in the running count.
     """
     counts = values.groupBy(group, value).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(group)
-    run = w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    staged = counts.withColumn("_end", F.sum("n").over(run)).withColumn("_n", F.sum("n").over(w))
+    # eighths of an octave: a group of any number of distinct values is cut into bins in order
+    octave = F.signum(c(value)) * F.floor(F.log2(F.abs(c(value)) + 1) * 8)
+    sizes = values.groupBy(group).agg(F.count("*").alias("_n"))
+    staged = running_sum(counts, [group], [value], {"n": "_end"}, octave).join(sizes, group)
     n = c("_n")
     places = {
         "floor": F.least(n - 1, F.floor(n * q)), "nearest": F.greatest(F.lit(0), F.ceil(n * F.lit(q)) - 1),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from keelson.operators import expansion
+from keelson.operators import curation, expansion
 
 c = F.col
 
@@ -55,11 +55,10 @@ def serial_slots(entries: DataFrame) -> DataFrame:
     ``entries``: channel, entry, created (seconds), service (seconds). With one slot, start is
     max(created, previous end) = running max of (created - work before it) + work before it.
     """
-    w = Window.partitionBy("channel").orderBy("created", "entry")
-    before = F.coalesce(F.sum("service").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    staged = entries.withColumn("before", before)
-    slack = F.max(c("created") - c("before")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    started = staged.withColumn("start", slack + c("before"))
+    day, order = F.floor(c("created") / 86_400), ["created", "entry"]  # a channel of any length is cut into days
+    summed = curation.running_sum(entries, ["channel"], order, {"service": "_through"}, day)
+    staged = summed.withColumn("before", c("_through") - c("service")).withColumn("_slack", c("created") - c("before"))
+    started = curation.running_max(staged, ["channel"], order, "_slack", "_wait", day).withColumn("start", c("_wait") + c("before"))
     return started.select("channel", "entry", "start", (c("start") - c("created")).alias("wait"))
 
 
@@ -110,8 +109,8 @@ def coordination_fold(changes: DataFrame) -> DataFrame:
 def append_once(facts: DataFrame) -> DataFrame:
     """First fact per (run, kind, task, attempt), numbered in arrival order inside its run."""
     first = facts.groupBy("run", "kind", "task", "attempt").agg(F.min(F.struct("recorded_at", "fact")).alias("f")).select("run", "kind", "task", "attempt", "f.*")
-    w = Window.partitionBy("run").orderBy("recorded_at", "fact")
-    return first.withColumn("sequence", F.row_number().over(w))
+    day = F.to_date("recorded_at")  # a run of any length is cut into days
+    return curation.running_sum(first.withColumn("_one", F.lit(1)), ["run"], ["recorded_at", "fact"], {"_one": "sequence"}, day).drop("_one")
 
 
 def ready_tasks(tasks: DataFrame, accepted: DataFrame) -> DataFrame:
