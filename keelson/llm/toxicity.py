@@ -25,21 +25,23 @@ from pyspark.sql.types import BinaryType, DoubleType, StructField
 from keelson.llm.common import bounded_batches, map_columns, stored
 from keelson.registry import query
 
-SAMPLE_ROWS = 24_000  # labelled rows that are learned from, at most
+SAMPLE_ROWS = 16_000  # labelled rows that are learned from, at most
 CACHE_WORDS = 400_000
 
 
 @dataclass(frozen=True)
 class Ftrl:
-    """Parameters of the model and its training; ``shards`` does not depend on the cluster."""
+    """Parameters of the model and its training; ``shards`` does not depend on the cluster. A round is
+    ``passes`` over each shard, after which the states are mixed."""
 
     bits: int = 20
     alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 4.0
+    l1: float = 2.0
     l2: float = 0.0
     shards: int = 4
-    rounds: int = 4
+    rounds: int = 2
+    passes: int = 2
 
 
 @lru_cache(1)
@@ -92,17 +94,28 @@ def train(rows: list[np.ndarray], labels: np.ndarray, z: np.ndarray, n: np.ndarr
         n[at] = grown
 
 
+def _pack(at: np.ndarray) -> bytes:
+    """Differences of sorted coordinates by byte planes: the upper planes are zeros and compress away."""
+    return np.ascontiguousarray(np.diff(at, prepend=0).astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel(), dtype=np.int64)
+
+
 def _fitter(shared, turn: int, p: Ftrl):
     """Trains one shard from the mixed state; returns the coordinates it or an earlier round touched."""
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        # the order within a shard does not depend on how rows arrive, and changes every round
-        order = np.argsort([xxhash.xxh64_intdigest(str(x), seed=turn) for x in group["doc_id"]], kind="stable")
-        rows = [np.frombuffer(group["at"].iloc[i], "<i4").astype(np.int64) for i in order]
-        z, n = (x.copy() for x in shared.value)
-        train(rows, group["toxic"].to_numpy(float)[order], z, n, p)
+        rows, labels = [_unpack(x) for x in group["at"]], group["toxic"].to_numpy(float)
+        z, n = (x.astype(float) for x in shared.value)
+        for lap in range(p.passes):
+            # the order within a shard does not depend on how rows arrive, and changes every time
+            order = np.argsort([xxhash.xxh64_intdigest(str(x), seed=turn * p.passes + lap) for x in group["doc_id"]], kind="stable")
+            train([rows[i] for i in order], labels[order], z, n, p)
         touched = np.flatnonzero(n)
-        return pd.DataFrame({"shard": [group["shard"].iloc[0]], "at": [touched.astype("<i4").tobytes()], "z": [z[touched].tobytes()], "n": [n[touched].tobytes()]})
+        state = [touched.astype("<i4"), z[touched].astype("<f4"), n[touched].astype("<f4")]
+        return pd.DataFrame({"shard": [group["shard"].iloc[0]], **{k: [x.tobytes()] for k, x in zip(("at", "z", "n"), state, strict=True)}})
 
     return fit
 
@@ -113,20 +126,20 @@ def learn(labelled: DataFrame, p: Ftrl = Ftrl()) -> dict[int, float]:
     bits, size = p.bits, (1 << p.bits) + 1
 
     def compute(batch: pa.RecordBatch) -> list:
-        return [pa.array([features(x, bits).astype("<i4").tobytes() for x in batch.column(0).to_pylist()], pa.binary())]
+        return [pa.array([_pack(features(x, bits)) for x in batch.column(0).to_pylist()], pa.binary())]
 
     shard = labelled.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(p.shards)).cast("int"))
     made = stored(map_columns(shard, [F.col("text").cast("binary")], [StructField("at", BinaryType())], compute, ["doc_id", "toxic", "shard"]))
-    z, n = np.zeros(size), np.zeros(size)
+    z, n = np.zeros(size, "f4"), np.zeros(size, "f4")
     for turn in range(p.rounds):
         shared = spark.sparkContext.broadcast((z, n))  # 2**bits coordinates
 
-        states = made.groupBy("shard").applyInPandas(_fitter(shared, turn, p), "shard int, at binary, z binary, n binary").orderBy("shard")
-        z, n, parts = np.zeros(size), np.zeros(size), 0
-        for state in states.toLocalIterator():  # one state of bounded size at a time
+        states = made.groupBy("shard").applyInPandas(_fitter(shared, turn, p), "shard int, at binary, z binary, n binary").toLocalIterator()
+        z, n, parts = np.zeros(size, "f4"), np.zeros(size, "f4"), 0
+        for state in sorted(states, key=lambda r: r["shard"]):  # as many as shards, of 2**bits coordinates at most
             at = np.frombuffer(state["at"], "<i4")
-            z[at] += np.frombuffer(state["z"])
-            n[at] += np.frombuffer(state["n"])
+            z[at] += np.frombuffer(state["z"], "<f4")
+            n[at] += np.frombuffer(state["n"], "<f4")
             parts += 1
         z, n = z / max(1, parts), n / max(1, parts)
         shared.unpersist()
