@@ -171,7 +171,20 @@ def hit_words(spans: str = "hit_spans"):
     return F.aggregate(spans, F.lit(0).cast("bigint"), lambda a, s: a + s["to"] - s["from"])
 
 
-@query("op7_wu_manber")
+OP7_SQL = r"""
+with low as (select doc_id as id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from documents),
+items as (select item_id::varchar as item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from benchmark where item_id is not null and text is not null),
+tests as (select distinct item, least(10, len(ws)) k, array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') s from items, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) u(i) where len(ws) > 0),
+places as (select id, k, i, array_to_string(ws[i:i + k - 1], ' ') s from low, (select distinct k from tests), unnest(range(1, len(ws) - k + 2)) u(i)),
+hits as (select id, i, tests.k, item from places join tests on places.k = tests.k and places.s = tests.s),
+marked as (select id, count(distinct w) n from hits, unnest(range(i, i + k)) u(w) group by id),
+named as (select id, string_agg(item, ',' order by item) names, count(*) n from (select distinct id, item from hits) group by id)
+select low.id as doc_id, len(ws)::bigint as n_words, coalesce(marked.n, 0)::bigint as n_hit, coalesce(named.n, 0)::bigint as n_items, sha256(coalesce(names, '')) as items_sha256, marked.n is not null as contaminated
+from low left join marked on marked.id = low.id left join named on named.id = low.id
+"""
+
+
+@query("op7_wu_manber", OP7_SQL)
 def op7_wu_manber(t):
     found = contamination(t.documents.select("doc_id", "text"), t.benchmark)
     return found.select(

@@ -12,8 +12,8 @@ the same order. A word of any frequency is thus one entry per block. Words are c
 bigrams by 56 bits of hash (of 10^12 different bigrams one in 70,000 meets another's count).
 
 Cases: a null text is an empty one, which is the end token alone; long texts are used whole; a null
-id is neither held out nor learned from; equal rows are scored alike; with nothing to learn from,
-N and V are zero and every token has probability one in V + 1."""
+id is neither held out nor learned from; equal rows are scored alike; with nothing to learn from, N
+and V are zero, the weights are equal and every token has a third of the uniform estimate, one."""
 
 from __future__ import annotations
 

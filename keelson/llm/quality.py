@@ -132,7 +132,26 @@ def quality_rules(documents: DataFrame, text: str = "text", rules: tuple[Rule, .
     return measured.withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
-@query("op8_quality_rules")
+def _sql_verdict(rules: tuple[Rule, ...] = RULES) -> str:
+    """The thresholds as SQL for the oracle."""
+    return " and ".join(f"{r.metric} {op} {bound!r}" for r in rules for op, bound in ((">=", r.low), ("<=", r.high)) if bound is not None)
+
+
+OP8_SQL = rf"""
+with d as (select doc_id, coalesce(text, '') t from documents),
+w as (select doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) ls from d),
+g as (select doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] g from w, unnest(range(1, len(ws) - 1)) u(i)),
+r as (select doc_id, i from g qualify count(*) over (partition by doc_id, g) > 1),
+c as (select doc_id, count(distinct i + k) n from r, (values (0), (1), (2)) v(k) group by doc_id),
+m as (select doc_id, len(ws) n_words, length(array_to_string(ws, '')) word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) n_symbols, len(ls) - len(list_distinct(ls)) n_dup_lines, coalesce(n, 0) n_repeat_words,
+  len(ls) n_lines, len(list_filter(ws, lambda x: lower(x) in ({", ".join(f"'{x}'" for x in sorted(set(STOP_WORDS)))}))) n_stop_words, length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) n_upper, length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) n_letters from w left join c using (doc_id)),
+q as (select *, coalesce(word_chars / nullif(n_words, 0), 0) mean_word_chars, coalesce(n_symbols / nullif(n_words, 0), 0) symbol_ratio, coalesce(n_stop_words / nullif(n_words, 0), 0) stop_word_ratio, coalesce(n_dup_lines / nullif(n_lines, 0), 0) dup_line_ratio,
+  coalesce(n_upper / nullif(n_letters, 0), 0) upper_ratio, coalesce(n_words / nullif(n_lines, 0), 0) mean_line_words, coalesce(n_letters / nullif(word_chars, 0), 0) alphabetic_ratio, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {_sql_verdict()} as kept from q
+"""
+
+
+@query("op8_quality_rules", OP8_SQL)
 def op8_quality_rules(t):
     judged = quality_rules(t.documents.select("doc_id", "text"))
-    return judged.drop("text")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
