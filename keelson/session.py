@@ -30,12 +30,19 @@ def spread(df: DataFrame) -> DataFrame:
     """Rebalance an input that arrives in fewer splits than there are cores.
 
     A large table already has many splits and passes through untouched; a small file with one
-    row group would otherwise run its CPU-heavy text work in a single task.
+    row group would otherwise run its CPU-heavy text work in a single task. The size comes from the
+    plan's statistics (for a scan, its files), so no job is started while the plan is built.
     """
     if df.isStreaming:
         return df
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+    context = df.sparkSession.sparkContext
+    wanted = context.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(wanted) if size < min(wanted * SPLIT_BYTES, SPREAD_BYTES) else df
+
+
+SPLIT_BYTES = 32 << 20  # an input of fewer bytes a core has too few splits
+SPREAD_BYTES = 1 << 30  # no larger input is ever rebalanced
 
 
 BROADCAST_ROWS = 500_000
