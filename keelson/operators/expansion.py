@@ -125,8 +125,10 @@ def graph_expand(seeds: DataFrame, edges: DataFrame, hops: int, most_relations:
         visited = visited.unionByName(frontier)
     if most_relations is None:
         return visited
+    # seeds always stay; the rank limit on the rest is taken before the shuffle, so a hub sends few rows
     w = Window.partitionBy(Q).orderBy("hop", "path", "node")
-    return visited.withColumn("_r", F.row_number().over(w)).where((c("hop") == 0) | (c("_r") <= most_relations)).drop("_r")
+    nearest = visited.where("hop > 0").withColumn("_r", F.row_number().over(w)).where(c("_r") <= most_relations).drop("_r")
+    return visited.where("hop = 0").unionByName(nearest)
 
 
 def matching_neighbours(anchors: DataFrame, turns: DataFrame, terms: str = "terms", most: int = 2) -> DataFrame:
