@@ -212,6 +212,22 @@ def running_max(rows: DataFrame, keys: list[str], order: list[str], value: str,
     return joined.withColumn(name, F.greatest("_here", "_before")).drop("_bin", "_here", "_before")
 
 
+def neighbours(rows: DataFrame, keys: list[str], order: list[str], fields: list[str], bin_expr: Column) -> DataFrame:
+    """Adds the structs ``before`` and ``after``: ``fields`` of the previous and next row of the key.
+
+    Neighbours are found inside (key, bin); at the edges they come from the first and last row of the
+    bins around, of which there is one summary row each. Bins must grow with the order columns."""
+    held = F.struct(*fields)
+    binned = rows.withColumn("_bin", bin_expr)
+    inside = Window.partitionBy(*keys, "_bin").orderBy(*order)
+    edges = binned.groupBy(*keys, "_bin").agg(F.min_by(held, F.struct(*order)).alias("_first"), F.max_by(held, F.struct(*order)).alias("_last"))
+    across = Window.partitionBy(*keys).orderBy("_bin")
+    around = edges.select(*keys, "_bin", F.lag("_last").over(across).alias("_earlier"), F.lead("_first").over(across).alias("_later"))
+    near = binned.withColumns({"_lag": F.lag(held).over(inside), "_lead": F.lead(held).over(inside)}).join(around, [*keys, "_bin"])
+    found = near.withColumns({"before": F.coalesce("_lag", "_earlier"), "after": F.coalesce("_lead", "_later")})
+    return found.drop("_bin", "_lag", "_lead", "_earlier", "_later")
+
+
 def overlap_counts(intervals: DataFrame, key: str, bin_expr) -> DataFrame:
     """For every interval the number of other intervals of its key that overlap it.
 

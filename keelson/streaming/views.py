@@ -37,8 +37,8 @@ def lease_intervals(log: DataFrame, ttl_seconds: int) -> DataFrame:
     ``log``: entry, ts, event_id, actor, action. A claim or heartbeat holds until the next event of
     the entry or its lease end, whichever is first.
     """
-    w = Window.partitionBy("entry").orderBy("ts", "event_id")
-    staged = log.withColumn("next_ts", F.lead("ts").over(w)).withColumn("prev_ts", F.lag("ts").over(w)).withColumn("prev_actor", F.lag("actor").over(w)).withColumn("prev_action", F.lag("action").over(w))
+    near = curation.neighbours(log, ["entry"], ["ts", "event_id"], ["ts", "actor", "action"], F.to_date("ts"))  # an entry of any length is cut into days
+    staged = near.withColumns({"next_ts": c("after.ts"), "prev_ts": c("before.ts"), "prev_actor": c("before.actor"), "prev_action": c("before.action")})
     lease_end = F.timestamp_add("SECOND", F.lit(ttl_seconds), c("ts"))
     live_before = (c("prev_action") != "release") & (F.timestamp_add("SECOND", F.lit(ttl_seconds), c("prev_ts")) > c("ts"))
     held = staged.where("action <> 'release'")
@@ -97,8 +97,8 @@ def coordination_fold(changes: DataFrame) -> DataFrame:
     revision is not the previous one; a gap is a jump in the revision sequence. The state is the
     last close or reopen, picked with ``max_by``.
     """
-    w = Window.partitionBy("event").orderBy("revision")
-    staged = changes.withColumn("prev", F.coalesce(F.lag("revision").over(w), F.lit(0)))
+    near = curation.neighbours(changes, ["event"], ["revision"], ["revision"], F.floor(c("revision") / 4096))
+    staged = near.withColumn("prev", F.coalesce(c("before.revision"), F.lit(0)))
     return staged.groupBy("event").agg(
         F.max("revision").alias("revision"), F.count_if(c("expected") != c("prev")).alias("stale"), F.count_if(c("revision") != c("prev") + 1).alias("gaps"),
         F.coalesce(F.max_by(F.when(c("action") == "close", "ended").when(c("action") == "reopen", "active"), F.when(c("action").isin("close", "reopen"), c("revision"))), F.lit("active")).alias("status"),
