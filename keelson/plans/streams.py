@@ -63,6 +63,18 @@ def t3(t):
     return latest.select("id", "claim_index", "s.votes", F.round("s.mean", 6).alias("mean"))
 
 
+@query("t3_claim_transitions", b.cte(b.TRACES, """
+v as (select session * 10 + k % 2 as claim, event_id, ts, value > 8 as good from traces),
+r as (select *, sum(good::int) over w as g, count(*) over w as n from v window w as (partition by claim order by ts, event_id rows unbounded preceding)),
+p as (select *, (2 + g) / (4.0 + n) as mean from r), l as (select *, greatest(0, mean - 1.96 * sqrt(mean * (1 - mean) / (5 + n))) as lower from p),
+a as (select *, last_value(case when n >= 3 and mean >= 0.75 and lower >= 0.5 then 1 when mean < 0.65 or lower < 0.35 then 0 end ignore nulls) over (partition by claim order by ts, event_id rows unbounded preceding) as active from l),
+t as (select *, coalesce(lag(active) over (partition by claim order by ts, event_id), 0) as before from a)""") + """
+select claim, event_id, case when active = 1 then 'promoted' else 'retracted' end as transition from t where coalesce(active, 0) <> before""")
+def t3_transitions(t):
+    votes = live_events(t).select((c("session") * 10 + c("k") % 2).alias("claim"), "event_id", "time", (c("value") > 8).alias("supported"))
+    return st.run_to_table(st.claim_transitions(votes, 0.5))
+
+
 @query("t4_session_working_set")
 def t4(t):
     e = live_events(t).select("session", "event_id", "time", (c("k") % 40).alias("item"), F.least(c("value") / 100, F.lit(1.0)).alias("activation"))

@@ -171,6 +171,28 @@ def _keyed(stream: DataFrame, key: str, output: str, step: Callable, timeout_ms:
     return stream.groupBy(key).applyInPandasWithState(run, output, "document string", "append", mode)
 
 
+def claim_transitions(stream: DataFrame, prior: float, policy: dict = belief.POLICY) -> DataFrame:
+    """Promotions and retractions as votes arrive: (claim, event_id, transition).
+
+    ``stream``: claim, event_id, time, supported. A claim is promoted once it has the votes, mean and
+    lower bound of the policy, and retracted when its mean or lower bound falls below what is kept."""
+
+    def step(memory, row):
+        good, bad = memory.get("good", 0) + bool(row.supported), memory.get("bad", 0) + (not row.supported)
+        alpha, beta = 1 + 2 * prior + good, 1 + 2 * (1 - prior) + bad
+        mean = alpha / (alpha + beta)
+        lower = max(0.0, mean - 1.96 * (mean * (1 - mean) / (alpha + beta + 1)) ** 0.5)
+        before = active = memory.get("active", False)
+        if good + bad >= policy["votes"] and mean >= policy["mean"] and lower >= policy["lower"]:
+            active = True
+        elif mean < policy["keep_mean"] or lower < policy["keep_lower"]:
+            active = False
+        moved = None if active == before else (int(row.event_id), "promoted" if active else "retracted")
+        return {"good": good, "bad": bad, "active": active}, moved
+
+    return _keyed(stream, "claim", "claim bigint, event_id bigint, transition string", step)
+
+
 def working_set(stream: DataFrame, most_items: int = 16, ttl_s: float = 86_400.0, idle_ms: int | None = None) -> DataFrame:
     """Session working set: re-observed items keep their best activation, expired ones leave, and the
     weakest is evicted beyond the cap. ``stream``: session, event_id, time, item, activation.
