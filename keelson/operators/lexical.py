@@ -24,7 +24,9 @@ def exact_anchor_hits(queries: DataFrame, texts: DataFrame) -> DataFrame:
     token = lambda c: tx.matches(c, r"[\p{L}\p{N}]+")
     keyed = wanted.withColumn("token", token(F.col("anchor"))[0])
     normal = texts.select("id", tx.match_form(F.col("statement")).alias("nt"))
-    candidates = explode_rows(normal, F.array_distinct(token(F.col("nt"))), "token", "id", "nt").join(keyed, "token")
+    # ids and tokens meet first; the text follows only to the records that hold an anchor's token
+    tokens = explode_rows(normal, F.array_distinct(token(F.col("nt"))), "token", "id")
+    candidates = tokens.join(keyed, "token").join(normal, "id")
     word = r"[\p{L}\p{M}\p{N}_./\\:@+#-]"
     # Every other occurrence is padded so the edge test needs no per-row lookbehind pattern.
     escaped = F.regexp_replace("anchor", r"([.*+?^${}()|\[\]\\])", r"\\$1")
@@ -32,6 +34,19 @@ def exact_anchor_hits(queries: DataFrame, texts: DataFrame) -> DataFrame:
     return candidates.where(F.regexp_like("nt", pattern)).select("query_id", "id", "anchor")
 
 
+def surface_hits(queries: DataFrame, texts: DataFrame) -> DataFrame:
+    """Records that contain a query's surface anchor anywhere, punctuation included: (query_id, id, anchor).
+
+    An anchor of three characters or more meets records on its first trigram; the whole anchor is then
+    looked for in the few texts that hold it."""
+    anchors = queries.select("query_id", F.explode(tx.surface_anchors(F.col("query"))).alias("anchor")).where("length(anchor) >= 3").distinct()
+    keyed = anchors.withColumn("gram", F.substring("anchor", 1, 3))
+    normal = texts.select("id", F.regexp_replace(tx.match_form(F.col("statement")), r"\s+", " ").alias("nt"))
+    grams = explode_rows(normal, F.array_distinct(tx.char_ngrams(F.col("nt"), 3)), "gram", "id")
+    candidates = grams.join(keyed, "gram").select("query_id", "id", "anchor")
+    return candidates.join(normal, "id").where(F.col("nt").contains(F.col("anchor"))).select("query_id", "id", "anchor")
+
+
 def trigger_matches(queries: DataFrame, profile: DataFrame) -> DataFrame:
     """Longest trigger of every record found in every query, on word edges; Han triggers anywhere.
 

@@ -208,6 +208,17 @@ def f9_states(t):
     return r.join(asked, r["node"] == asked["page"]).where(passes).select("query_id", "id")
 
 
+@query("f12_surface_hits", r"""
+with q as (select item_id as query_id, lower(regexp_extract(text, '[a-zA-Z]+ [a-zA-Z]+')) as anchor from benchmark), d as (select doc_id as id, lower(regexp_replace(text, '\s+', ' ', 'g')) as t from documents)
+select query_id, id, anchor from q join d on contains(t, anchor) where length(anchor) >= 3""")
+def f12_hits(t):
+    """Records that contain the two words a query quotes."""
+    from keelson.operators import lexical
+
+    quoted = F.concat(F.lit('look for "'), F.regexp_extract("text", "[a-zA-Z]+ [a-zA-Z]+", 0), F.lit('"'))
+    return lexical.surface_hits(t.benchmark.select(F.col("item_id").alias("query_id"), quoted.alias("query")), spread(t.documents).select(F.col("doc_id").alias("id"), F.col("text").alias("statement")))
+
+
 @query("f11_exact_anchor", """
 select doc_id as id, 'v' || doc_id % 3 || '.2' as anchor from documents where doc_id % 4 <> 0 or doc_id % 3 <> doc_id % 5 % 3""")
 def f11(t):
