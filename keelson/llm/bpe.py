@@ -23,11 +23,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField
 
-from keelson.llm.common import bounded_batches, map_columns
+from keelson.llm.common import bounded_batches, map_columns, worker_cache
 from keelson.registry import query
 
 REPLAY_WORDS = 20_000  # distinct pre-tokens replayed together: what fits a processor's cache
-CACHE_WORDS = 300_000  # encoded pre-tokens in a generation of a worker's cache
+CACHE_WORDS = 150_000  # encoded pre-tokens in a generation of a worker's cache
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -124,22 +124,17 @@ def replay(words: list[bytes], single: list[int], merges: dict[int, int]) -> lis
     return out
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _splitter(pattern: str):
     import regex
 
     return regex.compile(pattern).findall
 
 
-@lru_cache(1)
-def _known(run: str) -> list[dict[str, bytes]]:
-    """Encoded pre-tokens that this worker keeps for one call of the operator: a young and an old generation."""
-    return [{}, {}]
-
-
 def _encode(texts: list[str | None], shared: Broadcast, pattern: str, run: str) -> list[bytes]:
     """Ids of every text as little-endian 32-bit integers."""
-    generations = _known(run)
+    # encoded pre-tokens that this worker keeps: a young and an old generation
+    generations = worker_cache(run, lambda: [{}, {}])
     split = _splitter(pattern)
     pieces = [split(x) if x else [] for x in texts]
     distinct = set().union(*pieces)
@@ -161,18 +156,31 @@ def _encode(texts: list[str | None], shared: Broadcast, pattern: str, run: str)
     return [b"".join(map(find, words)) for words in pieces]
 
 
+def _listed(packed: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+
+
+def _tokens(ranks: dict[bytes, int]) -> list[bytes]:
+    tokens = [b""] * (1 + max(ranks.values(), default=-1))
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return tokens
+
+
+def _encoder(ranks: dict[bytes, int]) -> tuple[list[int], dict[int, int]]:
+    return [ranks[bytes([b])] for b in range(256)], merge_table(ranks)
+
+
 def bpe_encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text") -> DataFrame:
     """Adds ``ids`` (array of int) to every row."""
     spark = documents.sparkSession
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(([ranks[bytes([b])] for b in range(256)], merge_table(ranks)))  # of a vocabulary of bounded size
+    shared = spark.sparkContext.broadcast(_encoder(ranks))  # of a vocabulary of bounded size
     run = uuid.uuid4().hex
 
     def compute(batch: pa.RecordBatch) -> list:
-        packed = _encode(batch.column(0).to_pylist(), shared, pattern, run)
-        ends = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)
-        values = pa.array(np.frombuffer(b"".join(packed), "<i4"))
-        return [pa.ListArray.from_arrays(pa.array(ends), values)]
+        return [_listed(_encode(batch.column(0).to_pylist(), shared, pattern, run))]
 
     return map_columns(documents, [F.col(text)], [StructField("ids", ArrayType(IntegerType()))], compute, documents.columns)
 
@@ -180,10 +188,7 @@ def bpe_encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, text
 def bpe_decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:
     """Adds ``decoded`` (bytes) to every row; null ids decode to no bytes."""
     spark = encoded.sparkSession
-    tokens = [b""] * (1 + max(ranks.values(), default=-1))
-    for token, rank in ranks.items():
-        tokens[rank] = token
-    shared = spark.sparkContext.broadcast(tokens)
+    shared = spark.sparkContext.broadcast(_tokens(ranks))
 
     def compute(batch: pa.RecordBatch) -> list:
         find = shared.value.__getitem__
@@ -199,20 +204,23 @@ def _rows(column: pa.Array) -> list[np.ndarray]:
     return [values[offsets[i] : offsets[i + 1]] if full[i] else values[:0] for i in range(len(column))]
 
 
-def bpe_digest(decoded: DataFrame, keep_ids: bool = False) -> DataFrame:
-    """Adds n_tokens, ids_sha256 and decoded_sha256 in place of decoded, and of ids unless they are kept."""
+def bpe_round_trip(documents: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text") -> DataFrame:
+    """Adds ids, n_tokens, ids_sha256 (of the ids as little-endian 32-bit integers) and decoded_sha256
+    (of what the ids decode to): ``bpe_encode`` and ``bpe_decode`` in one pass of one worker."""
+    spark = documents.sparkSession
+    bounded_batches(spark)
+    shared = spark.sparkContext.broadcast(_encoder(ranks))
+    named = spark.sparkContext.broadcast(_tokens(ranks))
+    run = uuid.uuid4().hex
 
     def compute(batch: pa.RecordBatch) -> list:
-        rows = _rows(batch.column(0))
-        return [
-            pa.array([len(x) for x in rows], pa.int64()),
-            pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in rows]),
-        ]
+        packed, find = _encode(batch.column(0).to_pylist(), shared, pattern, run), named.value.__getitem__
+        digest = lambda data: hashlib.sha256(data).hexdigest()
+        decoded = [digest(b"".join(map(find, np.frombuffer(x, "<u4").tolist()))) for x in packed]
+        return [_listed(packed), pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array([digest(x) for x in packed], pa.string()), pa.array(decoded, pa.string())]
 
-    keep = [x for x in decoded.columns if keep_ids or x != "ids"]
-    added = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType())]
-    digested = map_columns(decoded, [F.col("ids")], added, compute, keep)
-    return digested.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+    added = [StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
+    return map_columns(documents, [F.col(text)], added, compute, documents.columns)
 
 
 def public_vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[dict[bytes, int], str]:
@@ -225,4 +233,4 @@ def public_vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[dict[b
 @query("op4_byte_bpe")
 def op4_byte_bpe(t):
     ranks, pattern = public_vocabulary()
-    return bpe_digest(bpe_decode(bpe_encode(t.documents.select("doc_id", "text"), ranks, pattern).drop("text"), ranks))
+    return bpe_round_trip(t.documents.select("doc_id", "text"), ranks, pattern).drop("text", "ids")

@@ -33,6 +33,20 @@ def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(key, str(rows))
 
 
+_CACHE: dict = {}
+
+
+def worker_cache(tag: str, make: Callable):
+    """What this Python worker keeps between batches and tasks of one call of an operator.
+
+    There is one such value a worker: another call drops it, so a chain of operators in reused
+    workers does not pile up caches."""
+    if tag not in _CACHE:
+        _CACHE.clear()
+        _CACHE[tag] = make()
+    return _CACHE[tag]
+
+
 def free_name(df: DataFrame, *wanted: str) -> list[str]:
     """Column names that no column of the frame has."""
     taken, out = {x.lower() for x in df.columns}, []

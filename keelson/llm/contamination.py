@@ -21,7 +21,7 @@ from keelson.llm.common import bounded_batches, free_name, map_columns, stored
 from keelson.registry import query
 
 WINDOW = 10
-BLOCK_CHARS = 32_000_000  # characters of items searched for in one pass: the bound of what is broadcast
+BLOCK_CHARS = 2_000_000  # characters of items searched for in one pass: bounds what is collected and broadcast to some 100 MB
 
 #: A-Z becomes a-z; bytes that belong to no word become spaces.
 _TABLE = bytes(

@@ -49,7 +49,7 @@ GAP_LINES = 3  # anchor lines that far apart belong to one block
 AROUND = 200  # words kept on each side of the anchors of a long block
 RANKED = 3  # templates compared with a block word by word
 MOST_DIFFERENT = 0.2  # share of a template's words that may differ
-CACHE_BLOCKS = 100_000
+CACHE_BLOCKS = 20_000
 
 _ANCHOR = re.compile("|".join(re.escape(x) for x in ANCHORS))
 _WORD = re.compile(r"[\w.\-]*\w")

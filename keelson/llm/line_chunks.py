@@ -74,7 +74,8 @@ def repeated_chunks(documents: DataFrame, text: str = "text", doc_id: str = "doc
         chunks.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_th", "idx", "start", "len")).alias("first")).where("n > 1").select("h", "first")
     )
     later = chunks.join(firsts, "h").where(~place.eqNullSafe(F.struct(c("first._id").alias("_id"), c("first._th").alias("_th"), c("first.idx").alias("idx"))))
-    later = later.select("_id", "_th", "idx", "start", "len", "words", "h").distinct()
+    # rows equal in id and text repeat their chunks; the key without h lets Spark split the hot chunks of the join
+    later = later.groupBy("_id", "_th", "idx").agg(*[F.any_value(x).alias(x) for x in ("start", "len", "words", "h")])
     # neighbours among the candidates of one document share idx minus their number
     run = Window.partitionBy("_id", "_th").orderBy("idx")
     numbered = later.withColumn("run", c("idx") - F.row_number().over(run))
@@ -96,18 +97,18 @@ def repeated_chunks(documents: DataFrame, text: str = "text", doc_id: str = "doc
 
 def line_dedup(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """All columns with the text shortened, and n_lines and n_removed_lines added."""
-    gone = stored(repeated_chunks(documents, text, doc_id)).groupBy("_id", "_th").agg(F.collect_set(F.struct("start", "len")).alias("_gone"))
-    id_, th = free_name(documents, "_id", "_th")
+    id_, th, spans = free_name(documents, "_id", "_th", "_gone")
+    gone = stored(repeated_chunks(documents, text, doc_id)).groupBy("_id", "_th").agg(F.collect_set(F.struct("start", "len")).alias(spans))
     left = documents.withColumns({id_: c(doc_id), th: F.xxhash64(text)})
     joined = left.join(gone, left[id_].eqNullSafe(gone["_id"]) & (left[th] == gone["_th"]), "left")
     lines = F.split(c(text), "\n")
-    taken = F.flatten(F.transform("_gone", lambda x: F.sequence(x["start"], x["start"] + x["len"] - 1)))
+    taken = F.flatten(F.transform(spans, lambda x: F.sequence(x["start"], x["start"] + x["len"] - 1)))
     kept = F.array_except(F.sequence(F.lit(1), F.size(lines)), taken)
     shorter = _bound(lines, lambda ls: F.array_join(F.transform(kept, lambda i: F.element_at(ls, i)), "\n"))
-    removed = F.coalesce(F.aggregate("_gone", F.lit(0), lambda a, x: a + x["len"]), F.lit(0)).cast("bigint")
+    removed = F.coalesce(F.aggregate(spans, F.lit(0), lambda a, x: a + x["len"]), F.lit(0)).cast("bigint")
     keep = [x for x in documents.columns if x.lower() not in ("n_lines", "n_removed_lines")]
     return joined.select(
-        *[F.when(c("_gone").isNull(), c(text)).otherwise(shorter).alias(x) if x == text else left[x] for x in keep],
+        *[F.when(c(spans).isNull(), c(text)).otherwise(shorter).alias(x) if x == text else left[x] for x in keep],
         F.when(c(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("bigint").alias("n_lines"), removed.alias("n_removed_lines"),
     )
 

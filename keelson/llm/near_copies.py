@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField
 
-from keelson.llm.common import bounded_batches, map_columns, stored
+from keelson.llm.common import bounded_batches, free_name, map_columns, stored
 from keelson.registry import query
 
 SHINGLE, BUDGET, SEED = 3, 3, 42
@@ -217,10 +217,11 @@ def representatives(documents: DataFrame) -> DataFrame:
 
     Rows equal in id and fingerprint are one document; of a class without any id one row stays for
     each fingerprint."""
-    kept = near_copies(documents).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("simhash").alias("_print")).distinct()
-    printed = with_fingerprint(documents, name="_simhash")
-    found = printed.join(stored(kept), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_simhash") == F.col("_print")))
-    return found.dropDuplicates(["_id", "_print"]).select(*documents.columns)
+    id_, kept_print, own = free_name(documents, "_id", "_print", "_simhash")
+    kept = near_copies(documents).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(id_), F.col("simhash").alias(kept_print)).distinct()
+    printed = with_fingerprint(documents, name=own)
+    found = printed.join(stored(kept), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(kept_print)))
+    return found.dropDuplicates([id_, kept_print]).select(*documents.columns)
 
 
 @query("op10_simhash_trie")

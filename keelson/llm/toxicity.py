@@ -13,7 +13,6 @@ text; a null id is never learned from and not held out; equal rows are scored al
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,11 +21,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BinaryType, DoubleType, StructField
 
-from keelson.llm.common import bounded_batches, map_columns, stored
+from keelson.llm.common import bounded_batches, map_columns, stored, worker_cache
 from keelson.registry import query
 
 SAMPLE_ROWS = 16_000  # labelled rows that are learned from, at most
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 @dataclass(frozen=True)
@@ -44,14 +43,9 @@ class Ftrl:
     passes: int = 2
 
 
-@lru_cache(1)
-def _hashes() -> dict[bytes, int]:
-    return {}
-
-
 def features(text: bytes | None, bits: int) -> np.ndarray:
     """Sorted distinct coordinates of a text; the last coordinate, 2**bits, is the bias."""
-    known = _hashes()
+    known = worker_cache("toxicity words", dict)
     if len(known) > CACHE_WORDS:
         known.clear()
     bias = np.array([1 << bits], np.int64)
@@ -150,6 +144,9 @@ def learn(labelled: DataFrame, p: Ftrl = Ftrl()) -> dict[int, float]:
 def sample(documents: DataFrame, labels: DataFrame, allowed: Column, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(doc_id, text, toxic) of at most ``rows`` labelled ids for which ``allowed`` holds, dealt by a hash."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & allowed).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    # a first cut by hash leaves about twice the rows wanted, so that few rows meet in the sort
+    share = min(1.0, 2 * rows / max(1, known.count()))
+    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) <= int(share * (1 << 20)))
     chosen = stored(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
     texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``rows`` rows
     # of repeated ids one text is enough

@@ -12,17 +12,16 @@ from __future__ import annotations
 import uuid
 from collections import deque
 from dataclasses import dataclass
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField
 
 from keelson.llm.bpe import public_vocabulary
-from keelson.llm.common import bounded_batches, map_columns
+from keelson.llm.common import bounded_batches, map_columns, worker_cache
 from keelson.registry import query
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 @dataclass
@@ -102,11 +101,6 @@ def build_automaton(pieces) -> Automaton:
     return Automaton(children, failure, popped)
 
 
-@lru_cache(1)
-def _counts(run: str) -> dict[bytes, int]:
-    return {}
-
-
 def token_counts(documents: DataFrame, pieces, text: str = "text", prefix: bytes = b" ") -> DataFrame:
     """Adds n_words and n_tokens; every whitespace-separated word is matched with ``prefix`` before it."""
     spark = documents.sparkSession
@@ -115,7 +109,7 @@ def token_counts(documents: DataFrame, pieces, text: str = "text", prefix: bytes
     run = uuid.uuid4().hex
 
     def compute(batch: pa.RecordBatch) -> list:
-        counts, count = _counts(run), shared.value.count
+        counts, count = worker_cache(run, dict), shared.value.count
         words, tokens = [], []
         for body in batch.column(0).to_pylist():
             found = body.split() if body else []

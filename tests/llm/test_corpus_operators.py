@@ -151,7 +151,7 @@ def test_line_dedup(spark):
     boiler = "all rights are kept by us"
     rows += [(50 + i, "\n".join([prose(30), boiler, prose(30)])) for i in range(5)]
     rows += [(None, rows[0][1]), (70, None), (71, ""), (72, ""), (3, rows[3][1]), (73, rows[1][1]), (74, "\n".join([prose(22)] * 2000)), (75, "\n\n\n")]
-    docs = frame(spark, [(*r, 1, "t", 2) for r in rows], ", n_lines int, _th string, idx int").repartition(3)
+    docs = frame(spark, [(*r, 1, "t", 2) for r in rows], ", n_lines int, _th string, _gone int").repartition(3)
     out = lc.line_dedup(docs)
     assert set(docs.columns) <= set(out.columns)
     want = brute.line_dedup(rows, lc.ROLL, lc.DIVISOR, lc.LONG_WORDS, lc.RUN_WORDS, lc.CHUNK_WORDS)
@@ -198,7 +198,7 @@ def test_near_copies(spark):
             words[RNG.randrange(300)] = RNG.choice(WORDS)
         rows.append((200 - i, " ".join(words)))
     rows += [(300 + i, prose(80)) for i in range(20)] + [(1, None), (2, ""), (3, " \n"), (None, ""), (None, prose(40)), (400, "Two Words"), (401, "two words"), (402, "one"), (200, rows[0][1]), (403, prose(70_000))]
-    docs = frame(spark, [(*r, 5, "c") for r in rows], ", simhash int, component string").repartition(4)
+    docs = frame(spark, [(*r, 5, "c", 1) for r in rows], ", simhash int, component string, _simhash int").repartition(4)
     prints = [brute.simhash(t) for _, t in rows]
     classes = brute.classes(prints, lambda a, b: (a ^ b).bit_count() <= 3)
     lowest = {}
