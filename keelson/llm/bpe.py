@@ -26,7 +26,8 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stri
 from keelson.llm.common import bounded_batches, map_columns, worker_cache
 from keelson.registry import query
 
-REPLAY_WORDS = 20_000  # distinct pre-tokens replayed together: what fits a processor's cache
+BATCH_ROWS = 4_096  # texts whose pre-tokens are replayed together
+REPLAY_WORDS = 400_000  # distinct pre-tokens replayed together, at most
 CACHE_WORDS = 150_000  # encoded pre-tokens in a generation of a worker's cache
 
 
@@ -124,6 +125,103 @@ def replay(words: list[bytes], single: list[int], merges: dict[int, int]) -> lis
     return out
 
 
+class Merges:
+    """The merge table as sorted arrays, with the ranks of single bytes."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        table = merge_table(ranks)
+        self.keys = np.array(sorted(table), np.int64)
+        self.ranks = np.array([table[k] for k in self.keys.tolist()], np.int64)
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each joined pair, or -1."""
+        pair = left << 32 | right
+        at = np.searchsorted(self.keys, pair)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == pair, self.ranks[at], -1)
+
+
+def replay_many(words: list[bytes], merges: Merges) -> list[bytes]:
+    """Packed ids (32-bit little-endian) of every word, each merge applied to all its places at once.
+
+    The same replay as ``replay``, on arrays. All places of the lowest waiting rank are merged in one
+    step, of overlapping ones every other from the left. Should a step make a pair of lower rank, the
+    words concerned are replayed alone, because their other places should have waited for it."""
+    if not len(merges.keys):
+        return [merges.single[np.frombuffer(w, np.uint8)].astype("<i4").tobytes() for w in words]
+    lengths = np.array([len(w) for w in words], np.int64)
+    symbols = merges.single[np.frombuffer(b"".join(words), np.uint8)]
+    size, ends = len(symbols), np.cumsum(lengths)
+    full = lengths > 0
+    after, before = np.arange(1, size + 1), np.arange(-1, size - 1)
+    after[ends[full] - 1] = -1
+    before[(ends - lengths)[full]] = -1
+    word_of = np.repeat(np.arange(len(words)), lengths)
+    waiting: dict[int, list[np.ndarray]] = {}
+    heap: list[int] = []
+    alone: set[int] = set()
+
+    def wait(places: np.ndarray, done: int) -> None:
+        """Files places, whose right neighbours exist, under the ranks of their pairs."""
+        ranks = merges.of(symbols[places], symbols[after[places]])
+        order = np.argsort(ranks, kind="stable")
+        ranks, places = ranks[order], places[order]
+        cuts = [*(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(ranks)]
+        low = 0
+        for high in cuts:
+            rank = int(ranks[low])
+            if rank >= 0:
+                if rank < done:
+                    alone.update(word_of[places[low:high]].tolist())
+                if rank in waiting:
+                    waiting[rank].append(places[low:high])
+                else:
+                    waiting[rank] = [places[low:high]]
+                    heapq.heappush(heap, rank)
+            low = high
+
+    if size:
+        first = np.flatnonzero(after >= 0)
+        if len(first):
+            wait(first, -1)
+    while heap:
+        rank = heapq.heappop(heap)
+        parts = waiting.pop(rank)
+        places = np.unique(parts[0] if len(parts) == 1 else np.concatenate(parts))
+        right = after[places]
+        live = (right >= 0) & (merges.of(symbols[places], symbols[right]) == rank)
+        if not live.all():
+            places, right = places[live], right[live]
+            if not len(places):
+                continue
+        touch = right[:-1] == places[1:]
+        if touch.any():
+            number = np.arange(len(places))
+            run = number.copy()
+            run[1:][touch] = 0
+            keep = (number - np.maximum.accumulate(run)) % 2 == 0
+            places, right = places[keep], right[keep]
+        beyond = after[right]
+        symbols[places], symbols[right] = rank, -1
+        after[places] = beyond
+        more = beyond >= 0
+        before[beyond[more]] = places[more]
+        previous = before[places]
+        changed = np.concatenate([places[more], previous[previous >= 0]])
+        if len(changed):
+            wait(changed, rank)
+    live = symbols >= 0
+    data = symbols[live].astype("<i4").tobytes()
+    bounds = [0, *(4 * np.cumsum(np.bincount(word_of[live], minlength=len(words)))).tolist()]
+    out = [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+    if alone:
+        single, table = merges.single.tolist(), dict(zip(merges.keys.tolist(), merges.ranks.tolist(), strict=True))
+        for number, ids in zip(sorted(alone), replay([words[i] for i in sorted(alone)], single, table), strict=True):
+            out[number] = array("i", ids).tobytes()
+    return out
+
+
 @lru_cache(1)
 def _splitter(pattern: str):
     import regex
@@ -135,25 +233,25 @@ def _encode(texts: list[str | None], shared: Broadcast, pattern: str, run: str)
     """Ids of every text as little-endian 32-bit integers."""
     # encoded pre-tokens that this worker keeps: a young and an old generation
     generations = worker_cache(run, lambda: [{}, {}])
-    split = _splitter(pattern)
-    pieces = [split(x) if x else [] for x in texts]
-    distinct = set().union(*pieces)
-    if len(generations[0]) + len(distinct) > CACHE_WORDS:
+    split, number = _splitter(pattern), {}
+    place = number.setdefault
+    pieces = [array("i", [place(w, len(number)) for w in split(x)]) if x else () for x in texts]
+    if len(generations[0]) + len(number) > CACHE_WORDS:
         generations[:] = [{}, generations[0]]
     young, old = generations
     fresh = []
-    for word in distinct.difference(young):
-        ids = old.get(word)
-        if ids is None:
-            fresh.append(word)
-        else:
-            young[word] = ids
+    for word in number:
+        if word not in young:
+            ids = old.get(word)
+            if ids is None:
+                fresh.append(word)
+            else:
+                young[word] = ids
     for start in range(0, len(fresh), REPLAY_WORDS):
         part = fresh[start : start + REPLAY_WORDS]
-        for word, ids in zip(part, replay([x.encode() for x in part], *shared.value), strict=True):
-            young[word] = array("i", ids).tobytes()
-    find = young.__getitem__
-    return [b"".join(map(find, words)) for words in pieces]
+        young.update(zip(part, replay_many([x.encode() for x in part], shared.value), strict=True))
+    find = [young[w] for w in number].__getitem__
+    return [b"".join(map(find, x)) for x in pieces]
 
 
 def _listed(packed: list[bytes]) -> pa.Array:
@@ -168,15 +266,11 @@ def _tokens(ranks: dict[bytes, int]) -> list[bytes]:
     return tokens
 
 
-def _encoder(ranks: dict[bytes, int]) -> tuple[list[int], dict[int, int]]:
-    return [ranks[bytes([b])] for b in range(256)], merge_table(ranks)
-
-
 def bpe_encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text") -> DataFrame:
     """Adds ``ids`` (array of int) to every row."""
     spark = documents.sparkSession
-    bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(_encoder(ranks))  # of a vocabulary of bounded size
+    bounded_batches(spark, BATCH_ROWS)
+    shared = spark.sparkContext.broadcast(Merges(ranks))  # of a vocabulary of bounded size
     run = uuid.uuid4().hex
 
     def compute(batch: pa.RecordBatch) -> list:
@@ -208,8 +302,8 @@ def bpe_round_trip(documents: DataFrame, ranks: dict[bytes, int], pattern: str,
     """Adds ids, n_tokens, ids_sha256 (of the ids as little-endian 32-bit integers) and decoded_sha256
     (of what the ids decode to): ``bpe_encode`` and ``bpe_decode`` in one pass of one worker."""
     spark = documents.sparkSession
-    bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(_encoder(ranks))
+    bounded_batches(spark, BATCH_ROWS)
+    shared = spark.sparkContext.broadcast(Merges(ranks))
     named = spark.sparkContext.broadcast(_tokens(ranks))
     run = uuid.uuid4().hex
 

@@ -27,12 +27,16 @@ def stored(df: DataFrame) -> DataFrame:
 
 def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
     """Arrow batches of few rows, so that long texts do not pile up in a worker (Spark bounds their
-    bytes); a setting that somebody has changed is left alone."""
+    bytes); a setting that somebody else has changed is left alone."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
+    if spark.conf.get(key) in ("10000", *_SET):
+        _SET.add(str(rows))
         spark.conf.set(key, str(rows))
 
 
+_SET: set[str] = set()  # batch sizes that these operators have set
+
+
 _CACHE: dict = {}
 
 

@@ -95,7 +95,9 @@ def test_replay_equals_library():
     library, rng = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), random.Random(1)
     words = [bytes(rng.choice(b"aaabcdeh \xc3\xa9\xff!0") for _ in range(rng.randint(1, 30))) for _ in range(4000)] + [b"", b"a" * 700]
     got = bpe.replay(words, [ranks[bytes([b])] for b in range(256)], bpe.merge_table(ranks))
-    assert got == [library._encode_single_piece(w) if w else [] for w in words]
+    want = [library._encode_single_piece(w) if w else [] for w in words]
+    assert got == want
+    assert [np.frombuffer(x, "<i4").tolist() for x in bpe.replay_many(words, bpe.Merges(ranks))] == want
 
 
 def test_replay_with_lower_rank_made_later():
@@ -108,7 +110,9 @@ def test_replay_with_lower_rank_made_later():
     words = [bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 25))) for _ in range(3000)]
     words = [w for w in words if w not in ranks]
     single, merges = [ranks[bytes([b])] for b in range(256)], bpe.merge_table(ranks)
-    assert bpe.replay(words, single, merges) == [library._encode_single_piece(w) for w in words]
+    want = [library._encode_single_piece(w) for w in words]
+    assert bpe.replay(words, single, merges) == want
+    assert [np.frombuffer(x, "<i4").tolist() for x in bpe.replay_many(words, bpe.Merges(ranks))] == want
 
 
 def test_bpe_round_trip(docs, rows):
