@@ -1,17 +1,21 @@
 """License scans by conditional compression.
 
-Lines with a word of licensing are gathered into candidate blocks. A block is compressed alone and
-with each template as a raw zstandard dictionary; the templates that save most are compared with the
-block word by word, and one is confirmed if few of its words are missing and few strange words stand
-between them. Of several the one with the fewest differences wins.
+Words of licensing are gathered into candidate blocks that reach as far around them as the longest
+template. A block is compressed alone and with each template as a raw zstandard dictionary, which
+ranks the templates; each that can be there by its words is compared with the block word by word, and
+confirmed if few of its words are missing and few strange words stand between them. The best match
+takes its words, and what is left on both sides is compared again until none is confirmed.
 
-Cases: a null, empty or unlicensed text has no blocks; a very long line is cut to the words around
-its anchors for comparison, while spans count whole lines; equal blocks give equal findings; equal
-rows are scanned alike; columns of the input with the name of an added one give way to it."""
+Cases: a null, empty or unlicensed text has no blocks; line breaks count as spaces, so wrapping and
+blank lines do not matter; spans are the lines of the confirmed words; equal blocks give equal
+findings; equal rows are scanned alike; columns of the input with the name of an added one give way
+to it."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -45,13 +49,10 @@ TEMPLATES = (
 #: Words that make a line a candidate (fixed values).
 ANCHORS = ("licens", "licenc", "copyright", "rights reserved", "permission", "redistribut", "public domain", "creative commons", "cc by", "cc0")
 
-GAP_LINES = 3  # anchor lines that far apart belong to one block
-AROUND = 200  # words kept on each side of the anchors of a long block
-RANKED = 3  # templates compared with a block word by word
 MOST_DIFFERENT = 0.2  # share of a template's words that may differ
 CACHE_BLOCKS = 20_000
 
-_ANCHOR = re.compile("|".join(re.escape(x) for x in ANCHORS))
+_ANCHOR = re.compile("|".join(re.escape(x) for x in ANCHORS), re.IGNORECASE)
 _WORD = re.compile(r"[\w.\-]*\w")
 
 
@@ -59,32 +60,27 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def candidate_blocks(text: str | None) -> list[tuple[int, int, str]]:
-    """(first line, last line, text) of the blocks, lines counted from one."""
-    if not text or not _ANCHOR.search(text.lower()):
+@lru_cache(1)
+def _wordings(templates: tuple) -> list[tuple[list[str], Counter]]:
+    return [(w, Counter(w)) for w in (words_of(text) for _, text in templates)]
+
+
+def candidate_blocks(text: str | None, templates: tuple = TEMPLATES) -> list[tuple[int, int]]:
+    """(start, end) of the blocks in the text: around each anchor as many words as a notice can have."""
+    anchors = [m.start() for m in _ANCHOR.finditer(text)] if text else []
+    if not anchors:
         return []
-    lines = text.split("\n")
-    at = [i for i, x in enumerate(lines) if _ANCHOR.search(x.lower())]
+    starts, ends = zip(*[m.span() for m in _WORD.finditer(text)], strict=True)
+    around = int((1 + MOST_DIFFERENT) * max(len(w) for w, _ in _wordings(templates))) + 1
     groups: list[list[int]] = []
-    for i in at:
-        if groups and i - groups[-1][1] <= GAP_LINES:
-            groups[-1][1] = i
+    for at in anchors:
+        word = max(0, min(bisect_right(starts, at), len(starts)) - 1)
+        low, high = max(0, word - around), min(len(starts) - 1, word + around)
+        if groups and low <= groups[-1][1] + 1:
+            groups[-1][1] = high
         else:
-            groups.append([i, i])
-    return [(a + 1, b + 1, "\n".join(lines[a : b + 1])) for a, b in groups]
-
-
-def _pieces(block: str) -> list[str]:
-    """The block itself, or for a long one the stretches of words around its anchors."""
-    words = block.split()
-    if len(words) <= 4 * AROUND:
-        return [block]
-    out, end = [], -1
-    for i in range(len(words)):
-        if _ANCHOR.search(" ".join(words[i : i + 2]).lower()) and i >= end:
-            end = i + AROUND
-            out.append(" ".join(words[max(0, i - AROUND) : end]))
-    return out
+            groups.append([low, high])
+    return [(starts[a], ends[b]) for a, b in groups]
 
 
 @lru_cache(1)
@@ -102,22 +98,49 @@ def differences(block: list[str], template: list[str]) -> int:
     return len(template) - common + runs[-1].a + runs[-1].size - runs[0].a - common
 
 
+def _match(words: list[str], low: int, high: int, template: list[str], counts: Counter) -> tuple[int, int, int, int] | None:
+    """(start, end, common words, differing words) of the template's best place in words[low:high]."""
+    most, ranges = MOST_DIFFERENT * len(template), [(low, high)]
+    while ranges:
+        low, high = ranges.pop()
+        if len(template) - sum((counts & Counter(words[low:high])).values()) > most:
+            continue  # too many of its words are nowhere in the range
+        runs = [m for m in SequenceMatcher(None, words[low:high], template, autojunk=False).get_matching_blocks() if m.size]
+        best = None
+        for i in range(len(runs)):  # words that match far off on either side do not belong to the notice
+            common = 0
+            for j in range(i, len(runs)):
+                common += runs[j].size
+                end = runs[j].a + runs[j].size
+                n = len(template) - common + end - runs[i].a - common
+                if best is None or n < best[3]:
+                    best = (low + runs[i].a, low + end, common, n)
+        if best and best[3] <= most:
+            return best
+        longest = max(runs, key=lambda m: m.size)
+        ranges += [(low + longest.a + longest.size, high), (low, low + longest.a)]
+    return None
+
+
 @lru_cache(CACHE_BLOCKS)
-def _found(piece: str, templates: tuple) -> tuple[str, float, int] | None:
-    """(license, share of bytes saved, differing words) of the confirmed template."""
-    data = piece.encode()
+def _found(block: str, templates: tuple) -> tuple[tuple[str, float, int, int, int], ...]:
+    """(license, share of the block's bytes saved, differing words, start, end) of all confirmed notices in order."""
+    data = block.encode()
     alone = len(zstandard.ZstdCompressor(level=6).compress(data))
     saved = [1 - len(z.compress(data)) / alone for z in _compressors(templates)]
     ranked = sorted(range(len(templates)), key=lambda i: (-saved[i], i))
-    words, best = words_of(piece), None
-    # a template that is short against the block saves little of it, so ranks are also taken by bytes saved per template byte
-    relative = sorted(range(len(templates)), key=lambda i: (-saved[i] * len(data) / len(templates[i][1]), i))
-    for i in dict.fromkeys([*ranked[:RANKED], *relative[:RANKED]]):
-        template = words_of(templates[i][1])
-        n = differences(words, template)
-        if n <= MOST_DIFFERENT * len(template) and (best is None or (n, -len(template)) < (best[2], -best[3])):
-            best = (templates[i][0], saved[i], n, len(template))
-    return best and best[:3]
+    places = [m.span() for m in _WORD.finditer(block)]
+    words, wordings, out = [block[a:b].lower() for a, b in places], _wordings(templates), []
+    ranges = [(0, len(words))]
+    while ranges:
+        low, high = ranges.pop()
+        hits = [(hit, i) for i in ranked if (hit := _match(words, low, high, *wordings[i]))]
+        if hits:
+            # the most common words less the differing ones: a short notice inside a longer one is part of it
+            (a, b, _, n), i = min(hits, key=lambda x: (x[0][3] - x[0][2], x[0][3] / len(wordings[x[1]][0])))
+            out.append((templates[i][0], saved[i], n, places[a][0], places[b - 1][1]))
+            ranges += [(low, a), (b, high)]
+    return tuple(sorted(out, key=lambda x: x[3]))
 
 
 SPANS = ArrayType(StructType([
@@ -133,8 +156,10 @@ def license_scan(documents: DataFrame, text: str = "text", templates: tuple = TE
     def compute(batch: pa.RecordBatch) -> list:
         spans, looked = [], []
         for body in batch.column(0).to_pylist():
-            blocks = candidate_blocks(body)
-            found = [(a, b, hit) for a, b, block in blocks for hit in dict.fromkeys(_found(x, templates) for x in _pieces(block)) if hit]
+            blocks = candidate_blocks(body, templates)
+            breaks = [i for i, x in enumerate(body) if x == "\n"] if blocks else []
+            line = lambda at: bisect_left(breaks, at) + 1  # noqa: B023, E731
+            found = [(line(a + h[3]), line(a + h[4] - 1), h) for a, b in blocks for h in _found(body[a:b], templates)]
             spans.append([{"license": h[0], "first_line": a, "last_line": b, "saved": h[1], "differing_words": h[2]} for a, b, h in found])
             looked.append(len(blocks))
         kind = pa.list_(pa.struct([("license", pa.string()), ("first_line", pa.int32()), ("last_line", pa.int32()), ("saved", pa.float64()), ("differing_words", pa.int32())]))
