@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import textwrap
 
+import pytest
 from keelson.llm import licenses
 
 LONG = {}
@@ -43,3 +44,16 @@ def test_wrapped_notices(spark):
 def test_notice_late_in_a_long_line(spark):
     words = " ".join(["word"] * 900)
     assert scan(spark, f"{words} copyright {words} {' '.join(MIT.split())} {words}") == [[("mit", 1, 1)]]
+
+
+@pytest.mark.parametrize("between", ["\n", " ", "\n\n"])
+def test_notices_side_by_side(spark, between):
+    altered = LONG["apache-2.0"].replace("governing", "ruling")
+    pairs = [("Released under the MIT License.", "Licensed under CC BY 4.0."), ("All rights reserved.", BSD.replace("retain", "keep")), ("All rights reserved.", altered), (altered, "All rights reserved.")]
+    names = [["mit", "cc-by-4.0"], ["all-rights-reserved", "bsd-3-clause"], ["all-rights-reserved", "apache-2.0"], ["apache-2.0", "all-rights-reserved"]]
+    assert [[x[0] for x in r] for r in scan(spark, *[between.join(x) for x in pairs])] == names
+
+
+def test_all_templates_in_one_block(spark):
+    got = scan(spark, "\n".join(text for _, text in licenses.TEMPLATES))[0]
+    assert [x[0] for x in got] == [name for name, _ in licenses.TEMPLATES]
