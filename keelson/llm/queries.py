@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("toxicity", "licenses", "wordpiece", "bpe", "interpolation", "url_rules", "contamination", "quality", "line_chunks", "near_copies")
+MODULES = ("toxicity", "licenses", "wordpiece", "bpe", "interpolation", "url_rules", "contamination", "quality", "line_chunks", "near_copies", "exact_copies", "whitening", "divergence")
 
 
 def load() -> None:
