@@ -11,7 +11,7 @@ multiple root. The polynomial, roots and vectors depend on the number of dimensi
 Cases: vectors that are null or empty, or hold a null, a non-finite entry or one whose 1024-fold is no
 long, are dropped; so are those of another length than the most frequent one (the longest of several).
 Components of variance zero have no whitened value: constant or few vectors give fewer components, one
-vector or an empty table no rows. Equal rows are all counted; a null id is kept; other columns are
+vector or an empty table no rows. A deviation of over 38 digits is null. Equal rows are all counted; a null id is kept; other columns are
 ignored."""
 
 from __future__ import annotations
@@ -359,7 +359,7 @@ def project(vectors: DataFrame, column: str, n: int, sums: list[int], components
             white = centred.astype(float) @ axes
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * white.shape[1], pa.int32()), pa.array(white.ravel()))
             kept = batch.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([*[kept.column(i) for i in range(len(keep))], pa.array([decimal.Decimal(v) for v in deviation], pa.decimal128(38, 0)), lists], names=names)
+            yield pa.RecordBatch.from_arrays([*[kept.column(i) for i in range(len(keep))], pa.array([decimal.Decimal(v) if v < 10**38 else None for v in deviation], pa.decimal128(38, 0)), lists], names=names)
 
     return fed.mapInArrow(run, schema)
 
