@@ -20,11 +20,11 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from keelson.llm.common import bounded_batches, stored
 from keelson.registry import query
@@ -32,7 +32,9 @@ from keelson.registry import query
 c = F.col
 
 LEAST_DOCS, SMOOTH, UNIT, RANKS = 30, 5, 1_000_000_000, 50
-HELD = 400_000  # (lang, source, term) entries that a task holds before it hands them on
+HELD = 150_000  # terms that a task holds before it hands them on
+SENT = 8192  # terms of a batch that it hands on
+DOCS = -1  # beside the places of sources: the documents of a term
 BLOCK_TERMS = 4096  # terms of a block; float32 counts them exactly
 BLOCK_COLUMNS = 1024  # indicator columns of one tile of sources
 TILE = 64  # sources of a tile
@@ -47,37 +49,42 @@ def terms(text: bytes) -> list[bytes]:
 
 
 def counted(documents: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """lang, source, term, n (occurrences) and docs, summed as far as a task sees them; a null term stands for the group itself."""
+    """lang, term, docs, sources and ns (occurrences in each source), as far as a task sees them; a null
+    term lists the sources of the language."""
     bounded_batches(documents.sparkSession)
     bare = [F.coalesce(c(x).cast("string"), F.lit("")) for x in (lang, source)]
     fed = documents.select(*[x.alias(n) for x, n in zip(bare, ("lang", "source"), strict=True)], F.coalesce(c(text), F.lit("")).cast("binary").alias("text"))
-    names = ["lang", "source", "term", "n", "docs"]
-
-    def batch_of(held: dict) -> pa.RecordBatch:
-        columns: list[list] = [[], [], [], [], []]
-        for (of_lang, of_source), (n, docs) in held.items():
-            k = len(n) + 1
-            for column, part in zip(columns, ([of_lang] * k, [of_source] * k, [None, *n], [0, *n.values()], [0, *(docs[t] for t in n)]), strict=True):
-                column.extend(part)
-        kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=names)
+    names = ["lang", "term", "docs", "sources", "ns"]
+    kinds = [pa.string(), pa.binary(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
+
+    def batches_of(held: dict) -> Iterator[pa.RecordBatch]:
+        for of_lang, (sources, own) in held.items():
+            every = list(sources)
+            entries = chain([(None, {DOCS: 0} | dict.fromkeys(range(len(every)), 0))], own.items())
+            while part := list(islice(entries, SENT)):
+                found = [[(s, n) for s, n in e.items() if s != DOCS] for _, e in part]
+                columns = [[of_lang] * len(part), [t for t, _ in part], [e[DOCS] for _, e in part], [[every[s] for s, _ in x] for x in found], [[n for _, n in x] for x in found]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
         for batch in batches:
             for of_lang, of_source, body in zip(*[x.to_pylist() for x in batch.columns], strict=True):
-                n, docs = held.setdefault((of_lang, of_source), (Counter(), Counter()))
-                found = terms(body)
-                n.update(found)
-                docs.update(set(found))
-            if sum(len(n) for n, _ in held.values()) > HELD:
-                yield batch_of(held)
+                sources, own = held.setdefault(of_lang, ({}, {}))
+                s = sources.setdefault(of_source, len(sources))
+                for t, n in Counter(terms(body)).items():
+                    e = own.get(t)
+                    if e is None:
+                        own[t] = {DOCS: 1, s: n}
+                    else:
+                        e[DOCS] += 1
+                        e[s] = e.get(s, 0) + n
+            if sum(len(own) for _, own in held.values()) > HELD:
+                yield from batches_of(held)
                 held = {}
-        if held:
-            yield batch_of(held)
+        yield from batches_of(held)
 
-    schema = StructType([*[StructField(x, StringType()) for x in names[:2]], StructField("term", BinaryType()), *[StructField(x, LongType()) for x in names[3:]]])
-    return fed.mapInArrow(run, schema)
+    return fed.mapInArrow(run, "lang string, term binary, docs bigint, sources array<string>, ns array<bigint>")
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -211,14 +218,17 @@ def pair_distances(kept: DataFrame, groups: DataFrame) -> DataFrame:
 
 def divergence(documents: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least: int = LEAST_DOCS, ranks: int = RANKS) -> DataFrame:
     """lang, source, part (``pair`` or ``term``), item, value, rank."""
-    sums = stored(counted(documents, text, lang, source).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+    # one row a term from every task: what few documents hold goes before sources are told apart
+    docs = F.sum("docs").over(Window.partitionBy("lang", "term"))
+    common = counted(documents, text, lang, source).withColumn("docs", docs).where(c("term").isNull() | (c("docs") >= least))
+    each_source = common.select("lang", "term", F.inline(F.arrays_zip(c("sources").alias("source"), c("ns").alias("n"))))
+    sums = stored(each_source.groupBy("lang", "term", "source").agg(F.sum("n").alias("n")))
     # all sources of a language have a place, those without terms too
     named = sums.where("term is null").select("lang", "source")
     numbered = stored(named.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("bigint") - 1))
     placed = sums.where("term is not null").join(numbered, ["lang", "source"])
     kept = stored(
-        placed.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("place", "n")).alias("counts"))  # one entry a source at most
-        .where(c("docs") >= least).select("lang", "term", "total", "counts")
+        placed.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.collect_list(F.struct("place", "n")).alias("counts"))  # one entry a source at most
     )
     each = kept.select("lang", "term", "total", F.explode("counts").alias("x")).select("lang", "term", "total", "x.*")
     of_group = each.groupBy("lang", "place").agg(F.sum("n").alias("size"))
