@@ -26,6 +26,7 @@ from keelson.registry import query
 
 SAMPLE_ROWS = 16_000  # labelled rows that are learned from, at most
 CACHE_WORDS = 200_000
+BLOCK = 1 << 14  # coordinates of a state that travel as one row
 
 
 @dataclass(frozen=True)
@@ -97,25 +98,49 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel(), dtype=np.int64)
 
 
-def _fitter(shared, turn: int, p: Ftrl):
-    """Trains one shard from the mixed state; returns the coordinates it or an earlier round touched."""
+def _fitter(turn: int, p: Ftrl):
+    """Trains one shard from the mixed state of the round before, which comes in blocks of coordinates."""
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
+    def fit(group: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        size = (1 << p.bits) + 1
+        z, n = np.zeros(size), np.zeros(size)
+        for block, zs, ns in zip(state["block"], state["z"], state["n"], strict=True):
+            at = slice(block * BLOCK, min(size, (block + 1) * BLOCK))
+            z[at], n[at] = np.frombuffer(zs, "<f4"), np.frombuffer(ns, "<f4")
         rows, labels = [_unpack(x) for x in group["at"]], group["toxic"].to_numpy(float)
-        z, n = (x.astype(float) for x in shared.value)
+        if not rows:
+            return pd.DataFrame({"block": [], "shard": [], "z": [], "n": []})
         for lap in range(p.passes):
             # the order within a shard does not depend on how rows arrive, and changes every time
             order = np.argsort([xxhash.xxh64_intdigest(str(x), seed=turn * p.passes + lap) for x in group["doc_id"]], kind="stable")
             train([rows[i] for i in order], labels[order], z, n, p)
-        touched = np.flatnonzero(n)
-        state = [touched.astype("<i4"), z[touched].astype("<f4"), n[touched].astype("<f4")]
-        return pd.DataFrame({"shard": [group["shard"].iloc[0]], **{k: [x.tobytes()] for k, x in zip(("at", "z", "n"), state, strict=True)}})
+        blocks = range(0, size, BLOCK)
+        return pd.DataFrame({
+            "block": [x // BLOCK for x in blocks], "shard": group["shard"].iloc[0],
+            **{k: [v[x : x + BLOCK].astype("<f4").tobytes() for x in blocks] for k, v in (("z", z), ("n", n))},
+        })
 
     return fit
 
 
-def learn(labelled: DataFrame, p: Ftrl = Ftrl()) -> dict[int, float]:
-    """Non-zero weights from a bounded frame (doc_id, text, toxic)."""
+def _mixed(states: pd.DataFrame) -> pd.DataFrame:
+    """The mean of the shards' states for one block."""
+    states = states.sort_values("shard")
+
+    def mean(column: str) -> bytes:
+        parts = [np.frombuffer(x, "<f4") for x in states[column]]
+        return (np.sum(parts, axis=0, dtype="<f4") / np.float32(len(parts))).astype("<f4").tobytes()
+
+    return pd.DataFrame({"block": states["block"].iloc[:1], "z": [mean("z")], "n": [mean("n")]})
+
+
+STATE = "block int, z binary, n binary"
+
+
+def learn(labelled: DataFrame, p: Ftrl = Ftrl()) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates and values of the non-zero weights, from a bounded frame (doc_id, text, toxic).
+
+    States stay on the executors, in blocks of coordinates; the driver gets the sparse weights only."""
     spark = labelled.sparkSession
     bits, size = p.bits, (1 << p.bits) + 1
 
@@ -124,21 +149,26 @@ def learn(labelled: DataFrame, p: Ftrl = Ftrl()) -> dict[int, float]:
 
     shard = labelled.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(p.shards)).cast("int"))
     made = stored(map_columns(shard, [F.col("text").cast("binary")], [StructField("at", BinaryType())], compute, ["doc_id", "toxic", "shard"]))
-    z, n = np.zeros(size, "f4"), np.zeros(size, "f4")
+    state = spark.createDataFrame([], STATE)
     for turn in range(p.rounds):
-        shared = spark.sparkContext.broadcast((z, n))  # 2**bits coordinates
-
-        states = made.groupBy("shard").applyInPandas(_fitter(shared, turn, p), "shard int, at binary, z binary, n binary").toLocalIterator()
-        z, n, parts = np.zeros(size, "f4"), np.zeros(size, "f4"), 0
-        for state in sorted(states, key=lambda r: r["shard"]):  # as many as shards, of 2**bits coordinates at most
-            at = np.frombuffer(state["at"], "<i4")
-            z[at] += np.frombuffer(state["z"], "<f4")
-            n[at] += np.frombuffer(state["n"], "<f4")
-            parts += 1
-        z, n = z / max(1, parts), n / max(1, parts)
-        shared.unpersist()
-    w = weights_of(z, n, p)
-    return {int(i): float(w[i]) for i in np.flatnonzero(w)}
+        given = state.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(p.shards - 1))))
+        trained = made.groupBy("shard").cogroup(given.groupBy("shard")).applyInPandas(_fitter(turn, p), "block int, shard int, z binary, n binary")
+        state = stored(trained.groupBy("block").applyInPandas(_mixed, STATE))
+
+    def sparse(batches):
+        for batch in batches:
+            found = []
+            for block, z, n in zip(*[x.to_pylist() for x in batch.columns], strict=True):
+                w = weights_of(np.frombuffer(z, "<f4"), np.frombuffer(n, "<f4"), p)
+                at = np.flatnonzero(w)
+                found.append(((at + block * BLOCK).astype("<i4").tobytes(), w[at].astype("<f8").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], names=["at", "w"])
+
+    parts = state.orderBy("block").select("block", "z", "n").mapInArrow(sparse, "at binary, w binary").collect()  # non-zero weights, below ``size``
+    at, w = (b"".join(bytes(r[x]) for r in parts) for x in ("at", "w"))
+    at, w = np.frombuffer(at, "<i4").astype(np.int64), np.frombuffer(w, "<f8")
+    assert len(at) <= size
+    return at, w
 
 
 def sample(documents: DataFrame, labels: DataFrame, allowed: Column, rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -153,13 +183,12 @@ def sample(documents: DataFrame, labels: DataFrame, allowed: Column, rows: int =
     return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
-def score(documents: DataFrame, weights: dict[int, float], p: Ftrl = Ftrl(), text: str = "text") -> DataFrame:
+def score(documents: DataFrame, weights: tuple[np.ndarray, np.ndarray], p: Ftrl = Ftrl(), text: str = "text") -> DataFrame:
     """Adds ``score``, the modelled probability that a text is toxic."""
     spark = documents.sparkSession
     bounded_batches(spark)
-    at = np.array(sorted(weights), np.int64)
-    shared = spark.sparkContext.broadcast((at, np.array([weights[i] for i in at.tolist()]))) # sparse, below 2**bits
-    bits, none = p.bits, not weights
+    shared = spark.sparkContext.broadcast(weights)  # sparse, below 2**bits
+    bits, none = p.bits, not len(weights[0])
 
     def compute(batch: pa.RecordBatch) -> list:
         dense = _dense(shared, bits)
