@@ -111,3 +111,35 @@ def contaminated(text: str | None, items: list[tuple], window: int = 10):
                 found |= got
                 hit.update(range(i, i + k))
     return len(words), len(hit), sorted(found)
+
+
+def shingle_sets(texts):
+    out = []
+    for text in texts:
+        words = SPACE_WORDS.findall((text or "").encode().lower())
+        out.append({b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    return out
+
+
+def jaccard_links(sets):
+    """All pairs of places whose sets are similar, by counting shared shingles."""
+    holders, links = defaultdict(list), []
+    for i, s in enumerate(sets):
+        shared = defaultdict(int)
+        for x in s:
+            for j in holders[x]:
+                shared[j] += 1
+            holders[x].append(i)
+        links += [(j, i) for j, m in shared.items() if m / (len(s) + len(sets[j]) - m) >= 0.8]
+    return links
+
+
+def distinct_ids(rows):
+    """Ids of the first document of each class of similar texts."""
+    rows = sorted((i, t or "") for i, t in rows)
+    sets = shingle_sets([t for _, t in rows])
+    links = set(jaccard_links(sets))
+    wordless = [i for i, s in enumerate(sets) if not s]
+    links |= {(wordless[0], i) for i in wordless[1:]}
+    found = classes(list(range(len(rows))), lambda a, b: (min(a, b), max(a, b)) in links)
+    return {rows[c][0] for c in found}
