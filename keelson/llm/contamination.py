@@ -4,8 +4,9 @@ A text is the sequence of its normalised words; the test strings are the ten-wor
 items. Blocks of two words index a shift table; most places of a text are skipped, a place of shift
 zero looks up the bucket of the window's last block, and a direct comparison confirms it.
 
-Cases: a null or wordless text has no words and is clean; items without words, without text or
-without id give no test string; equal items each count; equal rows are searched one by one."""
+Cases: a null or wordless text has no words and is clean; items without words or text give no test
+string; items without an id are searched for, but not named; equal items each count; equal rows are
+searched one by one; bytes that are not UTF-8 belong to words as they are."""
 
 from __future__ import annotations
 
@@ -106,7 +107,7 @@ def scan(text: bytes | None, tables: Tables) -> tuple[int, list[tuple[int, int]]
         for search in tables.searches:
             for at, found in search.find(ids, len(tables.vocabulary) + 1):
                 spans.append((at, at + search.length))
-                items.update(found)
+                items.update(x for x in found if x is not None)
     return len(words), merged(spans), sorted(items)
 
 
@@ -133,15 +134,15 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     add up their findings in the same columns."""
     spark = documents.sparkSession
     bounded_batches(spark)
-    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("binary").alias("text")).where("text is not null")
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-total // block_chars))
     spans, found = free_name(documents, "hit_spans", "items")
     out = documents
     for number in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == number) if blocks > 1 else items
+        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == number) if blocks > 1 else items
         # at most about block_chars characters reach the driver at a time
-        rows = [(r["item"], r["text"].encode()) for r in part.toLocalIterator()]
+        rows = [(r["item"], bytes(r["text"])) for r in part.toLocalIterator()]
         shared = spark.sparkContext.broadcast(build_tables(rows, window))
         earlier = number > 0
 
@@ -173,12 +174,12 @@ def hit_words(spans: str = "hit_spans"):
 
 OP7_SQL = r"""
 with low as (select doc_id as id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from documents),
-items as (select item_id::varchar as item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from benchmark where item_id is not null and text is not null),
+items as (select item_id::varchar as item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from benchmark where text is not null),
 tests as (select distinct item, least(10, len(ws)) k, array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') s from items, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) u(i) where len(ws) > 0),
 places as (select id, k, i, array_to_string(ws[i:i + k - 1], ' ') s from low, (select distinct k from tests), unnest(range(1, len(ws) - k + 2)) u(i)),
 hits as (select id, i, tests.k, item from places join tests on places.k = tests.k and places.s = tests.s),
 marked as (select id, count(distinct w) n from hits, unnest(range(i, i + k)) u(w) group by id),
-named as (select id, string_agg(item, ',' order by item) names, count(*) n from (select distinct id, item from hits) group by id)
+named as (select id, string_agg(item, ',' order by item) names, count(item) n from (select distinct id, item from hits) group by id)
 select low.id as doc_id, len(ws)::bigint as n_words, coalesce(marked.n, 0)::bigint as n_hit, coalesce(named.n, 0)::bigint as n_items, sha256(coalesce(names, '')) as items_sha256, marked.n is not null as contaminated
 from low left join marked on marked.id = low.id left join named on named.id = low.id
 """
