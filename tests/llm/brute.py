@@ -60,31 +60,52 @@ def chunk_list(text: str, roll: int, divisor: int, long_words: int) -> list[tupl
     return [(a, b - a, sum(words[a:b]), "\n".join(lines[a:b])) for a, b in zip(cuts, [*cuts[1:], len(lines)], strict=True)]
 
 
-def line_dedup(rows: list[tuple], roll: int, divisor: int, long_words: int, run_words: int, chunk_words: int) -> list[str | None]:
-    """Text of every (doc_id, text) row after the removal of repeated chunks."""
+def line_dedup(rows: list[tuple], roll: int, divisor: int, long_words: int, run_words: int, chunk_words: int, seed_words: int, shift_words: int) -> list[str | None]:
+    """Text of every (doc_id, text) row after the removal of repeated chunks and passages."""
     order = lambda r: (r[0] is not None, r[0] or 0, spark_hash(r[1]))
-    first: dict[str, tuple] = {}
+    seeds, lines, first = {}, {}, {}
     for r in sorted({r for r in rows if r[1] is not None}, key=order):
-        for idx, (*_, body) in enumerate(chunk_list(r[1], roll, divisor, long_words)):
-            first.setdefault(body, (r, idx))
-    out = []
-    for r in rows:
-        if r[1] is None:
-            out.append(None)
-            continue
-        chunks = chunk_list(r[1], roll, divisor, long_words)
-        later = [first[x[3]] != (r, i) for i, x in enumerate(chunks)]
-        gone = set()
+        lines[r] = r[1].split("\n")
+        words = [len(SPACE_WORDS.findall(x.encode())) for x in lines[r]]
+        chunks = [(a, n, w, body) for a, n, w, body in chunk_list(r[1], roll, divisor, long_words)]
+        seeds[r] = chunks + [(i, 1, w, x) for i, (w, x) in enumerate(zip(words, lines[r], strict=True)) if w >= seed_words], len(chunks), words
+        for start, n, _, body in sorted(seeds[r][0]):
+            first.setdefault((n, body), (r, start))
+    gone = {r: set() for r in lines}
+    for r, (own, n_chunks, words) in seeds.items():
+        chunks = own[:n_chunks]
+        later = [first[x[1], x[3]] != (r, x[0]) for x in own]
         i = 0
-        while i < len(chunks):
+        while i < n_chunks:
             j = i
-            while j < len(chunks) and later[j]:
+            while j < n_chunks and later[j]:
                 j += 1
             total = sum(x[2] for x in chunks[i:j])
-            gone |= {k for k in range(i, j) if total > run_words or chunks[k][1] > 1 and chunks[k][2] >= chunk_words}
+            for start, n, w, _ in (chunks[k] for k in range(i, j)):
+                if total > run_words or n > 1 and w >= chunk_words:
+                    gone[r] |= set(range(start, start + n))
             i = max(j, i + 1)
-        out.append("\n".join(x[3] for k, x in enumerate(chunks) if k not in gone))
-    return out
+        shifts, last = Counter(), {}
+        # a seed that is a chunk of one line as well counts twice, like its rows
+        for start, n, w, body in sorted(x for x, late in zip(own, later, strict=True) if late):
+            other, at = first[n, body]
+            if (n, body) in last:
+                other, at = r, last[n, body]
+            shifts[other, at - start] += w
+            last[n, body] = start
+        for (other, shift), w in shifts.items():
+            if w < shift_words or not shift and other == r:
+                continue
+            equal = [0 <= i + shift < len(lines[other]) and lines[other][i + shift] == x for i, x in enumerate(lines[r])]
+            i = 0
+            while i < len(equal):
+                j = i
+                while j < len(equal) and equal[j]:
+                    j += 1
+                if sum(words[i:j]) > run_words:
+                    gone[r] |= set(range(i, j))
+                i = max(j, i + 1)
+    return [None if r[1] is None else "\n".join(x for i, x in enumerate(lines[r]) if i not in gone[r]) for r in rows]
 
 
 def repeated_words(words: list[str]) -> int:
@@ -98,16 +119,16 @@ def contaminated(text: str | None, items: list[tuple], window: int = 10):
     find = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
     tests = defaultdict(set)
     for item, body in items:
-        if item is None or body is None:
+        if body is None:
             continue
         w = find(body.encode().lower())
         k = min(window, len(w))
         for i in range(len(w) - k + 1 if w else 0):
-            tests[tuple(w[i : i + k])].add(str(item))
+            tests[tuple(w[i : i + k])].update([] if item is None else [str(item)])
     words, hit, found = find((text or "").encode().lower()), set(), set()
     for k in {len(x) for x in tests}:
         for i in range(len(words) - k + 1):
-            if got := tests.get(tuple(words[i : i + k])):
+            if (got := tests.get(tuple(words[i : i + k]))) is not None:
                 found |= got
                 hit.update(range(i, i + k))
     return len(words), len(hit), sorted(found)

@@ -154,7 +154,7 @@ def test_line_dedup(spark):
     docs = frame(spark, [(*r, 1, "t", 2) for r in rows], ", n_lines int, _th string, _gone int").repartition(3)
     out = lc.line_dedup(docs)
     assert set(docs.columns) <= set(out.columns)
-    want = brute.line_dedup(rows, lc.ROLL, lc.DIVISOR, lc.LONG_WORDS, lc.RUN_WORDS, lc.CHUNK_WORDS)
+    want = brute.line_dedup(rows, lc.ROLL, lc.DIVISOR, lc.LONG_WORDS, lc.RUN_WORDS, lc.CHUNK_WORDS, lc.SEED_WORDS, lc.SHIFT_WORDS)
     order = lambda x: (x[0] is None, x[0] or 0, x[1] is None, x[1] or "")
     assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=order) == sorted(((i, w) for (i, _), w in zip(rows, want, strict=True)), key=order)
     texts = [r["text"] or "" for r in out.collect()]
@@ -162,6 +162,22 @@ def test_line_dedup(spark):
     assert sum(boiler in x for x in texts) == 5
 
 
+@pytest.mark.parametrize(("lines", "words"), [(3, 18), (4, 14), (5, 11), (6, 10), (12, 6), (14, 4), (30, 2)])
+def test_passages_of_short_lines_go(spark, lines, words):
+    """A passage of over 50 words between other short lines stays in the first document only, to the last line."""
+    rows, passages = [], []
+    for i in range(60):
+        passages.append("\n".join(f"p{lines}x{i}x{k} " + prose(words - 1) for k in range(lines)))
+        rows += [(3 * i + d, "\n".join([*(prose(RNG.randrange(1, 9)) for _ in range(3)), passages[-1], *(prose(RNG.randrange(1, 9)) for _ in range(3))])) for d in range(3)]
+    left = {r["doc_id"]: r["text"] for r in lc.line_dedup(frame(spark, rows)).collect()}
+    for i, passage in enumerate(passages):
+        assert passage in left[3 * i]
+        for d in (1, 2):
+            assert not set(passage.split("\n")) & set(left[3 * i + d].split("\n"))
+        # lines around it stay, unless they repeat by chance
+        assert all(len(left[3 * i + d].split("\n")) >= 4 for d in (1, 2))
+
+
 def test_line_dedup_of_nothing(spark):
     assert lc.line_dedup(frame(spark, [])).count() == 0
 
@@ -237,7 +253,7 @@ def test_pipeline_stages_against_brute_force(spark, sf):
             gone = {i for i, _ in before} - set(after)
             assert len(gone - toxic) <= 0.2 * len(before) and set(after) <= {i for i, _ in before}
         elif name == "line_dedup":
-            want = brute.line_dedup(before, lc.ROLL, lc.DIVISOR, lc.LONG_WORDS, lc.RUN_WORDS, lc.CHUNK_WORDS)
+            want = brute.line_dedup(before, lc.ROLL, lc.DIVISOR, lc.LONG_WORDS, lc.RUN_WORDS, lc.CHUNK_WORDS, lc.SEED_WORDS, lc.SHIFT_WORDS)
             assert after == dict(zip([i for i, _ in before], want, strict=True))
         elif name == "near_copies":
             assert set(after) == brute.distinct_ids(before)
