@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from keelson.plans import bindings as b
 from keelson.plans.predicates import SQL_POLICY, policy_rows
 from keelson.registry import query
-from keelson.streaming import streams as st, views as vw
+from keelson.streaming import ordered, streams as st, views as vw
 
 c = F.col
 big = lambda x, name=None: c(x).cast("bigint").alias(name or x)
@@ -81,6 +81,17 @@ def t4(t):
     return st.run_to_table(st.working_set(e, most_items=8))
 
 
+@query("t4_working_set_budget")
+def t4_budget(t):
+    """Frames, character budget, pins and times to live; brute force in the tests."""
+    action = F.when(c("kind") == "purchase", "maintain").when(c("kind") == "error", F.when(c("k") % 2 == 0, "clear").otherwise("observe")).otherwise("observe")
+    e = live_events(t).select(
+        "session", "time", "event_id", action.alias("action"), (c("k") % 7).cast("bigint").alias("frame"), F.concat(F.lit("i"), (c("k") % 23).cast("string")).alias("item"),
+        (10 + c("k") % 50).cast("bigint").alias("size"), F.least(c("value") / 100, F.lit(1.0)).alias("activation"), F.when(c("k") % 3 == 0, F.lit(6 * 3_600_000_000)).alias("ttl"),
+    )
+    return st.run_to_table(ordered.working_set_stream(e, "1 hour", items=12, characters=400, frames=4))
+
+
 @query("t5_disclosure_fold")
 def t5(t):
     e = live_events(t).select("session", "event_id", "time", (c("k") % 12).alias("memory"), c("kind").alias("content"), (c("k") % 3).alias("depth"))
@@ -106,6 +117,22 @@ def t7(t):
     return vw.task_window(turns).select("session", "ordinal", "continued", F.md5("context").alias("context"), "substantive")
 
 
+@query("t7_window_stream", r"""
+with f as (select conv_id as session, turn as ordinal, conv_id * 60 + turn as minute, trim(regexp_replace(case when turn % 3 = 2 then 'please continue' else text end, '\s+', ' ', 'g')) as flat from conversations),
+a as (select *, case when length(flat) >= 40 or regexp_matches(flat, '(?i)(?:[A-Za-z][\w.-]{2,}[-_/][\w./-]+|\b(?:fix|implement|debug|test|build|refactor|install|configure)\b)') then left(flat, 480) end as anchor,
+  length(flat) <= 100 and regexp_matches(flat, '(?i)\b(?:continue|again|retry|reload|try|proceed|go on|fix it|test it)\b') as again from f),
+n as (select *, last_value(anchor ignore nulls) over (partition by session order by ordinal rows between unbounded preceding and 1 preceding) as latest from a),
+p as (select *, last_value(case when anchor is distinct from latest and anchor is not null then concat_ws(chr(10), latest, anchor) end ignore nulls) over (partition by session order by ordinal rows between unbounded preceding and 1 preceding) as prior from n)
+select session, ordinal, again and prior is not null as continued, md5(case when again then prior end) as context, anchor is not null as substantive
+from p where minute <= (select max(minute) - 120 from f)""")
+def t7_stream(t):
+    prompt = F.when(c("turn") % 3 == 2, "please continue").otherwise(c("text"))
+    minute = ((c("conv_id") + 1) * 60 + c("turn")) * 60  # conversations follow one another by the hour
+    turns = live(t, "conversations").select(c("conv_id").alias("session"), F.timestamp_seconds(minute).alias("time"), c("turn").cast("bigint").alias("ordinal"), prompt.alias("prompt"))
+    out = st.run_to_table(ordered.task_window_stream(turns, "2 hours"))
+    return out.select("session", c("ordinal").cast("int").alias("ordinal"), "continued", F.md5("context").alias("context"), "substantive")
+
+
 @query("t8_rolling_histograms", """
 with w as (select event_type as section, value, to_timestamp(u.s * 43200)::timestamp as start from (select *, floor(epoch(ts) / 43200)::bigint as h from events) e, lateral (values (h), (h - 1)) u(s)),
 m as (select max(ts) - interval 1 hour as mark from events)
@@ -165,6 +192,21 @@ def t12(t):
     return vw.lease_intervals(log, 1800)
 
 
+@query("t12_lease_stream", b.cte(b.TRACES, """
+l as (select k as entry, ts, event_id, session as actor, case when kind = 'purchase' then 'release' when kind in ('view', 'click') then 'claim' else 'heartbeat' end as action from traces),
+w as (select *, lead(ts) over o as nt, lag(ts) over o as pt, lag(actor) over o as pa, lag(action) over o as px from l window o as (partition by entry order by ts, event_id)),
+m as (select max(ts) - interval 1 hour as mark from events),
+i as (select entry, event_id, actor, ts as held_from, least(ts + interval 1800 second, coalesce(nt, ts + interval 1800 second)) as held_until, nt is null or nt > ts + interval 1800 second as lapsed,
+  coalesce(action = 'claim' and px <> 'release' and pt + interval 1800 second > ts and pa <> actor, false) as contended from w where action <> 'release')""") + """
+select i.* from i, m where held_until <= mark""")
+def t12_stream(t):
+    """Lapses come from timers: an interval whose end the watermark has passed needs no later event."""
+    action = F.when(c("kind") == "purchase", "release").when(c("kind").isin("view", "click"), "claim").otherwise("heartbeat")
+    log = live_events(t).select(c("k").cast("bigint").alias("entry"), c("time").alias("ts"), "event_id", c("session").alias("actor"), action.alias("action"))
+    out = st.run_to_table(ordered.lease_stream(log, 1800, "1 hour"))
+    return out.withColumns({"entry": c("entry").cast("int"), **{x: c(x).cast("timestamp_ntz") for x in ("held_from", "held_until")}})
+
+
 @query("t13_serial_slots", b.cte("""e as (select user_id as channel, event_id as entry, floor(epoch(ts))::bigint as created, ceil(value * 400)::bigint as service from events),
 w as (select *, coalesce(sum(service) over (partition by channel order by created, entry rows between unbounded preceding and 1 preceding), 0) as before from e)""") + """
 select channel, entry, (max(created - before) over (partition by channel order by created, entry rows unbounded preceding) + before)::bigint as start, (max(created - before) over (partition by channel order by created, entry rows unbounded preceding) + before - created)::bigint as wait from w""")
@@ -173,6 +215,17 @@ def t13(t):
     return vw.serial_slots(e).select("channel", "entry", big("start"), big("wait"))
 
 
+@query("t13_slot_stream", """
+with e as (select user_id as channel, event_id as entry, epoch_us(ts) as created, (ceil(value * 400) * 1000000)::bigint as service from events),
+w as (select *, coalesce(sum(service) over (partition by channel order by created, entry rows between unbounded preceding and 1 preceding), 0)::bigint as before from e),
+s as (select channel, entry, created, (max(created - before) over (partition by channel order by created, entry rows unbounded preceding) + before)::bigint as start from w),
+n as (select *, lead(entry) over (partition by channel order by created, entry) as ne, lead(created) over (partition by channel order by created, entry) as nc from s)
+select channel, entry, start, start - created as wait, case when nc < start then ne end as next from n, (select epoch_us(max(ts)) - 3600000000 as mark from events) where start <= mark""")
+def t13_stream(t):
+    e = live_events(t).select(c("session").alias("channel"), c("event_id").alias("entry"), c("time").alias("created"), (F.ceil(c("value") * 400) * 1_000_000).cast("bigint").alias("service"))
+    return st.run_to_table(ordered.slot_stream(e, "1 hour"))
+
+
 @query("t14_inbox_unseen", b.cte(b.TRACES) + """
 select event_id as entry, k as recipient from traces where kind = 'view' and k in (select n_nationkey from nation) and (event_id, k) not in (select event_id - 1, k from traces where kind = 'click')
   and (event_id, k) not in (select event_id, k from traces where event_id % 4 = 0)""")
@@ -214,6 +267,61 @@ def t16(t):
     return vw.coordination_fold(ch).select("event", big("revision"), "stale", "gaps", "status", "approvals")
 
 
+SQL_CHANGES = """
+n as (select session as event, row_number() over (partition by session order by ts, event_id) as revision, ts, kind, k::bigint as k from traces),
+m as (select max(ts) - interval 1 hour as mark from events),
+ch as (select event, revision, ts, case when k % 7 = 0 then revision - 2 else revision - 1 end as expected,
+    case kind when 'error' then case when k % 2 = 0 then 'close' else 'reopen' end when 'purchase' then 'propose' when 'signup' then 'commit' when 'view' then 'agree' else case when k % 11 = 0 then 'withdraw' else 'note' end end as action,
+    k % 5 as actor, k % 2 as proposal, case when k % 3 = 0 then 'discussion' else 'execution' end as target, case when k % 4 = 0 then [] else [k % 5, (k + 1) % 5] end as approvers, case when k % 8 = 0 then 1 else 0 end as expected_phase
+  from n where k % 30 <> 0),
+p as (select event, coalesce(max(case when ts <= mark then revision end), 0) as passed from ch, m group by 1),
+q as (select ch.*, passed, row_number() over (partition by event, revision > passed order by revision) as j, row_number() over (partition by event order by revision) as i from ch join p using (event)),
+r as (select * from q where revision <= passed or revision = passed + j),
+f as (select distinct event, 0::bigint as i, 0::bigint as revision, false as gap, '' as outcome, false as ended, null::varchar as phase, 0::bigint as phase_revision,
+    null::bigint as proposal, null::varchar as target, null::bigint as proposer, []::bigint[] as required, []::bigint[] as agreed from ch
+  union all
+  select event, i, revision, gap, outcome,
+    case when outcome = 'applied' and action in ('close', 'reopen') then not ended else ended end,
+    case when outcome = 'applied' and action = 'commit' then target else phase end,
+    case when outcome = 'applied' and action = 'commit' then phase_revision + 1 else phase_revision end,
+    case when outcome = 'applied' and action = 'propose' then new_proposal when outcome = 'applied' and action in ('withdraw', 'commit') then null else proposal end,
+    case when outcome = 'applied' and action = 'propose' then new_target when outcome = 'applied' and action in ('withdraw', 'commit') then null else target end,
+    case when outcome = 'applied' and action = 'propose' then actor when outcome = 'applied' and action in ('withdraw', 'commit') then null else proposer end,
+    case when outcome = 'applied' and action = 'propose' then list_distinct(list_append(approvers, actor)) when outcome = 'applied' and action in ('withdraw', 'commit') then [] else required end,
+    case when outcome = 'applied' and action = 'propose' then [actor] when outcome = 'applied' and action in ('withdraw', 'commit') then [] when outcome = 'applied' and action = 'agree' then list_distinct(list_append(agreed, actor)) else agreed end
+  from (select f.event, r.i, r.revision, r.revision > f.revision + 1 as gap, r.action, r.actor, r.approvers, r.proposal as new_proposal, r.target as new_target,
+      f.ended, f.phase, f.phase_revision, f.proposal, f.target, f.proposer, f.required, f.agreed,
+      case when r.expected <> f.revision then 'stale' when action in ('close', 'reopen') then case when f.ended = (action = 'close') then 'rejected' else 'applied' end
+        when action = 'note' then 'applied' when f.ended or r.expected_phase <> f.phase_revision then 'rejected'
+        when action = 'propose' then case when f.proposal is not null or f.phase = r.target then 'rejected' else 'applied' end
+        when f.proposal is null or f.proposal <> r.proposal then 'rejected'
+        when action = 'agree' then case when list_contains(f.required, r.actor) then 'applied' else 'rejected' end
+        when action = 'withdraw' then case when r.actor = f.proposer then 'applied' else 'rejected' end
+        when len(list_filter(f.required, lambda x: not list_contains(f.agreed, x))) > 0 then 'rejected' else 'applied' end as outcome
+    from f join r on r.event = f.event and r.i = f.i + 1) as step)"""
+
+
+@query("t16_coordination_stream", b.cte(b.TRACES, SQL_CHANGES).replace("with ", "with recursive ", 1) + """
+select event, revision, gap, outcome, case when ended then 'ended' else 'active' end as status, phase, phase_revision, len(agreed)::bigint as approvals from f where i > 0""")
+def t16_stream(t):
+    """The log is written once, in any order, and read as a stream; one change in thirty is lost."""
+    w = Window.partitionBy("session").orderBy("ts", "event_id")
+    n = b.traces(t).withColumn("revision", F.row_number().over(w).cast("bigint")).withColumn("k", c("k").cast("bigint")).where("k % 30 <> 0")
+    action = (
+        F.when(c("kind") == "error", F.when(c("k") % 2 == 0, "close").otherwise("reopen")).when(c("kind") == "purchase", "propose").when(c("kind") == "signup", "commit")
+        .when(c("kind") == "view", "agree").otherwise(F.when(c("k") % 11 == 0, "withdraw").otherwise("note"))
+    )
+    log = n.select(
+        c("session").alias("event"), "revision", c("ts").cast("timestamp").alias("time"), (c("revision") - F.when(c("k") % 7 == 0, 2).otherwise(1)).alias("expected"), action.alias("action"),
+        (c("k") % 5).alias("actor"), (c("k") % 2).alias("proposal"), F.when(c("k") % 3 == 0, "discussion").otherwise("execution").alias("target"),
+        F.when(c("k") % 4 == 0, F.array().cast("array<bigint>")).otherwise(F.array(c("k") % 5, (c("k") + 1) % 5)).alias("approvers"), F.when(c("k") % 8 == 0, 1).otherwise(0).cast("bigint").alias("expected_phase"),
+    )
+    root = st.stream_root(t.spark)
+    log.repartition(8, F.xxhash64("event", "revision")).write.parquet(f"{root}/log")
+    changes = t.spark.readStream.schema(log.schema).parquet(f"{root}/log")
+    return st.run_to_table(ordered.coordination_stream(changes, "1 hour"))
+
+
 @query("t17_run_facts", b.cte(b.TRACES, """
 f as (select session as run, kind, k % 10 as task, k % 2 as attempt, min({'t': ts, 'e': event_id}) as m from traces group by 1, 2, 3, 4), s as (select *, row_number() over (partition by run order by m.t, m.e) as sequence from f)""") + """
 select run, kind, task, attempt, m.e as fact, sequence from s""")

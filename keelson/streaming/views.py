@@ -15,19 +15,25 @@ CONTINUATION_WORDS = r"(?i)(?:\b(?:continue|again|retry|reload|try|proceed|go on
 CONTINUATION_ALONE = r"^(?:这次呢|试一下)[。！？?!，,]*$"
 
 
+def prompt_kind(prompt: Column) -> tuple[Column, Column]:
+    """The anchor that a substantive prompt gives (else null), and whether a prompt asks to go on."""
+    flat = F.trim(F.regexp_replace(prompt, r"\s+", " "))
+    anchor = F.when((F.length(flat) >= 40) | flat.rlike(TASK_WORDS), F.substring(flat, 1, 480))
+    return anchor, (F.length(flat) <= 100) & (flat.rlike(CONTINUATION_ALONE) | flat.rlike(CONTINUATION_WORDS))
+
+
 def task_window(turns: DataFrame) -> DataFrame:
     """Continuation prompts with the two latest substantive prompts of their session, older first.
 
     ``turns``: session, ordinal, prompt. A prompt that repeats the latest anchor is no new one.
     """
-    flat = F.trim(F.regexp_replace("prompt", r"\s+", " "))
-    staged = turns.withColumn("flat", flat).withColumn("anchor", F.when((F.length("flat") >= 40) | c("flat").rlike(TASK_WORDS), F.substring("flat", 1, 480)))
+    anchor, again = prompt_kind(c("prompt"))
+    staged = turns.withColumns({"anchor": anchor, "again": again})
     before = expansion.carry_forward(staged, "session", "ordinal", "anchor", "latest")
     fresh = c("anchor").isNotNull() & ~c("anchor").eqNullSafe(c("latest"))
     paired = before.withColumn("pair", F.when(fresh, F.concat_ws("\n", "latest", "anchor")))
     carried = expansion.carry_forward(paired, "session", "ordinal", "pair", "prior")
-    again = c("flat").rlike(CONTINUATION_ALONE) | c("flat").rlike(CONTINUATION_WORDS)
-    continued = (F.length("flat") <= 100) & again & c("prior").isNotNull()
+    continued = c("again") & c("prior").isNotNull()
     return carried.select("session", "ordinal", continued.alias("continued"), F.when(continued, c("prior")).alias("context"), c("anchor").isNotNull().alias("substantive"))
 
 
