@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import random
 import textwrap
+import time
 
 import pytest
 from keelson.llm import licenses
@@ -57,3 +59,76 @@ def test_notices_side_by_side(spark, between):
 def test_all_templates_in_one_block(spark):
     got = scan(spark, "\n".join(text for _, text in licenses.TEMPLATES))[0]
     assert [x[0] for x in got] == [name for name, _ in licenses.TEMPLATES]
+
+
+def mixture(rng, prose, altered):
+    """Words with notices in them, each with a few words replaced, and the names of the notices."""
+    words, names = [], []
+    for _ in range(rng.randrange(1, 5)):
+        words += rng.choices(prose, k=rng.randrange(0, 60))
+        name, text = rng.choice(licenses.TEMPLATES)
+        notice = licenses.words_of(text)
+        for _ in range(rng.randrange(0, 1 + len(notice) // 12) if altered else 0):
+            notice[rng.randrange(len(notice))] = rng.choice(prose)
+        names.append(name)
+        words += notice
+    return words + rng.choices(prose, k=20), names
+
+
+@pytest.mark.parametrize(("altered", "least"), [(False, 200), (True, 194)])
+def test_random_mixtures_of_notices(altered, least):
+    """Whole notices are all found; of altered ones a few differ in the very word that names the version."""
+    rng, prose = random.Random(3), [f"w{i}" for i in range(500)]
+    right = 0
+    for _ in range(200):
+        words, names = mixture(rng, prose, altered)
+        right += [licenses.TEMPLATES[x[0]][0] for x in licenses.scan_words(words)] == names
+    assert right >= least
+
+
+def test_pieces_do_not_matter():
+    """The findings of a long block are those of its notices one by one."""
+    rng, prose = random.Random(4), [f"w{i}" for i in range(500)]
+    words, want = [], []
+    for _ in range(60):
+        words += rng.choices(prose, k=rng.randrange(5, 200))
+        name, text = rng.choice(licenses.TEMPLATES)
+        want.append((name, len(words), len(words) + len(licenses.words_of(text))))
+        words += licenses.words_of(text)
+    assert [(licenses.TEMPLATES[i][0], a, b) for i, _, _, a, b in licenses.scan_words(words)] == want
+
+
+def test_the_sizes_decide_what_is_compared(monkeypatch):
+    """With other sizes other templates are compared, and notices are lost: the ranking is by compression."""
+    rng, prose = random.Random(5), [f"w{i}" for i in range(500)]
+    cases = [mixture(rng, prose, False) for _ in range(30)]
+    compared, match = [], licenses._match
+    monkeypatch.setattr(licenses, "_match", lambda words, low, high, template, counts: compared.append(len(template)) or match(words, low, high, template, counts))
+    licenses._found.cache_clear()
+    own = [licenses.scan_words(w) for w, _ in cases]
+    by_size, compared[:] = list(compared), []
+    sizes = licenses.gains
+    monkeypatch.setattr(licenses, "gains", lambda words, templates: random.Random(len(words)).sample(sizes(words, templates), len(templates)))
+    licenses._found.cache_clear()
+    shuffled = [licenses.scan_words(w) for w, _ in cases]
+    licenses._found.cache_clear()
+    assert compared != by_size
+    assert sum(a != b for a, b in zip(own, shuffled, strict=True)) > 10
+
+
+@pytest.mark.parametrize("unit", ["All rights reserved.\n", " ".join(random.Random(1).choices(licenses.words_of(LONG["mit"]), k=400)) + "\n"])
+def test_a_text_costs_its_length(unit):
+    spent = []
+    for size in (250_000, 1_000_000):
+        text = (unit * (size // len(unit) + 1))[:size]
+        licenses._found.cache_clear()
+        began = time.perf_counter()
+        for a, b in licenses.candidate_blocks(text):
+            licenses.scan_words(licenses.words_of(text[a:b]))
+        spent.append(time.perf_counter() - began)
+    assert spent[1] < 8 * spent[0] + 1 and spent[1] < 30
+
+
+def test_scan_takes_bytes_that_are_not_utf8(spark):
+    df = spark.sql("select 1 as doc_id, cast(concat(cast('Released under the MIT License. ' as binary), unhex('FF')) as string) as text")
+    assert [s["license"] for s in licenses.license_scan(df).first()["license_spans"]] == ["mit"]
