@@ -247,6 +247,34 @@ def overlap_counts(intervals: DataFrame, key: str, bin_expr) -> DataFrame:
     return asked
 
 
+def scope_overlap_counts(intervals: DataFrame, key: str, scope: list[str], bin_expr) -> DataFrame:
+    """For every interval the number of others of its key that overlap it in time and in scope: (id, overlaps).
+
+    ``scope`` names columns that are conjunctive constraints: a null leaves its key open and agrees with
+    everything, two values agree if they are equal. Every interval stands in the cells of an inverted
+    list, under its own value (or the wildcard) and under "any" of each scope key; it asks for its value
+    and the wildcard, or for "any" where it is open. A compatible interval stands in exactly one cell
+    that is asked for, so sweeps over the cells add up to the count, and pairs are never formed.
+    ``intervals``: id, ``key``, start, end and the scope columns; ends are open, empty intervals overlap nothing.
+    """
+    cell = "_cell"
+    real = intervals.where(F.col("start") < F.col("end"))
+    held, asking = (real.select("id", key, "start", "end", *scope, F.lit("").alias(cell)) for _ in range(2))
+    for name in scope:
+        own = F.concat(F.lit("="), F.col(name).cast("string"))
+        held = held.withColumn(cell, F.explode(F.transform(F.array(F.coalesce(own, F.lit("*")), F.lit("any")), lambda x: F.concat(F.col(cell), F.lit("\x1f"), x))))
+        asked = F.when(F.col(name).isNull(), F.array(F.lit("any"))).otherwise(F.array(own, F.lit("*")))
+        asking = asking.withColumn(cell, F.explode(F.transform(asked, lambda x: F.concat(F.col(cell), F.lit("\x1f"), x))))
+    point = lambda rows, t, rank, s, e, ask: rows.select(key, cell, "id", F.col(t).alias("t"), F.lit(rank).alias("o"), F.lit(s).alias("s"), F.lit(e).alias("e"), F.lit(ask).alias("ask"))
+    points = (
+        point(held, "end", 0, 0, 1, "").unionByName(point(asking, "start", 1, 0, 0, "ends")).unionByName(point(asking, "end", 2, 0, 0, "starts")).unionByName(point(held, "start", 3, 1, 0, ""))
+    )
+    counted = running_sum(points, [key, cell], ["t", "o", "id"], {"s": "starts_before", "e": "ends_before"}, bin_expr(F.col("t")))
+    signed = F.when(F.col("ask") == "starts", F.col("starts_before")).otherwise(-F.col("ends_before"))
+    found = counted.where("ask <> ''").groupBy("id").agg((F.sum(signed) - 1).alias("overlaps"))
+    return intervals.select("id").join(found, "id", "left").select("id", F.coalesce("overlaps", F.lit(0)).alias("overlaps"))
+
+
 def polarity_keys(claims: DataFrame) -> DataFrame:
     """Predicate keys with both polarities: counts and the number of contradicting pairs.
 

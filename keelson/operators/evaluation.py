@@ -124,14 +124,30 @@ def eligibility(questions: DataFrame, known: DataFrame) -> DataFrame:
     ).withColumn("eligible", (c("labels") > 0) & (c("missing") == 0))
 
 
-def set_digest(ids: DataFrame, column: str, width: int = 4) -> DataFrame:
-    """Order-free digest of an id set of any size: hashes of buckets, then a hash of those.
+LEAF_IDS = 1024  # ids below a leaf of a digest tree, at most
+DEEPEST = 12  # hexadecimal digits of a leaf's prefix, at most: 16**12 leaves
 
-    Each bucket's sorted ids are hashed where they live; only 16^width bucket digests meet.
+
+def set_digest(ids: DataFrame, column: str, leaf: int = LEAF_IDS) -> DataFrame:
+    """Order-free digest of an id set of any size: the root of a hash tree over the hex digits of the ids' hashes.
+
+    The depth is the least at which no leaf holds more than ``leaf`` ids; it and the digest depend on the
+    set alone, not on how it is stored. A leaf hashes its sorted ids, a node the digests of its at most
+    sixteen children, so no task gathers more than a leaf.
     """
-    bucket = F.substring(F.sha2(c(column).cast("string"), 256), 1, width)
-    parts = ids.groupBy(bucket.alias("b")).agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_set(c(column).cast("string")))), 256).alias("d"), F.count_distinct(column).alias("n"))
-    return parts.agg(F.sha2(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("b", "d"))), lambda x: x["d"])), 256).alias("digest"), F.sum("n").alias("ids"))
+    named = ids.select(c(column).cast("string").alias("id")).where("id is not null").distinct().withColumn("h", F.sha2("id", 256))
+    n, depth = named.count(), 0
+    while 16**depth * leaf < n:
+        depth += 1
+    largest = lambda d: named.groupBy(F.substring("h", 1, d).alias("p")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    while depth < DEEPEST and largest(depth) > leaf:  # hashes spread ids evenly: a level or two
+        depth += 1
+    digest = lambda parts: F.sha2(F.concat_ws(",", parts), 256)
+    tree = named.groupBy(F.substring("h", 1, depth).alias("p")).agg(digest(F.sort_array(F.collect_list("id"))).alias("d"))
+    for level in range(depth - 1, -1, -1):
+        children = F.sort_array(F.collect_list(F.struct("p", "d")))  # sixteen at most
+        tree = tree.groupBy(F.substring("p", 1, level).alias("_q")).agg(digest(F.transform(children, lambda x: x["d"])).alias("d")).withColumnRenamed("_q", "p")
+    return tree.agg(F.coalesce(F.max("d"), F.sha2(F.lit(""), 256)).alias("digest")).select("digest", F.lit(n).cast("bigint").alias("ids"), F.lit(depth).alias("depth"))
 
 
 def paired_outcomes(results: DataFrame, baseline: str) -> DataFrame:
@@ -151,7 +167,8 @@ def sign_test(pairs: DataFrame, wins: str = "candidate_only", losses: str = "bas
     """Exact two-sided binomial p per row.
 
     The lower tail is summed inside the row from its largest term down, each term the one before it
-    times k / (n - k + 1), so no row is exploded and no row number is needed."""
+    times k / (n - k + 1). The j-th term is below exp(-2j² / n) of the first, so 5 square roots of n of
+    them (and some for small n) hold all that a double can show; no row is exploded."""
     n, most = c(wins) + c(losses), F.least(c(wins), c(losses))
     top = _log_factorial(n) - _log_factorial(most) - _log_factorial(n - most) - n * F.log(F.lit(2.0))
     start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
@@ -161,7 +178,8 @@ def sign_test(pairs: DataFrame, wins: str = "candidate_only", losses: str = "bas
         term = a["term"] * k / (n - k + 1)
         return F.struct(term.alias("term"), (a["total"] + term).alias("total"))
 
-    places = F.when(most > 0, F.sequence(F.lit(1).cast("bigint"), most)).otherwise(F.array().cast("array<bigint>"))
+    seen = F.least(most, F.lit(64).cast("bigint") + F.ceil(5 * F.sqrt(n.cast("double"))))
+    places = F.when(most > 0, F.sequence(F.lit(1).cast("bigint"), seen)).otherwise(F.array().cast("array<bigint>"))
     tail = F.exp(top) * F.aggregate(places, start, add)["total"]
     return pairs.withColumn("p_value", F.when(n > 0, F.round(F.least(F.lit(1.0), 2 * tail), 9)).otherwise(F.lit(1.0)))
 
@@ -316,18 +334,23 @@ def kendall_tau_b(reference: DataFrame, candidate: DataFrame) -> DataFrame:
     return n.select("question_id", F.round(F.when(scale == 0, 0.0).otherwise(((c("same") - c("opposite")) / scale + 1) / 2), 6).alias("tau"))
 
 
-def sign_flip(deltas: DataFrame) -> DataFrame:
-    """Exact sign-flip permutation p over at most 20 group deltas; masks run in parallel.
+FLIP_GROUPS = 20  # groups up to which all sign patterns are tried
 
-    The deltas travel as one short literal array per row of the mask range.
-    """
-    listed = deltas.agg(F.sort_array(F.collect_list("delta")).alias("d"))
-    last = F.pow(F.lit(2.0), F.size("d")).cast("bigint") - 1
-    masks = listed.select("d", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("mask"))
-    signed = F.transform("d", lambda x, i: F.when(F.floor(c("mask") / F.pow(F.lit(2.0), i)) % 2 == 1, x).otherwise(-x))
+
+def sign_flip(deltas: DataFrame) -> DataFrame:
+    """Exact sign-flip permutation p over at most FLIP_GROUPS group deltas: p_two_sided (null beyond), groups.
+
+    The patterns are a range that Spark deals out; the deltas travel with it as one short array. More
+    groups are counted, but neither listed nor tried."""
+    groups = deltas.count()
+    if groups > FLIP_GROUPS:
+        return deltas.agg(F.lit(None).cast("double").alias("p_two_sided"), F.count("*").alias("groups"))
+    listed = deltas.agg(F.sort_array(F.collect_list("delta")).alias("d"))  # FLIP_GROUPS at most
+    masks = deltas.sparkSession.range(1 << groups).select(c("id").alias("mask")).crossJoin(F.broadcast(listed))  # one row
+    signed = F.transform("d", lambda x, i: F.when(F.getbit("mask", i) == 1, x).otherwise(-x))
     total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda s, x: s + x)
-    staged = masks.select(F.abs(total(signed)).alias("s"), F.abs(total(c("d"))).alias("o"), F.size("d").alias("g"))
-    return staged.agg(F.round(F.count_if(c("s") >= c("o") - 1e-12) / F.count("*"), 9).alias("p_two_sided"), F.max("g").cast("bigint").alias("groups"))
+    staged = masks.select(F.abs(total(signed)).alias("s"), F.abs(total(c("d"))).alias("o"))
+    return staged.agg(F.round(F.count_if(c("s") >= c("o") - 1e-12) / F.count("*"), 9).alias("p_two_sided")).withColumn("groups", F.lit(groups).cast("bigint"))
 
 
 def calibrate_threshold(rows: DataFrame, previous: float, step: float = 0.05, bin_width: float = 0.01) -> DataFrame:
@@ -406,16 +429,20 @@ def split_summary(rows: DataFrame, group: str, split: str, smallest: int = 5) ->
     return out.crossJoin(spanning).withColumn("too_few", c("groups") < smallest)  # one summary row
 
 
-def chronological_split(groups: DataFrame, fraction: float) -> DataFrame:
-    """Newest ceil(fraction·n) whole groups to validation.
+def chronological_split(groups: DataFrame, fraction: float, bin_expr: Column | None = None) -> DataFrame:
+    """Newest ceil(fraction·n) whole groups to validation; a single group trains.
 
-    ``groups``: grp, first, rows. The boundary is the k-th newest group, taken with a bounded
-    top-k order and joined back as one row.
+    ``groups``: grp, first, rows. The groups are counted by time bin (default: the day), the counts tell
+    the bin of the k-th newest group, and only that bin's groups are ranked, so no task sees more.
     """
-    n = groups.count()
-    k = 0 if n < 2 else max(1, -int(-(n * fraction) // 1))
-    if k == 0:
-        return groups.select("grp", "rows", F.lit("train").alias("split"))
-    edge = groups.orderBy(F.desc("first"), F.desc("grp")).limit(k).agg(F.min(F.struct("first", "grp")).alias("edge"))
-    late = F.struct("first", "grp") >= c("edge")
-    return groups.crossJoin(edge).select("grp", "rows", F.when(late, "validation").otherwise("train").alias("split"))  # one boundary row
+    binned = groups.withColumn("_bin", F.to_date("first") if bin_expr is None else bin_expr)
+    counts = binned.groupBy("_bin").agg(F.count("*").alias("n"))
+    newest = Window.orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, 0)  # one row a bin
+    total = F.sum("n").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    wanted = F.when(total >= 2, F.greatest(F.lit(1), F.ceil(total * fraction)))
+    edge_bin = counts.select("_bin", (wanted - F.sum("n").over(newest) + c("n")).alias("place"), "n").where("place between 1 and n")
+    place = F.row_number().over(Window.partitionBy("_bin").orderBy(F.desc("first"), F.desc("grp")))
+    inside = binned.join(F.broadcast(edge_bin.select("_bin", "place")), "_bin").withColumn("_r", place).where("_r = place")
+    edge = inside.agg(F.max(F.struct("first", "grp")).alias("edge"))  # one row, null without a boundary
+    late = F.coalesce(F.struct("first", "grp") >= c("edge"), F.lit(False))
+    return groups.crossJoin(F.broadcast(edge)).select("grp", "rows", F.when(late, "validation").otherwise("train").alias("split"))

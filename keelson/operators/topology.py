@@ -186,14 +186,22 @@ def association_edges(nodes: DataFrame, connected: DataFrame, limit: int) -> Dat
     return fresh.withColumn("rank", F.row_number().over(w)).where(c("rank") <= limit).select(Q, "a", "b", "rank")
 
 
-def hop_expansions(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
-    """Every relation reached per hop once: (query_id, edge_id, source, target, hop)."""
+def hop_expansions(seeds: DataFrame, edges: DataFrame, hops: int, most_relations: int) -> DataFrame:
+    """Relations reached per hop, each once, the first ``most_relations`` of a query by (hop, edge): (query_id, edge_id, source, target, hop).
+
+    Of a node's edges the first 2 * most_relations can be in the list: at most most_relations of them were
+    used before, or the list is full. So a hub hands on that many, however many edges it has.
+    """
+    ends = edges.select("edge_id", c("src").alias("source"), c("dst").alias("target"), F.lit(0).alias("o")).unionByName(
+        edges.select("edge_id", c("dst").alias("source"), c("src").alias("target"), F.lit(1).alias("o"))
+    )
+    first = F.row_number().over(Window.partitionBy("source").orderBy("edge_id", "o"))
+    near = cut_lineage(ends.withColumn("_r", first).where(c("_r") <= 2 * most_relations).drop("_r"))
     visited = seeds.select(Q, "node")
     frontier, used, out = visited, None, None
     for hop in range(1, hops + 1):
-        src = frontier.join(edges, c("node") == c("src")).select(Q, "edge_id", c("src").alias("source"), c("dst").alias("target"), F.lit(0).alias("o"))
-        dst = frontier.join(edges, c("node") == c("dst")).select(Q, "edge_id", c("dst").alias("source"), c("src").alias("target"), F.lit(1).alias("o"))
-        step = src.unionByName(dst).groupBy(Q, "edge_id").agg(F.min_by(F.struct("source", "target"), "o").alias("s")).select(Q, "edge_id", "s.source", "s.target")
+        reached = frontier.join(near, c("node") == c("source")).select(Q, "edge_id", "source", "target", "o")
+        step = reached.groupBy(Q, "edge_id").agg(F.min_by(F.struct("source", "target"), F.struct("o", "source")).alias("s")).select(Q, "edge_id", "s.source", "s.target")
         if used is not None:
             step = step.join(used, [Q, "edge_id"], "left_anti")
         step = step.withColumn("hop", F.lit(hop))
@@ -201,7 +209,8 @@ def hop_expansions(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
         used = out.select(Q, "edge_id")
         frontier = step.select(Q, c("target").alias("node")).distinct().join(visited, [Q, "node"], "left_anti")
         visited = visited.unionByName(frontier)
-    return out
+    rank = F.row_number().over(Window.partitionBy(Q).orderBy("hop", "edge_id"))
+    return out.withColumn("_r", rank).where(c("_r") <= most_relations).drop("_r")
 
 
 def connected_components(pairs: DataFrame, rounds: int = 50) -> DataFrame:

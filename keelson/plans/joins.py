@@ -305,6 +305,24 @@ def j20(t):
     return every.join(same.withColumnRenamed("overlaps", "same"), "id").select("id", (c("overlaps") - c("same")).alias("conflicts"))
 
 
+@query("j20_scope_overlap", """
+with i as (select o_orderkey as id, o_custkey % 40 as key, o_orderdate as s, o_orderdate + interval 90 day as e, o_orderstatus as st,
+    case when o_orderkey % 3 <> 0 then o_orderpriority end as project, case when o_orderkey % 4 <> 0 then o_custkey % 3 end as tenant from orders)
+select a.id, count(z.id) as conflicts from i a left join i z on z.key = a.key and z.id <> a.id and a.s < z.e and z.s < a.e and z.st <> a.st
+  and (a.project is null or z.project is null or a.project = z.project) and (a.tenant is null or z.tenant is null or a.tenant = z.tenant) group by 1""")
+def j20_scope(t):
+    """Conflicts need overlapping validity and overlapping scope; a scope without a key agrees with all of its values."""
+    k = c("o_orderkey")
+    i = t.orders.select(
+        k.alias("id"), (c("o_custkey") % 40).cast("string").alias("key"), c("o_orderdate").alias("start"), (c("o_orderdate") + F.expr("interval 90 days")).alias("end"), c("o_orderstatus").alias("value"),
+        F.when(k % 3 != 0, c("o_orderpriority")).alias("project"), F.when(k % 4 != 0, c("o_custkey") % 3).alias("tenant"),
+    )
+    bins = lambda time: F.year(time) * 4 + F.quarter(time)
+    every = cu.scope_overlap_counts(i, "key", ["project", "tenant"], bins)
+    same = cu.scope_overlap_counts(i.withColumn("key", F.concat_ws(":", "key", "value")), "key", ["project", "tenant"], bins)
+    return every.join(same.withColumnRenamed("overlaps", "same"), "id").select("id", (c("overlaps") - c("same")).alias("conflicts"))
+
+
 @query("j21_supersession", b.cte(b.STATES) + """
 select id, state_key, valid_from, lead(valid_from) over w as valid_until, lag(id) over w as supersedes_id, case when lead(id) over w is null then 'active' else 'superseded' end as status
 from states window w as (partition by state_key order by valid_from, id)""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from keelson.operators import curation, filters
 from keelson.plans import bindings as b
@@ -128,19 +128,29 @@ def s5_quarantine(t):
     )
 
 
-@query("s6_entity_mentions", """
-select (doc_id % 13 <> 0) as valid, count(*) as pages from documents group by 1""")
+@query("s6_entity_mentions", r"""
+with w as (select doc_id, doc_id % 13 <> 0 as valid, unnest(string_split(coalesce(text, ''), ' ')) as word from documents),
+m as (select doc_id, valid, count(*) filter (regexp_matches(word, '^[A-Z0-9]')) as mentions, sum(case when regexp_matches(word, '^[A-Z0-9]') then length(word) else 0 end) as chars from w group by 1, 2)
+select valid, count(*) as pages, sum(case when valid then mentions else 0 end)::bigint as mentions, sum(case when valid then chars else 0 end)::bigint as chars from m where doc_id in (select doc_id from documents where text is not null) group by 1""")
 def s6(t):
-    mention = F.struct(
-        F.expr("left(text, 4)").alias("text"), F.lit(0).alias("start"),
-        F.when(F.col("doc_id") % 13 != 0, 4).alias("end"), F.lit("Same").alias("tag"),
-    )
-    lines = t.documents.select(F.to_json(F.struct(
-        F.col("doc_id").cast("string").alias("pageid"), F.col("source").alias("title"), "text", F.array(mention).alias("entities")
+    """Every word that begins with a capital or digit is a mention, with its span in the text; one page in
+    thirteen has mentions without an end. Spans are read back from the text."""
+    docs = t.documents.where("text is not null").select("doc_id", "source", "text")
+    words = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("place", "word"))
+    before = F.sum(F.length("word") + 1).over(Window.partitionBy("doc_id").orderBy("place")) - F.length("word") - 1
+    start = before.cast("int").alias("start")
+    spans = words.select("doc_id", "place", "word", start).where(F.col("word").rlike("^[A-Z0-9]")).select(
+        "doc_id", F.struct("start", F.col("word").alias("text"), F.when(F.col("doc_id") % 13 != 0, F.col("start") + F.length("word")).alias("end"), F.lit("Same").alias("tag")).alias("e")
+    ).groupBy("doc_id").agg(F.sort_array(F.collect_list("e")).alias("entities"))
+    none = F.array(F.struct(F.lit(0).alias("start"), F.lit("").alias("text"), F.when(F.col("doc_id") % 13 != 0, 0).alias("end"), F.lit("Same").alias("tag")))
+    lines = docs.join(spans, "doc_id", "left").select(F.to_json(F.struct(
+        F.col("doc_id").cast("string").alias("pageid"), F.col("source").alias("title"), "text", F.coalesce("entities", none).alias("entities")
     )).alias("value"))
     good, bad = loaders.parse_mentions(lines)
-    flagged = good.select(F.lit(True).alias("valid")).unionByName(bad.select(F.lit(False).alias("valid")))
-    return flagged.groupBy("valid").agg(F.count("*").alias("pages"))
+    real = F.filter("entities", lambda e: (e["text"] != "") & (F.substr(F.col("text"), e["start"] + 1, e["end"] - e["start"]) == e["text"]))
+    counted = good.select(F.lit(True).alias("valid"), F.size(real).alias("n"), F.aggregate(real, F.lit(0), lambda a, e: a + e["end"] - e["start"]).alias("c"))
+    flagged = counted.unionByName(bad.select(F.lit(False).alias("valid"), F.lit(0).alias("n"), F.lit(0).alias("c")))
+    return flagged.groupBy("valid").agg(F.count("*").alias("pages"), F.sum("n").alias("mentions"), F.sum("c").alias("chars"))
 
 
 @query("s7_export_bundle", b.cte(b.TURNS, """
