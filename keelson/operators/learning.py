@@ -7,35 +7,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 c = F.col
 
 
-def with_cells(corpus: DataFrame, cells: int, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """K-means cell of every vector, and the cell centres (``cells`` rows)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    spark = corpus.sparkSession
-    vectors = corpus.withColumn("features", array_to_vector(c("embedding").cast("array<double>")))
-    model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="features", predictionCol="cell").fit(vectors)
-    centres = spark.createDataFrame(
-        [(i, [float(x) for x in centre]) for i, centre in enumerate(model.clusterCenters())], "cell int, centre array<double>"
-    )
-    return model.transform(vectors).drop("features"), centres
-
-
-def cell_candidates(corpus: DataFrame, queries: DataFrame, cells: int, probes: int, k: int) -> DataFrame:
-    """Approximate vector join: the nearest ``probes`` cells of each query, exact inside them."""
-    from keelson.functions import vectors as vx
-    from keelson.operators.lexical import top_k
-
-    placed, centres = with_cells(corpus, cells)
-    # A handful of centres per query; the corpus itself only meets its own cells.
-    near = queries.crossJoin(F.broadcast(centres)).withColumn("s", vx.cosine(vx.as_double(c("embedding")), c("centre")))
-    probed = top_k(near.select("query_id", "cell", "s", c("embedding").alias("q")), "s", probes, tie="cell").drop("rank", "s")
-    scored = probed.join(placed.select("id", "cell", "embedding"), "cell").select(
-        "query_id", "id", F.round(vx.cosine(vx.as_double(c("q")), vx.as_double(c("embedding"))), 6).alias("cosine")
-    )
-    return top_k(scored.where("cosine > 0"), "cosine", k)
-
-
 Q = "query_id"
 
 
@@ -184,17 +155,3 @@ def attention_pool(page: DataFrame, neighbourhood: DataFrame, state: DataFrame,
     s = s.withColumn("g3", vx.unit(add(add(add(add(c("g1"), c("g2")), c("h1n")), c("h2")), c("h3"))))
     score = lambda v: sum((F.lit(w[i]) * vx.dot(v, c(n)) for i, n in enumerate(("q", "g1", "g2", "g3", "h1n", "h2", "h3"))), F.lit(0.0))
     return s.select(Q, F.explode(F.transform("cs", lambda x: F.struct(x["id"].alias("id"), score(x["v"]).alias("score")))).alias("r")).select(Q, "r.id", "r.score")
-
-
-def boundary_leaves(vectors: DataFrame, cells: int, tau: float, seed: int = 7) -> DataFrame:
-    """K-means leaves with boundary replication: a record joins its second leaf when that leaf's
-    cosine reaches ``tau`` times its own leaf's."""
-    from keelson.functions import vectors as vx
-
-    placed, centres = with_cells(vectors, cells, seed)
-    near = placed.select("id", "cell", "embedding").crossJoin(F.broadcast(centres.withColumnRenamed("cell", "leaf")))  # a handful of centres
-    scored = near.select("id", "cell", "leaf", vx.cosine(vx.as_double(c("embedding")), c("centre")).alias("s"))
-    own = scored.where("cell = leaf").select("id", c("s").alias("own"))
-    second = scored.where("cell <> leaf").groupBy("id").agg(F.max_by("leaf", "s").alias("leaf"), F.max("s").alias("s"))
-    extra = second.join(own, "id").where(c("s") >= tau * c("own")).select("id", "leaf", F.lit(True).alias("replica"))
-    return placed.select("id", c("cell").alias("leaf"), F.lit(False).alias("replica")).unionByName(extra)

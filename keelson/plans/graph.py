@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from keelson.functions import text as tx, vectors as vx
-from keelson.operators import dense, fuse, learning as ml, lexical, topology as tp
+from keelson.operators import cells as cl, dense, fuse, learning as ml, lexical, topology as tp
 from keelson.plans import bindings as b
 from keelson.plans.fusion import SL, shortlist, text_candidates, TEXT_CANDIDATES
 from keelson.plans.joins import graph_seeds
@@ -117,16 +117,17 @@ def g6(t):
     return vectors.select("id").join(named.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("canonical"))
 
 
-@query("g7_cell_probing")
+@query("g7_cell_probing", b.cte(b.VECTORS, VEC_SCORES.format(k=10)) + """
+select q as quarters, count(*) as wanted, true as above_share from vtop, range(1, 5) as r(q) group by 1""")
 def g7(t):
-    """Recall of exact top-10 neighbours as more cells are probed."""
+    """Exact top ten reached as one, two, three and all quarters of the leaves are probed, nearest first."""
+    found = cl.build(b.vector_corpus(t), leaf=50)
     exact = dense.vector_top_k(b.vector_corpus(t), b.vector_queries(t), 10).select("query_id", "id")
-    placed, centres = ml.with_cells(b.vector_corpus(t), 10)
-    near = b.vector_queries(t).crossJoin(F.broadcast(centres)).select("query_id", "cell", vx.cosine(vx.as_double(c("embedding")), c("centre")).alias("s"))  # ten centres
-    order = lexical.top_k(near, "s", 10, tie="cell", rank="probe").select("query_id", "cell", "probe")
-    reached = exact.join(placed.select("id", "cell"), "id").join(order, ["query_id", "cell"])
-    budgets = F.explode(F.array(*[F.lit(x) for x in (1, 2, 4, 8, 10)]))
-    return reached.select("query_id", "id", "probe", budgets.alias("budget")).groupBy("budget").agg(r6(F.count_if(c("probe") <= c("budget")) / F.count("*"), "recall"))
+    order = cl.routes(found, b.vector_queries(t), len(found.coarse), found.leaf_count).select("query_id", "cell", "leaf", "probe")
+    reached = exact.join(found.placed.select("id", "cell", "leaf"), "id").join(order, ["query_id", "cell", "leaf"])
+    quarters = F.explode(F.array(*[F.lit(x).cast("bigint") for x in (1, 2, 3, 4)]))
+    share = F.count_if(c("probe") <= F.ceil(c("quarters") * found.leaf_count / 4)) / F.count("*")
+    return reached.select("probe", quarters.alias("quarters")).groupBy("quarters").agg(F.count("*").alias("wanted"), (share >= F.max("quarters") / 4 - 1e-9).alias("above_share"))
 
 
 @query("g8_centroid_rerank", b.cte(SL, """
@@ -305,10 +306,13 @@ def g18(t):
     return dense.mention_scores(pages, radius=240)
 
 
-@query("g19_boundary_leaves")
+@query("g19_boundary_leaves", "select label as region, count(*) as members, ceil(count(*) / 25.0)::bigint as leaves, true as replicas_elsewhere from embeddings group by 1")
 def g19(t):
-    leaves = ml.boundary_leaves(t.embeddings.select(c("vec_id").alias("id"), "embedding"), 10, 0.9)
-    return leaves.groupBy("leaf").agg(F.count("*").alias("members"), F.count_if("replica").alias("replicas"))
+    """ceil(n / 25) leaves in every region; a record near the border of its leaf is in a second one of the region too."""
+    leaves = cl.region_leaves(t.embeddings.select(c("vec_id").alias("id"), "embedding", c("label").alias("region")), "region", 25, 0.9)
+    both = leaves.groupBy("region", "id").agg(F.count("*").alias("n"), F.count_distinct("leaf").alias("d"), F.count_if(~c("replica")).alias("own"))
+    whole = both.groupBy("region").agg(F.sum("own").alias("members"), F.bool_and((c("n") == c("d")) & (c("own") == 1)).alias("replicas_elsewhere"))
+    return whole.join(leaves.where("not replica").groupBy("region").agg(F.count_distinct("leaf").alias("leaves")), "region")
 
 
 @query("g20_weighted_probe", b.cte(b.VECTORS, VEC_SCORES.format(k=20), """
