@@ -11,6 +11,7 @@ from keelson.plans.fusion import SL, shortlist
 from keelson.plans.scalars import BL, sql_statement
 from keelson.plans.retrieval import VEC_SCORES
 from keelson.registry import query
+from keelson.session import cut_lineage
 
 c = F.col
 big = lambda x, name=None: c(x).cast("bigint").alias(name or x)
@@ -267,6 +268,35 @@ def j18_near(t):
     return pairs.select(low.alias("a"), high.alias("b"), "hamming")
 
 
+MOVED = r"""src as (select doc_id as id, 'f' || doc_id as path, text, substr(text, length(text) // 2 + 1, 40) as snippet from documents where length(text) >= 80),
+cur as (select path, case when id % 10 = 4 then replace(text, snippet, '') when id % 10 = 5 then 'rewritten ' || id else text end as text from src where id % 10 not in (3, 6)
+  union all select 'm' || id, text from src where id % 10 in (3, 5)),
+"""
+
+
+@query("j18_relocation", b.cte(MOVED + SIMHASH.replace(
+    "select doc_id as id, u.w from documents,", "select body as id, u.w from (select distinct md5(text) as body, text from (select text from src union all select text from cur)),"
+), """
+o as (select src.id, src.path, src.snippet, f.fp, cur.text as now, g.fp as nf from src join fp f on f.id = md5(src.text) left join cur using (path) left join fp g on g.id = md5(cur.text)),
+st as (select *, case when contains(now, snippet) then 'in_place' when now is not null and bit_count(xor(fp, nf)) <= 6 then 'stale' end as status from o),
+mv as (select st.id, min(cur.path) as found from st join cur on cur.path <> st.path and contains(cur.text, st.snippet) join fp g on g.id = md5(cur.text) where status is null and bit_count(xor(st.fp, g.fp)) <= 6 group by 1)""") + """
+select st.id, coalesce(status, case when found is not null then 'moved' else 'lost' end) as status, case when status is null then found else st.path end as path,
+  case when status is null then length(regexp_replace(left(c2.text, instr(c2.text, st.snippet) - 1), '[^\n]', '', 'g')) + 1 when status = 'in_place' then length(regexp_replace(left(now, instr(now, st.snippet) - 1), '[^\n]', '', 'g')) + 1 end as line
+from st left join mv using (id) left join cur c2 on c2.path = mv.found""")
+def j18_relocation(t):
+    """Files that moved, were edited, rewritten or deleted since their bookmarks were set."""
+    k = c("doc_id")
+    src = t.documents.where("length(text) >= 80").select(k.alias("id"), F.concat(F.lit("f"), k).alias("path"), "text", F.expr("substr(text, cast(length(text) div 2 as int) + 1, 40)").alias("snippet"))
+    changed = F.when(c("id") % 10 == 4, F.replace("text", c("snippet"), F.lit(""))).when(c("id") % 10 == 5, F.concat(F.lit("rewritten "), c("id"))).otherwise(c("text"))
+    cur = src.where("id % 10 not in (3, 6)").select("path", changed.alias("text")).unionByName(src.where("id % 10 in (3, 5)").select(F.concat(F.lit("m"), "id").alias("path"), "text"))
+    body = F.md5("text")
+    bodies = src.select(body.alias("id"), "text").unionByName(cur.select(body.alias("id"), "text")).dropDuplicates(["id"])
+    prints = cut_lineage(sim.simhash(bodies).withColumnRenamed("id", "body"))
+    marks = src.withColumn("body", body).join(prints, "body").select("id", "path", "fingerprint", "snippet")
+    files = cur.withColumn("body", body).join(prints, "body", "left").select("path", "fingerprint", "text")
+    return sim.relocate(marks, files)
+
+
 CLAIMS = """cl as (select o_orderkey as id, o_custkey % 200 as predicate_key, case when o_orderstatus = 'F' then 'negative' else 'affirmative' end as polarity, o_orderdate as time from orders)"""
 
 
