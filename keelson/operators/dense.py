@@ -27,6 +27,13 @@ def hashed_dimensions(texts: DataFrame, key: str, column: str, dimensions: int =
     )
 
 
+def hashed_vectors(texts: DataFrame, key: str, column: str, dimensions: int = 256) -> DataFrame:
+    """The hashed features of every text as one dense vector: (key, embedding); texts without features are left out."""
+    used = hashed_dimensions(texts, key, column, dimensions)
+    held = used.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "v"))).alias("m"))  # ``dimensions`` entries at most
+    return held.select(key, F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("bigint")), F.lit(0)).cast("double")).alias("embedding"))
+
+
 BLOCK_QUERIES = 2_048
 SHARD_ROWS = 50_000
 CELLS = 4_000_000  # scores held at a time: 32 MB

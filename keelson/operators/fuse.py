@@ -35,6 +35,26 @@ def hybrid_union(lexical: DataFrame, vector: DataFrame) -> DataFrame:
     return left.join(right, [Q, "id"], "full_outer")
 
 
+def hybrid_candidates(queries: DataFrame, records: DataFrame, each: int = 20, limit: int = 10, dimensions: int = 256) -> DataFrame:
+    """Hybrid retrieval on the texts themselves: (query_id, id, bm25, cosine, score, rank).
+
+    Both routes give their best ``each`` records; a record that one route found gets the other one's
+    score as well, so the blend compares like with like. ``queries``: query_id, query; ``records``: id, text.
+    """
+    from keelson.operators import dense, lexical
+    from keelson.session import cut_lineage
+
+    # each is used for the candidates and for the cross-scores
+    words = cut_lineage(lexical.bm25_scores(queries, records))
+    asked = cut_lineage(dense.hashed_vectors(queries, "query_id", "query", dimensions))
+    held = cut_lineage(dense.hashed_vectors(records, "id", "text", dimensions))
+    found = lexical.top_k(words, "bm25", each).select(Q, "id").unionByName(dense.vector_top_k(held, asked, each).select(Q, "id")).distinct()
+    crossed = dense.pair_cosines(found, held, asked).select(Q, "id", "cosine")
+    both = found.join(words, [Q, "id"], "left").join(crossed, [Q, "id"], "left")
+    both = both.select(Q, "id", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), F.coalesce("cosine", F.lit(0.0)).alias("cosine"))
+    return lexical.top_k(both.withColumn("score", F.round(hybrid_score(c("bm25"), c("cosine"), F.lit(0.0)), 9)), "score", limit)
+
+
 def reciprocal_rank_fusion(routes: DataFrame, limit: int, constant: int = 60) -> DataFrame:
     """``routes``: query_id, route, id, position (1-based), weight."""
     best = routes.groupBy(Q, "route", "id").agg(F.min("position").alias("position"), F.first("weight").alias("weight"))

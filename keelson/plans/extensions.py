@@ -9,7 +9,7 @@ from keelson.operators import learning as ml
 from keelson.plans import bindings as b
 from keelson.plans.fusion import TEXT_CANDIDATES, shortlist, text_candidates
 from keelson.plans.graph import MODEL_COLUMNS, labelled
-from keelson.registry import query
+from keelson.registry import REGISTRY, query
 
 c = F.col
 
@@ -80,4 +80,12 @@ def p7_pack(t):
     pg.register_table_functions(t.spark)
     items = shortlist(t).select("query_id", "id", (c("id") % 23).cast("string").alias("key"), "chars", F.least(c("score"), F.lit(1.0)).alias("utility"), "position")
     items.createOrReplaceTempView("keelson_pack_items")
-    return t.spark.sql("select * from pack_evidence(table(keelson_pack_items) partition by query_id)")
+    return t.spark.sql("select * from pack_evidence(table(keelson_pack_items) partition by (query_id), 20, 2500)")
+
+
+@query("p7_query_windows", REGISTRY["x12_query_windows"].sql)
+def p7_windows(t):
+    """The windows of X12 from SQL, the limits as arguments."""
+    pg.register_table_functions(t.spark)
+    t.documents.select(c("doc_id").alias("id"), "text").createOrReplaceTempView("keelson_texts")
+    return t.spark.sql("select id, pos, md5(piece) as digest from query_windows(table(keelson_texts) partition by (id), 2000, 10, 400)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from keelson.functions import text as tx
-from keelson.operators import dense, evaluation as ev, lexical
+from keelson.operators import dense, evaluation as ev, fuse, lexical
 from keelson.plans import bindings as b
 from keelson.registry import query
 
@@ -101,6 +101,27 @@ def scored_questions(t):
     return ev.question_scores(gold_rank_table(t), questions)
 
 
+HYBRID = r"""txt as (select 'd' || id as key, statement as text from records union all select 'q' || query_id, query from queries),
+tok as (select key, u.w from txt, unnest(regexp_extract_all(lower(trim(text, e' \t\n\r')), '[\p{L}\p{N}_+.#-]+')) as u(w)),
+feat as (select key, w as f from tok union all select key, substr(w, i::int, 3) from tok, unnest(range(1, length(w) - 1)) as r(i)),
+hashed as (select f, list_reduce(list_concat([2166136261::ubigint], [ord(c)::ubigint for c in regexp_extract_all(f, '.')]), lambda h, c: (xor(h, c) * 16777619::ubigint) & 4294967295::ubigint) as h from (select distinct f from feat)),
+dims as (select key, (h % 256)::bigint as bucket, sum(case when h % 2 = 0 then 1 else -1 end)::double as v from feat join hashed using (f) group by 1, 2),
+nrm as (select key, sqrt(sum(v * v)) as n from dims where v <> 0 group by 1),
+hv as (select substr(q.key, 2)::bigint as query_id, substr(d.key, 2)::bigint as id, round(greatest(-1, least(1, sum(q.v * d.v) / (any_value(a.n) * any_value(z.n)))), 6) as cosine
+  from dims q join dims d on d.bucket = q.bucket join nrm a on a.key = q.key join nrm z on z.key = d.key where q.key like 'q%' and d.key like 'd%' group by 1, 2),
+ht as (select * from (select *, row_number() over (partition by query_id order by cosine desc, id) as rank from hv where cosine > 0) where rank <= 20),
+un as (select query_id, id from top union select query_id, id from ht),
+hy as (select query_id, id, coalesce(bm25, 0) as bm25, coalesce(cosine, 0) as cosine,
+  round(case when coalesce(bm25, 0) <= 0 then 0 else bm25 / (bm25 + 10) * 0.5 end + greatest(0, coalesce(cosine, 0)) * 0.35, 9) as score from un left join bm using (query_id, id) left join hv using (query_id, id)),
+hr as (select *, row_number() over (partition by query_id order by score desc, id) as rank from hy)"""
+
+
+@query("j8_hybrid_documents", b.cte(b.RECORDS, b.QUERIES, BM25, bm_top(20), HYBRID) + "select query_id, id, bm25, cosine, score, rank from hr where rank <= 10")
+def j8_documents(t):
+    """BM25 and hashed vectors of the same documents, each scored by both routes."""
+    return fuse.hybrid_candidates(b.queries(t).select("query_id", "query"), corpus(t)).select("query_id", "id", "bm25", "cosine", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
 @query("a17_retrieval_metrics", b.cte(b.RECORDS, b.QUERIES, BM25, bm_top(20), GOLDS, QUESTIONS) + f"select {METRICS} from sc")
 def a17(t):
     return ev.retrieval_metrics(scored_questions(t))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
+
+from keelson.functions.windows import BOUNDARY
 
 c = F.col
 Q = "query_id"
@@ -86,21 +91,87 @@ def register_sql(spark: SparkSession) -> None:
 
 
 class PackEvidence:
-    """Table function: the packing of one query's shortlist, called with PARTITION BY query_id."""
+    """Table function: the packing of one query's shortlist under given limits, called with PARTITION BY query_id.
+
+    ``pack_evidence(table(items) partition by (query_id), most_items, most_characters)``; ids keep their types."""
+
+    NEEDED = ("query_id", "id", "key", "chars", "utility", "position")
 
     def __init__(self):
-        self.rows = []
+        self.rows, self.limits = [], (0, 0)
+
+    @staticmethod
+    def analyze(row: AnalyzeArgument, most_items: AnalyzeArgument, most_characters: AnalyzeArgument) -> AnalyzeResult:
+        fields = _table_fields(row, PackEvidence.NEEDED)
+        for limit in (most_items, most_characters):
+            if not isinstance(limit.value, int) or limit.value < 1:
+                raise ValueError("limits are constant positive integers")
+        return AnalyzeResult(T.StructType([fields["query_id"], fields["id"], T.StructField("characters", T.IntegerType()), T.StructField("slot", T.IntegerType())]))
 
-    def eval(self, row):
-        self.rows.append((row["query_id"], row["id"], row["key"], row["chars"], row["utility"], row["position"]))
+    def eval(self, row, most_items: int, most_characters: int):
+        self.limits = most_items, most_characters
+        self.rows.append(tuple(row[x] for x in self.NEEDED))
 
     def terminate(self):
         from keelson.operators.budget import _pack
 
-        frame = pd.DataFrame(self.rows, columns=["query_id", "id", "key", "chars", "utility", "position"])
-        picked, used = _pack(frame, 20, 2500)
+        picked, used = _pack(pd.DataFrame(self.rows, columns=list(self.NEEDED)), *self.limits)
         for slot, record in enumerate(picked.itertuples(index=False), start=1):
-            yield int(record.query_id), int(record.id), int(used), slot
+            yield record.query_id, record.id, int(used), slot
+
+
+def _table_fields(row: AnalyzeArgument, needed: tuple[str, ...]) -> dict[str, T.StructField]:
+    """The fields of a table argument by name; a missing one is named."""
+    if not row.isTable:
+        raise ValueError("the first argument is a table")
+    fields = {x.name: x for x in row.dataType.fields}
+    if missing := [x for x in needed if x not in fields]:
+        raise ValueError(f"the table lacks {', '.join(missing)}")
+    return fields
+
+
+class QueryWindows:
+    """Table function: windows of every text of a table, ``query_windows(table(texts) partition by (id), window, most, snap)``.
+
+    Returns the key column as it is named and typed, the window's place and its text; the windows are those of
+    ``functions.windows.query_windows``."""
+
+    @staticmethod
+    def analyze(row: AnalyzeArgument, window: AnalyzeArgument, most: AnalyzeArgument, snap: AnalyzeArgument) -> AnalyzeResult:
+        fields = _table_fields(row, ("id", "text"))
+        if not all(isinstance(x.value, int) for x in (window, most, snap)) or window.value < 1:
+            raise ValueError("window, most and snap are constant integers, the window at least one")
+        return AnalyzeResult(T.StructType([fields["id"], T.StructField("pos", T.LongType()), T.StructField("piece", T.StringType())]))
+
+    def eval(self, row, window: int, most: int, snap: int):
+        for pos, piece in enumerate(windows_of(row["text"], window, most, snap)):
+            yield row["id"], pos, piece
+
+
+def windows_of(text: str | None, window: int, most: int, snap: int) -> list[str]:
+    """Equal segments, cut behind the first boundary within ``snap`` characters, if the windows cover the text;
+    else full windows, the first and last pinned to its ends."""
+    if text is None:
+        return []
+    size = len(text)
+    if size <= window:
+        return [text]
+    count = min(-(-size // window), max(2, most))
+    nearest = lambda x: math.floor(x + 0.5)
+    if size > count * window:
+        stride = (size - count * window) / (count - 1) + window
+        starts = [0, *(nearest(i * stride) for i in range(1, count - 1)), size - window]
+        return [text[x : x + window] for x in starts]
+    cuts = [0]
+    for i in range(1, count):
+        ideal = nearest(i * size / count)
+        ceiling = min(size - 1, ideal + snap)
+        found = _BOUNDARY.search(text, ideal, min(size, ceiling + 2))
+        cuts.append(found.start() + 1 if found and found.start() <= ceiling else min(ideal, ceiling))
+    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], size], strict=True) if a < b]
+
+
+_BOUNDARY = re.compile(BOUNDARY)
 
 
 class SearchTerms:
@@ -123,5 +194,6 @@ class SearchTerms:
 
 
 def register_table_functions(spark: SparkSession) -> None:
-    spark.udtf.register("pack_evidence", F.udtf(PackEvidence, returnType="query_id bigint, id bigint, characters int, slot int"))
+    spark.udtf.register("pack_evidence", F.udtf(PackEvidence))
+    spark.udtf.register("query_windows", F.udtf(QueryWindows))
     spark.udtf.register("search_terms", F.udtf(SearchTerms, returnType="term string"))
