@@ -159,7 +159,7 @@ def t10(t):
     docs = live(t, "documents").select(c("doc_id").alias("id"), c("doc_id").alias("created_at"), "text")
     stored = lambda: t.embeddings.select(c("vec_id").alias("id"))
     st.backfill(docs, stored, lambda rows: rows.select("id", F.length("text").alias("size")), root, 5000)
-    return t.spark.read.parquet(f"{root}/vectors").select("id")
+    return t.spark.read.schema("id bigint").parquet(f"{root}/vectors").select("id")
 
 
 @query("t11_board_expiry", b.cte(b.TRACES, """

@@ -9,7 +9,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from keelson.operators import belief, curation, telemetry
@@ -40,9 +40,12 @@ _serial = _count()
 
 
 def parquet_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Stream over the parquet files of one table."""
+    """Stream over one table, which is a parquet file or a folder of such files.
+
+    The path is a pattern, for a stream takes no single file by its name. A table's files come in no order
+    of time, so all that are there make one micro-batch: in several, the later ones would be late rows."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 64).parquet(folder)
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}[.]parquet")
 
 
 def run_to_table(stream: DataFrame, root: str | None = None) -> DataFrame:
@@ -122,25 +125,25 @@ def expiries(entries: DataFrame, pins: DataFrame, delay: str) -> DataFrame:
 def backfill(stream: DataFrame, stored: Callable[[], DataFrame], embed: Callable[[DataFrame], DataFrame], root: str, most: int) -> None:
     """Newest-first steps of at most ``most`` rows without a vector, until none is pending.
 
-    Every step takes the newest rows that neither ``stored`` (re-read each time) nor an earlier step
-    holds. A step that fails stops the stream before its offset is kept, and the batch comes again.
+    The rows of a batch that ``stored`` (re-read for every batch) does not hold are put in order once and
+    numbered, and the numbers deal them to steps, which are written together: the work grows with the
+    rows, not with rows times steps. ``embed`` maps rows to rows and keeps their id; rows of one id stay in
+    one step, rows without one have no vector. A batch that fails stops the stream before its offset is
+    kept, and comes again.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        folder, step = f"{root}/vectors/batch={number}", 0
-        while True:
-            pending = curation.pending_index(batch, stored())
-            if step:
-                done = batch.sparkSession.read.schema(batch.select("id").schema).parquet(*[f"{folder}/step={i}" for i in range(step)])
-                pending = curation.pending_index(pending, done)
-            rows = pending.orderBy(F.desc("created_at"), "id").limit(most).persist()
-            try:
-                if rows.isEmpty() and step:
-                    return
-                embed(rows).write.mode("overwrite").parquet(f"{folder}/step={step}")
-            finally:
-                rows.unpersist()
-            step += 1
+        folder, kept = f"{root}/vectors/batch={number}", f"{root}/order/batch={number}"
+        pending = curation.pending_index(batch, stored())
+        newest = pending.groupBy("id").agg(F.max("created_at").alias("created_at"), F.count("*").alias("n")).orderBy(F.desc("created_at"), "id")
+        newest.select("id", "created_at", "n", F.spark_partition_id().alias("part")).write.mode("overwrite").parquet(kept)
+        order = batch.sparkSession.read.parquet(kept)
+        inside = Window.partitionBy("part").orderBy(F.desc("created_at"), "id").rowsBetween(Window.unboundedPreceding, 0)
+        before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a task
+        offsets = order.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+        place = c("before") + F.sum("n").over(inside) - c("n")
+        steps = order.join(offsets, "part").select("id", F.floor(place / most).cast("int").alias("step"))
+        embed(pending).join(steps, "id").repartition("step").write.mode("overwrite").partitionBy("step").parquet(folder)
 
     run_batches(stream, handle, root)
 

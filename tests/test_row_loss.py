@@ -92,6 +92,37 @@ def test_backfill_leaves_nothing_pending(spark, tmp_path):
     assert {r["step"]: r["count"] for r in got.groupBy("step").count().collect()} == {0: 3, 1: 3, 2: 3}
 
 
+@pytest.mark.parametrize("files", [1, 70])
+def test_a_table_is_streamed_whole_as_a_file_or_a_folder(spark, tmp_path, files):
+    """A folder of parquet files is one table; its files are one batch, whatever their order."""
+    source = tmp_path / "source"
+    spark.range(140).repartition(files).write.parquet(str(source))
+    if files == 1:
+        next(source.glob("*.parquet")).rename(tmp_path / "rows.parquet")
+    else:
+        source.rename(tmp_path / "rows.parquet")
+    batches = []
+    stream = streams.parquet_stream(spark, str(tmp_path), "rows")
+    streams.run_batches(stream, lambda batch, number: batches.append(sorted(r["id"] for r in batch.collect())), str(tmp_path / "run"))
+    assert batches == [list(range(140))]
+
+
+def test_backfill_reads_a_batch_a_fixed_number_of_times(spark, tmp_path):
+    """Rows of one id stay together, and the vectors are asked for once, however many steps there are."""
+    rows = spark.createDataFrame([(i // 2, i // 2, "t") for i in range(400)], "id bigint, created_at bigint, text string")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    asked, root = [], str(tmp_path / "run")
+
+    def embed(df):
+        asked.append(1)
+        return df.select("id")
+
+    streams.backfill(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), lambda: spark.createDataFrame([(4,)], "id bigint"), embed, root, 10)
+    got = spark.read.parquet(f"{root}/vectors").groupBy("step").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).orderBy("step").collect()
+    assert len(asked) == 1 and len(got) == 40 and {r["n"] for r in got[:-1]} == {10} and got[-1]["n"] == 8
+    assert all(x["low"] > y["high"] for x, y in zip(got, got[1:]))
+
+
 def test_cluster_needs_a_shared_folder():
     class Context:
         master = "spark://host:7077"
