@@ -34,14 +34,20 @@ def exact_anchor_hits(queries: DataFrame, texts: DataFrame) -> DataFrame:
     return candidates.where(F.regexp_like("nt", pattern)).select("query_id", "id", "anchor")
 
 
+FEW_ANCHORS = 5_000
+
+
 def surface_hits(queries: DataFrame, texts: DataFrame) -> DataFrame:
     """Records that contain a query's surface anchor anywhere, punctuation included: (query_id, id, anchor).
 
-    An anchor of three characters or more meets records on its first trigram; the whole anchor is then
-    looked for in the few texts that hold it."""
+    Few anchors of three characters or more are looked for in every text as it is read: nothing of a text
+    is shuffled. Many ones meet records on their first trigram; the whole anchor is then looked for in the
+    texts that hold it."""
     anchors = queries.select("query_id", F.explode(tx.surface_anchors(F.col("query"))).alias("anchor")).where("length(anchor) >= 3").distinct()
-    keyed = anchors.withColumn("gram", F.substring("anchor", 1, 3))
     normal = texts.select("id", F.regexp_replace(tx.match_form(F.col("statement")), r"\s+", " ").alias("nt"))
+    if anchors.limit(FEW_ANCHORS + 1).count() <= FEW_ANCHORS:
+        return normal.join(F.broadcast(anchors), F.col("nt").contains(F.col("anchor"))).select("query_id", "id", "anchor")
+    keyed = anchors.withColumn("gram", F.substring("anchor", 1, 3))
     grams = explode_rows(normal, F.array_distinct(tx.char_ngrams(F.col("nt"), 3)), "gram", "id")
     candidates = grams.join(keyed, "gram").select("query_id", "id", "anchor")
     return candidates.join(normal, "id").where(F.col("nt").contains(F.col("anchor"))).select("query_id", "id", "anchor")
