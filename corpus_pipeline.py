@@ -29,7 +29,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-copies: texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    """One document of each class of near-copies: texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
+
+    The trie join of fingerprints proposes, the sets of shingles decide, and what fingerprints miss is added."""
     return similar_representatives(docs)
 
 

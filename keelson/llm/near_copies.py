@@ -29,6 +29,17 @@ DIRECT = 64  # node pairs with at most so many fingerprint pairs are compared di
 FRONTIER = 1_000_000  # node pairs that are expanded at a time
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits."""
+    octets = np.asarray(hashes, "<u8").view(np.uint8).reshape(-1, 8)
+    return np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    """The bits that more than half of n hashes have."""
+    return sum(1 << int(bit) for bit in np.flatnonzero(2 * ones > n))
+
+
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     """Majority bits of the XXH64 of all word shingles, repeats included."""
     words = text.lower().split() if text else []
@@ -36,14 +47,11 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
         return 0
     n = max(1, len(words) - shingle + 1)
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    ones, out = np.zeros(64, np.int64), 0
+    ones = np.zeros(64, np.int64)
     for low in range(0, n, 65_536):
         part = [digest(join(words[i : i + shingle]), SEED) for i in range(low, min(n, low + 65_536))]
-        octets = np.array(part, "<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    for bit in np.flatnonzero(2 * ones > n):
-        out |= 1 << int(bit)
-    return out
+        ones += bit_counts(np.array(part, "<u8"))
+    return majority(ones, n)
 
 
 def with_fingerprint(documents: DataFrame, text: str = "text", shingle: int = SHINGLE, name: str = "simhash") -> DataFrame:

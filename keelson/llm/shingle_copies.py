@@ -1,6 +1,8 @@
 """Near-copies by the exact Jaccard similarity of word shingles.
 
-Each text has a MinHash signature that is hashed in bands. Inside a bucket every text is first compared
+Each text has a SimHash fingerprint of its shingles, and the trie join of op10 links fingerprints of three or
+fewer differing bits; a link stands if the sets of shingles are similar enough. Fingerprints of similar texts
+often differ in more bits, so the search goes on. Each text has a MinHash signature that is hashed in bands. Inside a bucket every text is first compared
 with one pivot, then with pivots of smaller parts, which makes one class of a large group. Texts of buckets that still hold several classes are open:
 similar pairs among them are found by an exact prefix join. Shingles are ordered by how many open texts
 have them, rare ones first; a similar pair shares a shingle among the first ones of both, and the places
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField
 
 from keelson.llm.common import bounded_batches, free_name, map_columns, stored
-from keelson.llm.near_copies import components
+from keelson.llm.near_copies import bit_counts, components, majority, trie_join
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS, SEED = 24, 4, 42
@@ -34,14 +36,27 @@ _FACTOR, _OFFSET = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * RO
 _FACTOR |= np.uint64(1)
 
 
-def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
-    """Distinct XXH64 of the word shingles, sorted."""
+def hashes(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of the word shingles, repeats included."""
     words = text.lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
     n = max(1, len(words) - shingle + 1)
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    return np.unique(np.fromiter((digest(join(words[i : i + shingle]), SEED) for i in range(n)), np.uint64, n))
+    return np.fromiter((digest(join(words[i : i + shingle]), SEED) for i in range(n)), np.uint64, n)
+
+
+def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Distinct XXH64 of the word shingles, sorted."""
+    return np.unique(hashes(text, shingle))
+
+
+def fingerprint(members: np.ndarray) -> int:
+    """SimHash of the shingles, as ``near_copies.fingerprint`` makes it."""
+    ones = np.zeros(64, np.int64)
+    for low in range(0, len(members), BLOCK):
+        ones += bit_counts(members[low : low + BLOCK])
+    return majority(ones, len(members))
 
 
 def bands(members: np.ndarray) -> np.ndarray:
@@ -70,6 +85,33 @@ def _described(df: DataFrame, of) -> DataFrame:
     return map_columns(df, [F.col("_text").cast("binary")], [StructField("members", ArrayType(LongType())), StructField("n", LongType())], compute, ["key"])
 
 
+def _marked(df: DataFrame) -> DataFrame:
+    """key, simhash and members (bands) of _text; the shingles are hashed once for both."""
+    bounded_batches(df.sparkSession)
+
+    def compute(batch: pa.RecordBatch) -> list:
+        prints, marks = [], []
+        for text in batch.column(0).to_pylist():
+            made = hashes(text)
+            prints.append(fingerprint(made))
+            marks.append(bands(np.unique(made)))
+        return [pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(marks, pa.list_(pa.int64()))]
+
+    added = [StructField("simhash", LongType()), StructField("members", ArrayType(LongType()))]
+    return map_columns(df, [F.col("_text").cast("binary")], added, compute, ["key"])
+
+
+def trie_pairs(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys that the trie join of their fingerprints links; keys of one fingerprint meet its first key.
+
+    ``prints``: key, simhash, distinct."""
+    firsts = stored(prints.groupBy("simhash").agg(F.min("key").alias("first")))
+    near = trie_join(firsts.select("simhash")).distinct()
+    ends = near.join(firsts.toDF("a", "x"), "a").join(firsts.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    same = prints.join(firsts, "simhash").where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    return ends.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _described_once(keys: DataFrame, rows: DataFrame, lows: DataFrame) -> DataFrame:
     """key, members and n of the given keys, each from one text that has it."""
     used = keys.select("key").distinct().join(lows, "key").select(F.col("key").alias("_key"), "low")
@@ -129,13 +171,19 @@ def _relabelled(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def shingle_links(rows: DataFrame, lows: DataFrame, least: float = LEAST) -> DataFrame:
-    """Links (a, b) of keys whose components are those of all similar pairs that share a band."""
-    described = _described(rows.select("key", "_text"), bands)
-    buckets = stored(described.select("key", F.explode("members").alias("band")).distinct())
+    """Links (a, b) of keys whose components are those of all similar pairs that share a band.
+
+    Fingerprints of the trie join link first, and what they link is checked on the sets; bands and the prefix
+    join then add the similar pairs whose fingerprints differ in more bits."""
+    marked = stored(_marked(rows.select("key", "_text")).dropDuplicates(["key"]))
+    linked = stored(trie_pairs(marked.select("key", "simhash")))
+    buckets = stored(marked.select("key", F.explode("members").alias("band")))
     shared = buckets.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     members = stored(buckets.join(shared, "band").select("band", "size", "key", F.col("key").alias("label")))
-    sets = _described_once(members, rows, lows)
-    links = []
+    used = members.select("key").unionByName(linked.select(F.explode(F.array("a", "b")).alias("key")))
+    sets = _described_once(used, rows, lows)
+    links = [stored(_confirmed(linked, sets, least))]
+    members = _relabelled(members, links[0])
     # a few partners in every bucket make one class of a large group; each round costs a pair a member
     for seed, per_pivot in enumerate(PARTS, 1):
         links.append(stored(_confirmed(stored(_star(members, seed, per_pivot)), sets, least)))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keelson.llm import shingle_copies as sc
+from keelson.llm import near_copies as nc, shingle_copies as sc
 
 RNG = random.Random(11)
 WORDS = [f"w{i}" for i in range(3000)]
@@ -78,3 +78,15 @@ def test_prefix_join_leaves_no_similar_pair_out(spark):
     found = {(r["a"], r["b"]) for r in sc._confirmed(sc.prefix_pairs(sets, keyed.select("key", F.col("key").alias("label"))), sets, 0.8).collect()}
     want = set(brute.jaccard_links(brute.shingle_sets(texts)))
     assert found == want and len(want) > 50
+
+
+def test_the_trie_join_of_fingerprints_links_first(spark, monkeypatch):
+    """The stage's copies come through op10's join; its fingerprints are those of five-word shingles."""
+    text = " ".join(RNG.choices(WORDS, k=600))
+    rows = [(1, text), (2, text + " more"), (3, " ".join(RNG.choices(WORDS, k=600))), (4, ""), (5, "one two")]
+    assert all(sc.fingerprint(sc.hashes(x)) == nc.fingerprint(x, 5) for x in (t.encode() for _, t in rows))
+    seen, join = [], sc.trie_join
+    monkeypatch.setattr(sc, "trie_join", lambda prints: seen.append(join(prints)) or seen[-1])
+    kept = corpus_pipeline.drop_near_copies(spark, frame(spark, rows), "")
+    assert {r["doc_id"] for r in kept.collect()} == {1, 3, 4, 5}
+    assert len(seen) == 1 and seen[0].count() == 1
