@@ -209,10 +209,19 @@ def accuracy_by(results: DataFrame, by: str) -> DataFrame:
 def ranked_list_scores(ranking: DataFrame, relevant: DataFrame) -> DataFrame:
     """recallAny / recallAll / recall / nDCG per query from a bounded ranking (query_id, id, rank)."""
     wanted = relevant.groupBy("query_id").agg(F.count_distinct("id").alias("wanted"))
-    hits = ranking.join(relevant.distinct(), ["query_id", "id"], "left_semi")
+    return ranked_hit_scores(ranking.join(relevant.distinct(), ["query_id", "id"], "left_semi"), wanted)
+
+
+def ranked_hit_scores(hits: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The same from the relevant rows of the ranking and the number of relevant rows (query_id, wanted).
+
+    Where relevance is a shared class, this needs no row for each relevant pair. The ideal gain is
+    summed once for each number that occurs."""
     got = hits.groupBy("query_id").agg(F.count_distinct("id").alias("got"), F.sum(1 / F.log2(c("rank") + 1.0)).alias("dcg"))
-    ideal = F.aggregate(F.sequence(F.lit(1).cast("bigint"), c("wanted")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + F.lit(1.0)))
-    joined = wanted.join(got, "query_id", "left").fillna({"got": 0, "dcg": 0.0})
+    summed = F.aggregate(F.sequence(F.lit(1).cast("bigint"), c("wanted")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + F.lit(1.0)))
+    ideals = wanted.select("wanted").distinct().select("wanted", summed.alias("ideal"))
+    joined = wanted.join(got, "query_id", "left").fillna({"got": 0, "dcg": 0.0}).join(ideals, "wanted")
+    ideal = c("ideal")
     return joined.select(
         "query_id", F.when(c("got") > 0, 1).otherwise(0).alias("recall_any"), F.when(c("got") == c("wanted"), 1).otherwise(0).alias("recall_all"),
         F.round(c("got") / c("wanted"), 6).alias("recall"), F.round(c("dcg") / ideal, 6).alias("ndcg"),
