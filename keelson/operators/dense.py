@@ -34,29 +34,38 @@ def hashed_vectors(texts: DataFrame, key: str, column: str, dimensions: int = 25
     return held.select(key, F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("bigint")), F.lit(0)).cast("double")).alias("embedding"))
 
 
-BLOCK_QUERIES = 2_048
-SHARD_ROWS = 50_000
-CELLS = 4_000_000  # scores held at a time: 32 MB
+BLOCK_QUERIES = 2_048  # queries scored at a time
+GROUP_QUERIES = 8_192  # queries that meet a shard in one task, in blocks
+SHARD_ROWS = 10_000
+CELLS = 1_000_000  # scores held at a time: 8 MB
 
 
 def _score_block(ids, matrix, query_ids, queries, k: int, minimum: float):
     """Best ``k`` corpus rows per query of one block, as column arrays, in slices of bounded area.
 
-    Scores are rounded before the cut and ties at the cut are kept, so that the final order by
-    (score, id) depends neither on slices nor on shards."""
+    Scores are rounded before the cut, which is in the final order (score, then id) and therefore depends
+    neither on slices nor on shards. A slice hands on only what the slices before it leave room for."""
     import numpy as np
 
     norms = np.linalg.norm(matrix, axis=1)
     norms[norms == 0] = 1.0
     wide, out = max(1, CELLS // max(1, len(queries))), []
+    best = np.full((len(queries), k), -np.inf)
     for low in range(0, len(ids), wide):
         part = slice(low, low + wide)
-        scores = np.round(np.clip((queries @ matrix[part].T) / norms[part], -1.0, 1.0), 6)
+        scores = queries @ matrix[part].T
+        scores /= norms[part]
+        np.round(np.clip(scores, -1.0, 1.0, out=scores), 6, out=scores)
         keep = min(k, scores.shape[1])
-        floor = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep]
-        rows, cols = np.nonzero((scores >= floor[:, None]) & (scores > minimum))
-        out.append((query_ids[rows], ids[part][cols], scores[rows, cols]))
-    return tuple(np.concatenate(x) for x in zip(*out))
+        first = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep :]
+        best = np.partition(np.concatenate([best, first], axis=1), keep, axis=1)[:, keep:]
+        rows, cols = np.nonzero((scores >= best.min(axis=1)[:, None]) & (scores > minimum))
+        out.append((rows, ids[part][cols], scores[rows, cols]))
+    row, found, score = (np.concatenate(x) for x in zip(*out))
+    order = np.lexsort((found, -score, row))
+    row, found, score = row[order], found[order], score[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return query_ids[row[kept]], found[kept], score[kept]
 
 
 def _unit_rows(values):
@@ -71,12 +80,13 @@ def _unit_rows(values):
 def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int = 20, minimum: float = 0.0, limit: int = BLOCK_QUERIES) -> DataFrame:
     """Exact cosine candidates: (query_id, id, cosine, rank), cosine above ``minimum``.
 
-    ``corpus``: id, embedding. ``queries``: query_id, embedding. Blocks of at most about ``limit``
-    queries meet bounded corpus shards in a co-group, whatever the sizes, so neither side is ever
-    whole in one task or in the driver; each cell returns its own top-k.
+    ``corpus``: id, embedding. ``queries``: query_id, embedding. Bounded groups of queries meet bounded
+    corpus shards in a co-group, whatever the sizes, so neither side is ever whole in one task or in the
+    driver. A cell scores at most ``limit`` queries at a time and returns its own top-k; the corpus is sent
+    once for each group, not for each of its blocks.
     """
     schema = "query_id bigint, id bigint, cosine double"
-    blocks = max(1, -(-queries.count() // limit))
+    blocks = max(1, -(-queries.count() // max(limit, GROUP_QUERIES)))
     shards = max(1, -(-corpus.count() // SHARD_ROWS), min(8, corpus.sparkSession.sparkContext.defaultParallelism))
     each_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     each_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
@@ -92,10 +102,10 @@ def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int = 20, minimum: fl
 
         if rows.empty or asked.empty:
             return pd.DataFrame({"query_id": [], "id": [], "cosine": []})
-        block = np.vstack(rows["row_vector"].to_list()).astype("float64")
-        q, i, s = _score_block(
-            rows["id"].to_numpy(), block, asked["query_id"].to_numpy(), _unit_rows(asked["query_vector"].to_list()), k, minimum
-        )
+        ids, matrix = rows["id"].to_numpy(), np.vstack(rows["row_vector"].to_list()).astype("float64")
+        numbers, vectors = asked["query_id"].to_numpy(), _unit_rows(asked["query_vector"].to_list())
+        found = [_score_block(ids, matrix, numbers[n : n + limit], vectors[n : n + limit], k, minimum) for n in range(0, len(numbers), limit)]
+        q, i, s = (np.concatenate(x) for x in zip(*found))
         return pd.DataFrame({"query_id": q, "id": i, "cosine": s})
 
     from keelson.operators.lexical import top_k
