@@ -11,6 +11,7 @@ from keelson.plans.fusion import SL, shortlist, text_candidates, TEXT_CANDIDATES
 from keelson.plans.joins import graph_seeds
 from keelson.plans.retrieval import BM25, VEC_SCORES, bm_top, candidates, corpus
 from keelson.registry import query
+from keelson.session import cut_lineage
 
 c = F.col
 big = lambda x, name=None: c(x).cast("bigint").alias(name or x)
@@ -152,8 +153,9 @@ def g9(t):
     """Frequent long words of the three best hits form a second query; best score of both wins."""
     queries = b.queries(t).select("query_id", "query")
     records = corpus(t)
-    first = lexical.bm25_scores(queries, records)
-    feedback = lexical.feedback_queries(queries, lexical.top_k(first, "bm25", 3), records, 10, 5)
+    # both are used more than once, and either reads every text
+    first = cut_lineage(lexical.bm25_scores(queries, records))
+    feedback = cut_lineage(lexical.feedback_queries(queries, lexical.top_k(first, "bm25", 3), records, 10, 5))
     second = lexical.bm25_scores(feedback, records)
     merged = first.unionByName(second).groupBy("query_id", "id").agg(F.max("bm25").alias("score"))
     return lexical.top_k(merged, "score", 10).select("query_id", "id", big("rank"))
