@@ -154,9 +154,9 @@ def overlap_score(terms: Column, normal_statement: Column) -> Column:
     return F.aggregate(hits, F.lit(0), lambda s, t: s + F.length(t))
 
 
-def lexical_score(normal_query: Column, normal_text: Column, terms: Column) -> Column:
-    """Whole-query containment scores 10 + its length; otherwise the matched term lengths."""
-    hits = F.filter(terms, lambda t: normal_text.contains(t))
+def lexical_score(normal_query: Column, normal_text: Column, terms: Column, hits: Column | None = None) -> Column:
+    """Whole-query containment scores 10 + its length; otherwise the matched term lengths (``hits``: the matched terms, if known)."""
+    hits = F.filter(terms, lambda t: normal_text.contains(t)) if hits is None else hits
     partial = F.aggregate(hits, F.lit(0), lambda s, t: s + F.length(t))
     return F.when(normal_text.contains(normal_query), F.length(normal_query) + 10).otherwise(partial)
 

@@ -63,10 +63,9 @@ def x3(t):
         "query_id", tx.match_form(F.col("query")).alias("nq"), F.concat(F.lit("src"), F.col("query_id") % 20).alias("node")
     ).withColumn("terms", tx.search_terms(F.col("nq")))
     r = b.records(t).select("id", "node", tx.match_form(F.col("statement")).alias("nt"))
-    pairs = r.join(q, "node")
+    pairs = r.join(q, "node").withColumn("hits", F.filter("terms", lambda w: F.col("nt").contains(w)))  # looked for once
     return pairs.select(
-        "query_id", "id", tx.lexical_score(F.col("nq"), F.col("nt"), F.col("terms")).cast("bigint").alias("score"),
-        F.size(F.filter("terms", lambda w: F.col("nt").contains(w))).cast("bigint").alias("hit_terms"),
+        "query_id", "id", tx.lexical_score(F.col("nq"), F.col("nt"), F.col("terms"), F.col("hits")).cast("bigint").alias("score"), F.size("hits").cast("bigint").alias("hit_terms"),
     )
 
 
