@@ -105,11 +105,18 @@ def search_terms(normal: Column) -> Column:
     return F.array_distinct(F.concat(words, F.flatten(F.transform(han, _pairs))))
 
 
+def may_hold_han(text: Column) -> Column:
+    """Whether a character lies in or above the first block with Han script: a quicker test than the script itself."""
+    return text.rlike(r"[^\x{0}-\x{2E7F}]")
+
+
 def index_terms(text: Column) -> Column:
     """Index tokens with repeats: accent-folded lower-case letter/digit runs, Han pairs added."""
-    folded = fold_accents(F.lower(text))
+    low = F.lower(text)
+    folded = F.when(F.octet_length(text) == F.length(text), low).otherwise(fold_accents(low))
     tokens = matches(folded, r"[\p{L}\p{N}]+")
-    runs = F.filter(matches(folded, r"\p{IsHan}+"), lambda t: F.length(t) >= 2)
+    found = F.when(~may_hold_han(text), F.array().cast("array<string>")).otherwise(matches(folded, r"\p{IsHan}+"))
+    runs = F.filter(found, lambda t: F.length(t) >= 2)
     return F.concat(tokens, F.array_distinct(F.flatten(F.transform(runs, _pairs))))
 
 

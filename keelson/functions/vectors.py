@@ -54,6 +54,62 @@ def fnv32(text: Column) -> Column:
     )
 
 
+HASHED_TOKENS = 250_000  # tokens whose features are laid out at a time
+
+
+def hashed_sums(tokens, han, dimensions: int):
+    """Sums of signed hashed features of every row, as an int array (rows, ``dimensions``).
+
+    ``tokens``, ``han``: Arrow lists of a row's tokens and of those among them with Han script. A token gives
+    itself and its 3-grams (Han: pairs); each distinct token of the batch is hashed once, like ``fnv32``."""
+    import numpy as np
+
+    words = tokens.flatten().dictionary_encode()
+    distinct, codes = words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(tokens)), tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    sums = np.zeros(len(tokens) * dimensions, dtype="int32")
+    if not distinct:
+        return sums.reshape(-1, dimensions)
+    paired = set(han.flatten().to_pylist())
+    points = np.frombuffer("".join(distinct).encode("utf-32-le"), dtype="<u4").astype("uint64")
+    size = np.array([len(w) for w in distinct])
+    begin = np.cumsum(size) - size
+    gram = np.array([2 if w in paired else 3 for w in distinct])
+    prime, mask = np.uint64(FNV_PRIME), np.uint64(MASK_32)
+
+    def hashes(at, length):
+        """Hashes of the runs of ``length`` (falling) characters that begin ``at`` places of ``points``."""
+        h = np.full(len(at), FNV_OFFSET, dtype="uint64")
+        for i in range(int(length[0]) if len(at) else 0):
+            n = int(np.searchsorted(-length, -i))
+            h[:n] = ((h[:n] ^ points[at[:n] + i]) * prime) & mask
+        return h
+
+    longest = np.argsort(-size, kind="stable")
+    whole = np.empty(len(distinct), dtype="uint64")
+    whole[longest] = hashes(begin[longest], size[longest])
+    grams = np.maximum(size - gram + 1, 0)
+    word = np.repeat(np.arange(len(distinct)), grams)
+    at = begin[word] + np.arange(len(word)) - (np.cumsum(grams) - grams)[word]
+    order = np.argsort(-gram[word], kind="stable")
+    parts = np.empty(len(word), dtype="uint64")
+    parts[order] = hashes(at[order], gram[word][order])
+    # features of a token stand together: the token, then its grams
+    first = np.cumsum(grams + 1) - (grams + 1)
+    features = np.empty(len(word) + len(distinct), dtype="uint64")
+    features[first] = whole
+    features[np.arange(len(word)) + word + 1] = parts
+    bucket, sign = (features % np.uint64(dimensions)).astype("int64"), np.where(features % np.uint64(2) == 0, 1.0, -1.0)
+    for low in range(0, len(codes), HASHED_TOKENS):
+        code, of = codes[low : low + HASHED_TOKENS], row[low : low + HASHED_TOKENS]
+        many = grams[code] + 1
+        place = np.repeat(first[code] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        span = slice(int(of[0]) * dimensions, (int(of[-1]) + 1) * dimensions)
+        cells = (np.repeat(of, many) - of[0]) * dimensions + bucket[place]
+        sums[span] += np.bincount(cells, weights=sign[place], minlength=span.stop - span.start).astype("int32")
+    return sums.reshape(-1, dimensions)
+
+
 def fnv64(text: Column) -> Column:
     """64-bit FNV-1a as a signed bigint, kept as two 32-bit halves so nothing overflows."""
     high, low = 0xCBF29CE4, 0x84222325

@@ -5,33 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keelson.functions import text as tx, vectors as vx
-from keelson.session import explode_rows, spread
+from keelson.session import spread
 
 
-def hashed_dimensions(texts: DataFrame, key: str, column: str, dimensions: int = 256) -> DataFrame:
-    """Signed feature hashing of tokens and their 3-grams (Han: pairs), one row per used dimension.
+def hashed_vectors(texts: DataFrame, key: str, column: str, dimensions: int = 256) -> DataFrame:
+    """Signed feature hashing of tokens and their 3-grams (Han: pairs), one vector a text: (key, embedding).
 
-    Sums are combined map-side: the features of a text come out of one row, so the shuffle
-    carries at most ``dimensions`` rows per text.
+    A text is hashed in the row it stands in: no token and no feature becomes a row, nothing is shuffled.
+    Texts whose features are none or cancel out are left out; texts with one key count as one.
     """
+    if texts.groupBy(key).count().where("count > 1").limit(1).count():
+        texts = texts.groupBy(key).agg(F.array_join(F.collect_list(column), "\n").alias(column))
     low = F.lower(tx.strip(F.col(column)))
-    tokens = explode_rows(spread(texts), tx.matches(low, r"[\p{L}\p{N}_+.#-]+"), "w", key)
-    counted = tokens.groupBy(key, "w").agg(F.count("*").alias("n"))
-    grams = F.when(F.col("w").rlike(r"\p{IsHan}"), tx.char_ngrams(F.col("w"), 2)).otherwise(tx.char_ngrams(F.col("w"), 3))
-    features = explode_rows(counted, F.concat(F.array("w"), grams), "f", key, "n")
-    hashed = features.withColumn("h", vx.fnv32(F.col("f")))
-    signed = F.when(F.col("h") % 2 == 0, F.col("n")).otherwise(-F.col("n"))
-    return (
-        hashed.select(key, (F.col("h") % dimensions).alias("bucket"), signed.alias("v"))
-        .groupBy(key, "bucket").agg(F.sum("v").alias("v")).where("v <> 0")
-    )
+    rows = spread(texts).select(F.col(key), tx.matches(low, r"[\p{L}\p{N}_+.#-]+").alias("tokens"), tx.may_hold_han(F.col(column)).alias("any_han"))
+    han = F.when(F.col("any_han"), F.array_distinct(F.filter("tokens", lambda t: t.rlike(r"\p{IsHan}"))))
+    rows = rows.select(key, "tokens", han.alias("han"))
 
+    def hash_batches(batches):
+        import pyarrow as pa
 
-def hashed_vectors(texts: DataFrame, key: str, column: str, dimensions: int = 256) -> DataFrame:
-    """The hashed features of every text as one dense vector: (key, embedding); texts without features are left out."""
-    used = hashed_dimensions(texts, key, column, dimensions)
-    held = used.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "v"))).alias("m"))  # ``dimensions`` entries at most
-    return held.select(key, F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("bigint")), F.lit(0)).cast("double")).alias("embedding"))
+        for batch in batches:
+            sums = vx.hashed_sums(batch.column(1), batch.column(2), dimensions)
+            used = sums.any(axis=1)
+            flat = pa.array(sums[used].ravel())
+            offsets = pa.array(range(0, len(flat) + 1, dimensions), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(used)), pa.ListArray.from_arrays(offsets, flat)], [key, "embedding"])
+
+    return rows.mapInArrow(hash_batches, f"`{key}` {texts.schema[key].dataType.simpleString()}, embedding array<int>")
+
+
+def hashed_dimensions(texts: DataFrame, key: str, column: str, dimensions: int = 256) -> DataFrame:
+    """``hashed_vectors`` with one row per used dimension: (key, bucket, v)."""
+    rows = hashed_vectors(texts, key, column, dimensions).select(key, F.posexplode("embedding").alias("bucket", "v"))
+    return rows.where("v <> 0").select(key, F.col("bucket").cast("bigint").alias("bucket"), F.col("v").cast("bigint").alias("v"))
 
 
 BLOCK_QUERIES = 2_048  # queries scored at a time

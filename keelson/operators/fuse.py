@@ -42,13 +42,18 @@ def hybrid_candidates(queries: DataFrame, records: DataFrame, each: int = 20, li
     score as well, so the blend compares like with like. ``queries``: query_id, query; ``records``: id, text.
     """
     from keelson.operators import dense, lexical
-    from keelson.session import cut_lineage
+    from keelson.session import cut_lineage, small_side
 
     # each is used for the candidates and for the cross-scores
-    words = cut_lineage(lexical.bm25_scores(queries, records))
+    terms = lexical.query_terms(queries)
+    hits = cut_lineage(lexical.bm25_hits(terms, records))
+    weighted = cut_lineage(lexical.bm25_weights(terms, hits))
     asked = cut_lineage(dense.hashed_vectors(queries, "query_id", "query", dimensions))
     held = cut_lineage(dense.hashed_vectors(records, "id", "text", dimensions))
-    found = lexical.top_k(words, "bm25", each).select(Q, "id").unionByName(dense.vector_top_k(held, asked, each).select(Q, "id")).distinct()
+    # The hits of a record come together, so its scores are summed and cut to the best ones before they are sent.
+    first = lexical.bm25_sums(hits.repartition("id").join(small_side(terms, weighted), "term"))
+    found = cut_lineage(lexical.top_k(first, "bm25", each).select(Q, "id").unionByName(dense.vector_top_k(held, asked, each).select(Q, "id")).distinct())
+    words = lexical.bm25_sums(small_side(found).join(hits, "id").join(weighted, [Q, "term"]))
     crossed = dense.pair_cosines(found, held, asked).select(Q, "id", "cosine")
     both = found.join(words, [Q, "id"], "left").join(crossed, [Q, "id"], "left")
     both = both.select(Q, "id", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), F.coalesce("cosine", F.lit(0.0)).alias("cosine"))

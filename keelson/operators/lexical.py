@@ -90,8 +90,11 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(terms).alias("term"))
 
 
+EVERY = ""  # term that every record has once; no token is empty
+
+
 def postings(records: DataFrame) -> DataFrame:
-    """(id, dl, term, tf) rows.
+    """(id, dl, term, tf) rows, with one of the term ``EVERY`` for each record.
 
     Every token of a record leaves one row of one task, so the map-side aggregation is already
     complete and the exchange carries one row per distinct (record, term).
@@ -99,38 +102,47 @@ def postings(records: DataFrame) -> DataFrame:
     tokens = records.select("id", tx.index_terms(F.col("text")).alias("tokens"))
     # The length is its own column before the explode, so exploded rows do not carry the array.
     sized = tokens.withColumn("dl", F.size("tokens"))
-    exploded = explode_rows(sized, "tokens", "term", "id", "dl")
+    marked = F.concat(F.coalesce("tokens", F.array().cast("array<string>")), F.array(F.lit(EVERY)))
+    exploded = explode_rows(sized, marked, "term", "id", "dl")
     return exploded.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def corpus_stats(records: DataFrame) -> DataFrame:
-    """One row: number of records and their mean length."""
-    plain = F.size(tx.matches(F.col("text"), r"[\p{L}\p{N}]+"))
-    size = F.when(F.col("text").rlike(r"\p{IsHan}"), F.size(tx.index_terms(F.col("text")))).otherwise(plain)
-    return records.agg(F.count("*").alias("n"), F.avg(size).alias("avgdl"))
+def bm25_hits(asked: DataFrame, records: DataFrame) -> DataFrame:
+    """Postings of the terms of ``asked`` and of ``EVERY``.
+
+    The record side is cut to the query vocabulary before anything is shuffled."""
+    terms = asked.select("term").distinct()
+    wanted = terms.unionByName(terms.sparkSession.range(1).select(F.lit(EVERY).alias("term")))
+    return postings(spread(records.select("id", "text"))).join(small_side(wanted), "term", "left_semi")
+
+
+def bm25_weights(asked: DataFrame, hits: DataFrame) -> DataFrame:
+    """(query_id, term, idf, avgdl) of the query terms that occur. Texts are read once: the number of records and their
+    mean length come from the hits too."""
+    # Reading ``tf`` and filtering nothing keep all uses of the postings identical, so their exchange is reused.
+    df = hits.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    each = F.when(F.col("term") == EVERY, F.col("tf"))
+    sized = F.when(F.col("dl").isNotNull(), each)
+    stats = hits.agg(F.coalesce(F.sum(each), F.lit(0)).alias("n"), F.try_divide(F.sum(F.col("dl") * each), F.sum(sized)).alias("avgdl"))
+    idf = F.greatest(F.lit(IDF_FLOOR), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    return asked.join(df, "term").crossJoin(stats).select("query_id", "term", idf.alias("idf"), "avgdl")  # one stats row
+
+
+def bm25_sums(joined: DataFrame) -> DataFrame:
+    """(query_id, id, bm25) of postings that met their weighted query terms."""
+    saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return joined.groupBy("query_id", "id").agg(F.round(F.sum(F.col("idf") * saturated), 6).alias("bm25"))
 
 
 def bm25_scores(queries: DataFrame, records: DataFrame) -> DataFrame:
     """OR-query BM25 of every (query, record) sharing a term: (query_id, id, bm25).
 
-    The record side is cut to the query vocabulary before anything is shuffled, and postings meet
-    the weighted query terms map-side while the query set is small (counted); a larger one falls
-    back to a shuffled join. Contributions combine map-side per (query, record).
+    Postings meet the weighted query terms map-side while the query set is small (counted); a larger
+    one falls back to a shuffled join. Contributions combine map-side per (query, record).
     """
-    records = spread(records.select("id", "text"))
     asked = query_terms(queries)
-    hits = postings(records).join(small_side(asked, asked.select("term").distinct()), "term", "left_semi")
-    # Reading ``tf`` keeps both uses of the postings identical, so their exchange is reused.
-    df = hits.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
-    stats = corpus_stats(records)
-    idf = F.greatest(F.lit(IDF_FLOOR), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    weighted = asked.join(df, "term").crossJoin(stats).select("query_id", "term", idf.alias("idf"), "avgdl")  # one stats row
-    saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return (
-        hits.join(small_side(asked, weighted), "term")
-        .groupBy("query_id", "id")
-        .agg(F.round(F.sum(F.col("idf") * saturated), 6).alias("bm25"))
-    )
+    hits = bm25_hits(asked, records)
+    return bm25_sums(hits.join(small_side(asked, bm25_weights(asked, hits)), "term"))
 
 
 def top_k(scored: DataFrame, score: str, k: int, key: str = "query_id", tie: str = "id", rank: str = "rank") -> DataFrame:
