@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keelson.operators import dense, lexical
+from keelson.streaming import ordered
 
 
 def plan_of(df) -> str:
@@ -52,3 +53,55 @@ def test_bm25_reads_the_texts_once(spark):
     scored.collect()
     tree = scored._jdf.queryExecution().executedPlan().toString()
     assert tree.split("Initial Plan")[0].count("ReusedExchange") >= 2
+
+
+class Held:
+    """A state that counts its calls; a list state holds ``value`` as a list."""
+
+    def __init__(self, calls, value=None):
+        self.calls, self.value = calls, value
+
+    def __getattr__(self, name):
+        raise AssertionError(f"a call for each change: {name}")
+
+    def get(self):
+        self.calls.append("get")
+        return iter(self.value) if isinstance(self.value, list) else self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    put = update
+
+    def appendList(self, rows):
+        self.calls.append("append")
+        self.value += rows
+
+    def clear(self):
+        self.calls.append("clear")
+        self.value = []
+
+
+def test_waiting_changes_are_written_together():
+    import pandas as pd
+
+    calls, timers = [], []
+
+    class Handle:
+        getListState = staticmethod(lambda *_: Held(calls, []))
+        getValueState = staticmethod(lambda *_: Held(calls))
+        registerTimer = staticmethod(timers.append)
+
+    class Times:
+        getCurrentWatermarkInMs = staticmethod(lambda: 10**9)
+
+    work = ordered.Coordination()
+    work.init(Handle())
+    rows = [(r, r * 1000, r - 1, "note", 0, 0, None, None, 0) for r in range(1, 400) if r != 30]
+    batches = [pd.DataFrame(x, columns=["revision", *ordered.names_of(work.CHANGE)]) for x in (rows[200:], rows[:200], rows[:40])]
+    out = [r for x in batches for part in work.handleInputRows((1,), iter([x]), None) for r in part.itertuples(index=False)]
+    assert [r[1] for r in out if r[3] != "late"] == list(range(1, 30)) and len(work.early.value) == 369
+    out += [r for part in work.handleExpiredTimer((1,), Times(), None) for r in part.itertuples(index=False)]
+    assert sorted(r[1] for r in out if r[3] != "late") == [r[0] for r in rows] and work.early.value == []
+    assert [r[1] for r in out if r[2]] == [31] and len(calls) <= 16 and timers
