@@ -7,7 +7,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from keelson import plans
+from keelson.functions import text as tx
 from keelson.operators import curation, dense, lexical
+from keelson.registry import callables
 from keelson.streaming import ordered
 
 
@@ -117,3 +120,12 @@ def test_equal_intervals_are_swept_as_one(spark, monkeypatch):
     got = {(r["id"] % 5, r["overlaps"]) for r in curation.scope_overlap_counts(df, "key", ["project", "tenant"], lambda t: F.floor(t / 4)).collect()}
     assert got == {(0, 399), (1, 599), (2, 399), (3, 0), (4, 0)}
     assert sorted_rows[0] < 60
+
+
+def test_anchors_are_formed_once(spark):
+    plans.load()
+    plan = plan_of(callables()["f12_surface_anchors"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("array_distinct(") == 1
+    text = "see v1.2.3, (ERR_9) AB ABC 'two words' plain Word parseHttp HttpUrl aB c " + "x" * 40_000 + " éÉÉ ٣"
+    got = spark.createDataFrame([(text,)], "t string").select(tx.surface_anchors(F.col("t"), unicode=False)).first()[0]
+    assert got == ["two words", "v1.2.3", "err_9", "abc", "httpurl"]
