@@ -40,38 +40,41 @@ def hashed_dimensions(texts: DataFrame, key: str, column: str, dimensions: int =
     return rows.where("v <> 0").select(key, F.col("bucket").cast("bigint").alias("bucket"), F.col("v").cast("bigint").alias("v"))
 
 
-BLOCK_QUERIES = 2_048  # queries scored at a time
+BLOCK_QUERIES = 2_048  # queries scored at a time, if the shard leaves room for so many
 GROUP_QUERIES = 8_192  # queries that meet a shard in one task, in blocks
 SHARD_ROWS = 10_000
 CELLS = 1_000_000  # scores held at a time: 8 MB
 
 
 def _score_block(ids, matrix, query_ids, queries, k: int, minimum: float):
-    """Best ``k`` corpus rows per query of one block, as column arrays, in slices of bounded area.
+    """Best ``k`` corpus rows per query of one block, as column arrays, in slices of queries of bounded area.
 
-    Scores are rounded before the cut, which is in the final order (score, then id) and therefore depends
-    neither on slices nor on shards. A slice hands on only what the slices before it leave room for."""
+    Scores are rounded before the cut, which is in the final order (score, then id) and therefore does not depend
+    on shards. Score and place by id make one number, so rows of equal score are cut like any others: a slice
+    holds its scores once and returns ``k`` rows a query, however many rows tie. A score that is no number counts as -1."""
     import numpy as np
 
+    order = np.argsort(ids, kind="stable")
+    ids, matrix = ids[order], matrix[order]
     norms = np.linalg.norm(matrix, axis=1)
     norms[norms == 0] = 1.0
-    wide, out = max(1, CELLS // max(1, len(queries))), []
-    best = np.full((len(queries), k), -np.inf)
-    for low in range(0, len(ids), wide):
-        part = slice(low, low + wide)
-        scores = queries @ matrix[part].T
-        scores /= norms[part]
-        np.round(np.clip(scores, -1.0, 1.0, out=scores), 6, out=scores)
-        keep = min(k, scores.shape[1])
-        first = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep :]
-        best = np.partition(np.concatenate([best, first], axis=1), keep, axis=1)[:, keep:]
-        rows, cols = np.nonzero((scores >= best.min(axis=1)[:, None]) & (scores > minimum))
-        out.append((rows, ids[part][cols], scores[rows, cols]))
-    row, found, score = (np.concatenate(x) for x in zip(*out))
-    order = np.lexsort((found, -score, row))
-    row, found, score = row[order], found[order], score[order]
-    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
-    return query_ids[row[kept]], found[kept], score[kept]
+    count, keep = len(ids), min(k, len(ids))
+    place, out = np.arange(count - 1, -1, -1, dtype="float64"), []
+    high = max(1, CELLS // count)
+    for low in range(0, len(queries), high):
+        keys = queries[low : low + high] @ matrix.T
+        keys /= norms
+        np.fmin(np.fmax(keys, -1.0, out=keys), 1.0, out=keys)
+        keys *= 1e6
+        np.rint(keys, out=keys)
+        keys *= count  # whole numbers far below 2**53 stay exact
+        keys += place
+        keys.partition(count - keep, axis=1)
+        score, back = np.divmod(keys[:, count - keep :], count)
+        score /= 1e6
+        rows, cols = np.nonzero(score > minimum)
+        out.append((query_ids[low + rows], ids[count - 1 - back[rows, cols].astype("int64")], score[rows, cols]))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _unit_rows(values):
@@ -83,6 +86,16 @@ def _unit_rows(values):
     return matrix / norms
 
 
+def _matrix(vectors):
+    """An Arrow column of lists as a float64 matrix; lists of several lengths are refused."""
+    import pyarrow.compute as pc
+
+    sizes = pc.list_value_length(vectors).unique().to_pylist()
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of several lengths: {sorted(sizes)[:5]}")
+    return pc.list_flatten(vectors).to_numpy().reshape(len(vectors), sizes[0]).astype("float64")
+
+
 def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int = 20, minimum: float = 0.0, limit: int = BLOCK_QUERIES) -> DataFrame:
     """Exact cosine candidates: (query_id, id, cosine, rank), cosine above ``minimum``.
 
@@ -97,26 +110,27 @@ def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int = 20, minimum: fl
     each_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     each_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
     # New names keep the two sides apart even when both come from one table.
-    left = corpus.select("id", F.col("embedding").alias("row_vector"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), each_block.alias("block"))
-    right = queries.select(
+    left = corpus.where("embedding is not null").select(
+        "id", F.col("embedding").alias("row_vector"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), each_block.alias("block")
+    )
+    right = queries.where("embedding is not null").select(
         "query_id", F.col("embedding").alias("query_vector"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), each_shard.alias("shard")
     )
 
     def cell(rows, asked):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
-        if rows.empty or asked.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "cosine": []})
-        ids, matrix = rows["id"].to_numpy(), np.vstack(rows["row_vector"].to_list()).astype("float64")
-        numbers, vectors = asked["query_id"].to_numpy(), _unit_rows(asked["query_vector"].to_list())
+        if not rows.num_rows or not asked.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
+        ids, matrix = rows["id"].to_numpy().astype("int64"), _matrix(rows["row_vector"])
+        numbers, vectors = asked["query_id"].to_numpy().astype("int64"), _unit_rows(_matrix(asked["query_vector"]))
         found = [_score_block(ids, matrix, numbers[n : n + limit], vectors[n : n + limit], k, minimum) for n in range(0, len(numbers), limit)]
-        q, i, s = (np.concatenate(x) for x in zip(*found))
-        return pd.DataFrame({"query_id": q, "id": i, "cosine": s})
+        return pa.table(dict(zip(("query_id", "id", "cosine"), (np.concatenate(x) for x in zip(*found)))))
 
     from keelson.operators.lexical import top_k
 
-    partial = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(cell, schema)
+    partial = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(cell, schema)
     return top_k(partial, "cosine", k)
 
 

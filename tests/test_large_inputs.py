@@ -129,3 +129,27 @@ def test_anchors_are_formed_once(spark):
     text = "see v1.2.3, (ERR_9) AB ABC 'two words' plain Word parseHttp HttpUrl aB c " + "x" * 40_000 + " éÉÉ ٣"
     got = spark.createDataFrame([(text,)], "t string").select(tx.surface_anchors(F.col("t"), unicode=False)).first()[0]
     assert got == ["two words", "v1.2.3", "err_9", "abc", "httpurl"]
+
+
+def test_equal_scores_do_not_pile_up_in_a_cell():
+    """Rows that all tie are cut to ``k`` a query, smallest ids first, as they are scored."""
+    import tracemalloc
+
+    import numpy as np
+
+    ids = np.random.default_rng(1).permutation(5_000)
+    rows, asked = np.ones((5_000, 4)), dense._unit_rows(np.ones((400, 4)))
+    tracemalloc.start()
+    q, i, s = dense._score_block(ids, rows, np.arange(400), asked, 3, 0.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(zip(q, i)) == [(n, x) for n in range(400) for x in range(3)] and set(s) == {1.0}
+    assert peak < 3 * 8 * dense.CELLS
+
+
+def test_a_vector_without_a_score_takes_no_other_row_along(spark):
+    nan = float("nan")
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [nan, 1.0]), (3, [1.0, 1.0]), (4, None), (5, [None, 1.0])], "id bigint, embedding array<double>")
+    asked = spark.createDataFrame([(7, [1.0, 0.0]), (8, [nan, 0.0]), (9, None)], "query_id bigint, embedding array<double>")
+    got = dense.vector_top_k(rows, asked, 2).collect()
+    assert sorted((r["query_id"], r["id"], r["cosine"], r["rank"]) for r in got) == [(7, 1, 1.0, 1), (7, 3, 0.707107, 2)]
