@@ -153,3 +153,13 @@ def test_a_vector_without_a_score_takes_no_other_row_along(spark):
     asked = spark.createDataFrame([(7, [1.0, 0.0]), (8, [nan, 0.0]), (9, None)], "query_id bigint, embedding array<double>")
     got = dense.vector_top_k(rows, asked, 2).collect()
     assert sorted((r["query_id"], r["id"], r["cosine"], r["rank"]) for r in got) == [(7, 1, 1.0, 1), (7, 3, 0.707107, 2)]
+
+
+def test_the_shortlist_of_a_scorer_is_formed_once(spark, monkeypatch):
+    """Training and scoring read kept rows; the vectors are not met again for each of them."""
+    from keelson.plans import graph
+
+    plans.load()
+    kept, cut = [], graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: kept.append(1) or cut(df))
+    assert "CoGroups" not in plan_of(callables()["g15_relevance_scorer"](spark, "/root/testdata/sf0.001")) and len(kept) == 1
