@@ -9,15 +9,20 @@ from keelson.operators import curation, expansion
 c = F.col
 
 
-# What makes a prompt a task, and what makes it a continuation.
-TASK_WORDS = r"(?i)(?:[A-Za-z][\w.-]{2,}[-_/][\w./-]+|\b(?:fix|implement|debug|test|build|refactor|install|configure)\b|(?:修复|实现|测试|构建|重构|安装|配置|设计))"
-CONTINUATION_WORDS = r"(?i)(?:\b(?:continue|again|retry|reload|try|proceed|go on|fix it|test it)\b|(?:继续|再试|重试|试试|开始吧|接着|改吧|修一下|好了|可以了|然后呢))"
+# What makes a prompt a task, and what makes it a continuation. A word ends at any character but
+# letters, digits and the underscore of ASCII, as in the SQL twins (Java's own \b takes "ö" for part of a word);
+# without regard to case, the long s and the Kelvin sign are letters of ASCII there.
+_WORD = r"\w\x{17F}\x{212A}"
+_AS_WORD = r"(?<!\w)(?:%s)(?!\w)"
+_SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"  # what trim() takes away there
+TASK_WORDS = rf"(?iu)(?:[A-Za-z][{_WORD}.-]{{2,}}[-_/][{_WORD}./-]+|{_AS_WORD % 'fix|implement|debug|test|build|refactor|install|configure'}|(?:修复|实现|测试|构建|重构|安装|配置|设计))"
+CONTINUATION_WORDS = rf"(?iu)(?:{_AS_WORD % 'continue|again|retry|reload|try|proceed|go on|fix it|test it'}|(?:继续|再试|重试|试试|开始吧|接着|改吧|修一下|好了|可以了|然后呢))"
 CONTINUATION_ALONE = r"^(?:这次呢|试一下)[。！？?!，,]*$"
 
 
 def prompt_kind(prompt: Column) -> tuple[Column, Column]:
     """The anchor that a substantive prompt gives (else null), and whether a prompt asks to go on."""
-    flat = F.trim(F.regexp_replace(prompt, r"\s+", " "))
+    flat = F.btrim(F.regexp_replace(prompt, r"[\t\n\f\r ]+", " "), F.lit(_SPACES))
     anchor = F.when((F.length(flat) >= 40) | flat.rlike(TASK_WORDS), F.substring(flat, 1, 480))
     return anchor, (F.length(flat) <= 100) & (flat.rlike(CONTINUATION_ALONE) | flat.rlike(CONTINUATION_WORDS))
 
