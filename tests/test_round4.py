@@ -16,7 +16,7 @@ PROMPTS = (
 )
 
 
-@pytest.mark.parametrize("name", ["t7_task_window"])
+@pytest.mark.parametrize("name", ["t7_task_window", "t7_window_stream"])
 def test_words_of_a_prompt_end_as_in_sql(spark, tmp_path, name):
     """Every prompt between two others, in sessions of 40 prompts, some of which follow an anchor and some none."""
     rows = [(s, 40 * s + 6 * i + j, "user", x) for s in range(3) for i, p in enumerate(PROMPTS) for j, x in enumerate((p, "again", f"configure {i}", p, "go on", PROMPTS[(i + s) % len(PROMPTS)]))]
