@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
 import oracle
 import pytest
 
 from keelson import plans
+from keelson.operators import similarity as sim
 from keelson.registry import REGISTRY, Tables
 
 #: Words beside letters that are not ASCII, other letters of the same case fold, other blanks, no text.
@@ -27,3 +30,28 @@ def test_words_of_a_prompt_end_as_in_sql(spark, tmp_path, name):
     entry = REGISTRY[name]
     status, count, *_, note = oracle.compare(spark, lambda s, d: entry.build(Tables(s, d)), entry.sql, str(tmp_path), con)
     assert (status, note) == ("OK", "") and count > 200
+
+
+@pytest.mark.parametrize("part", [7, 100, 16_384])
+def test_prints_meet_in_cells_and_pairs_are_made_once(spark, monkeypatch, part):
+    """A key of most prints in parts, small keys together; no pair is shuffled to be made distinct."""
+    monkeypatch.setattr(sim, "KEY_PRINTS", part)
+    monkeypatch.setattr(sim, "TILE", (8, 32))
+    monkeypatch.setattr(sim, "PAIR_ROWS", 50)
+    draw = random.Random(4)
+    flip = lambda x, n: x ^ sum(1 << b for b in draw.sample(range(64), n))
+    prints = [flip(0x9E3779B97F4A7C15, draw.randrange(7)) for _ in range(150)] + [draw.getrandbits(64) for _ in range(150)]
+    prints += [flip(x, draw.randrange(9)) for x in prints[150:]]
+    signed = [x - (1 << 64) if x >> 63 else x for x in prints]
+    near = lambda a, b: (a ^ b).bit_count() if a >= 0 <= b else ((a ^ b) % 2**64).bit_count()
+    frame = lambda some: spark.createDataFrame([(x,) for x in some], "fingerprint bigint")
+    out = sim.simhash_neighbours(frame(signed + signed[:20]), 6, 7)
+    rows = [tuple(r) for r in out.collect()]
+    want = {(a, b, near(a, b)) for a in set(signed) for b in set(signed) if a < b and near(a, b) <= 6}
+    assert set(rows) == want and len(rows) == len(want) > 1000
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Exchange")
+    left, right = signed[:200] + signed[300:330], signed[100:]
+    rows = [tuple(r) for r in sim.simhash_matches(frame(left), frame(right), 6, 8).collect()]
+    want = {(a, b, near(a, b)) for a in set(left) for b in set(right) if near(a, b) <= 6}
+    assert set(rows) == want and len(rows) == len(want) > 1000
