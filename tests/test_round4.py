@@ -55,3 +55,41 @@ def test_prints_meet_in_cells_and_pairs_are_made_once(spark, monkeypatch, part):
     rows = [tuple(r) for r in sim.simhash_matches(frame(left), frame(right), 6, 8).collect()]
     want = {(a, b, near(a, b)) for a in set(left) for b in set(right) if near(a, b) <= 6}
     assert set(rows) == want and len(rows) == len(want) > 1000
+
+
+def test_moved_snippets_are_found_by_anchors(spark, monkeypatch):
+    """Of many texts that resemble each other only those that hold the snippet are looked at."""
+    draw = random.Random(5)
+    text = lambda n: "".join(draw.choice("abcde fgh\nö\U00020000") for _ in range(n))
+    bodies = [text(draw.randrange(20, 300)) for _ in range(60)]
+    snippets = [b[len(b) // 2 :][: draw.randrange(38, 60)] for b in bodies] + [text(40) for _ in range(20)]
+    bodies += [text(30) + s + text(30) for s in snippets[:40]] + ["same " + snippets[1]] * 3
+    files = [(f"f{i:03}", draw.choice((0, 1, 255, 2047)), b) for i, b in enumerate(bodies)]
+    print_of = {b: p for _, p, b in files}
+    files = [(path, print_of[b], b) for path, _, b in files]
+    marks = [(i, f"f{i % 50:03}" if i % 5 == 0 else "gone", draw.choice((0, 3, 255, -1)), s) for i, s in enumerate(snippets)]
+    seen, line_of = [], sim.line_of
+    monkeypatch.setattr(sim, "line_of", lambda t, s: seen.append(1) or line_of(t, s))
+    out = sim.relocate(spark.createDataFrame(marks, "id int, path string, fingerprint bigint, snippet string"), spark.createDataFrame(files, "path string, fingerprint bigint, text string"))
+    held = {path: (p, b) for path, p, b in files}
+    near = lambda a, b: ((a ^ b) % 2**64).bit_count() <= 6
+    want = {}
+    for i, path, p, s in marks:
+        if path in held and s in held[path][1]:
+            want[i] = ("in_place", path)
+        elif path in held and near(p, held[path][0]):
+            want[i] = ("stale", path)
+        else:
+            found = min((x for x, (q, b) in held.items() if x != path and near(p, q) and s in b), default=None)
+            want[i] = ("moved" if found else "lost", found)
+        want[i] += (held[want[i][1]][1].split(s)[0].count("\n") + 1 if want[i][0] in ("in_place", "moved") else None,)
+    assert {r["id"]: (r["status"], r["path"], r["line"]) for r in out.collect()} == want
+    assert {x[0] for x in want.values()} == {"in_place", "stale", "moved", "lost"}
+
+
+def test_prints_that_resemble_make_no_pairs_to_find_a_snippet(spark, monkeypatch):
+    """Forty characters have an anchor: prints are not matched at all."""
+    monkeypatch.setattr(sim, "simhash_matches", None)
+    files = spark.createDataFrame([("a", 0, "x" * 20 + "0123456789" * 5), ("b", 0, "y" * 90)], "path string, fingerprint bigint, text string")
+    marks = spark.createDataFrame([(1, "z", 1, "0123456789" * 4), (2, "z", 1, "9876543210" * 4)], "id int, path string, fingerprint bigint, snippet string")
+    assert {r["id"]: (r["status"], r["path"]) for r in sim.relocate(marks, files).collect()} == {1: ("moved", "a"), 2: ("lost", None)}
