@@ -7,9 +7,10 @@ import random
 import duckdb
 import oracle
 import pytest
+from pyspark.sql import functions as F
 
 from keelson import plans
-from keelson.operators import similarity as sim
+from keelson.operators import similarity as sim, topology
 from keelson.registry import REGISTRY, Tables
 
 #: Words beside letters that are not ASCII, other letters of the same case fold, other blanks, no text.
@@ -93,3 +94,16 @@ def test_prints_that_resemble_make_no_pairs_to_find_a_snippet(spark, monkeypatch
     files = spark.createDataFrame([("a", 0, "x" * 20 + "0123456789" * 5), ("b", 0, "y" * 90)], "path string, fingerprint bigint, text string")
     marks = spark.createDataFrame([(1, "z", 1, "0123456789" * 4), (2, "z", 1, "9876543210" * 4)], "id int, path string, fingerprint bigint, snippet string")
     assert {r["id"]: (r["status"], r["path"]) for r in sim.relocate(marks, files).collect()} == {1: ("moved", "a"), 2: ("lost", None)}
+
+
+def test_key_clusters_are_formed_once_and_gathered_nowhere(spark, tmp_path, monkeypatch):
+    """The forest is kept before its components read it three times; their names are not broadcast through the driver."""
+    spark.range(30).select(
+        F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.cos(F.col("id") * i).cast("float")).alias("embedding"), (F.col("id") % 2).cast("int").alias("label"),
+    ).coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    plans.load()
+    seen, components = [], topology.connected_components
+    monkeypatch.setattr(topology, "connected_components", lambda pairs: seen.append(pairs._jdf.queryExecution().executedPlan().toString()) or components(pairs))
+    out = REGISTRY["g6_key_canonicalisation"].build(Tables(spark, str(tmp_path)))
+    assert len(seen) == 1 and "FlatMapGroupsInPandas" not in seen[0]
+    assert out.count() == 30 and "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
